@@ -41,19 +41,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def join_keyed(left: DataFrame, right: DataFrame, key: str, right_cols: list[str], how: str = "left") -> DataFrame:
+def join_keyed(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "left") -> DataFrame:
     """Join `left` to `right`, which has one row for each key, however often one key occurs in `left`.
 
-    Keys that hold HOT_SHARE of left's rows or more - 256 at most, a bound that holds at any size - are
-    counted first, and their rows of `right` are broadcast; all other keys are shuffled as usual.
-    Rows with a null key match nothing and stay when `how` is "left".
+    Keys that hold HOT_SHARE of left's rows or more are counted first - 256 at most, a bound that holds
+    at any size - and their rows of `right` are broadcast; all other rows are shuffled as usual. Rows
+    with a null key match nothing and stay when `how` is "left". `left` is read more than once, so it
+    should be a table or a checkpoint.
     """
-    right = right.select(key, *right_cols)
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = max(1, left.count())
-    hot = counts.where(F.col("_n") >= max(1000, total * HOT_SHARE)).select(key)
-    keys = [r[0] for r in hot.collect()]
-    if not keys:
-        return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
-    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
+    keys = [keys] if isinstance(keys, str) else keys
+    counts = left.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = counts.where(F.col("_n") >= max(1000, left.count() * HOT_SHARE)).select(*keys)
+    rows = hot.collect()
+    if not rows:
+        return left.join(right, keys, how)
+    known = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
+    warm = left.join(known, keys, "left_anti").join(right, keys, how)
+    return left.join(known, keys, "left_semi").join(F.broadcast(right.join(known, keys, "left_semi")), keys, how).unionByName(warm)
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose id is not in `dropped`; Spark broadcasts a small `dropped`."""
+    ids = dropped.select(F.col(id_col).alias("_dropped"))
+    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")

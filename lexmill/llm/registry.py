@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import exact_dedup, near_dedup
 
-_MODULES = [near_dedup]
+_MODULES = [near_dedup, exact_dedup]
 
 
 def queries() -> dict:
