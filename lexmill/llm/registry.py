@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import decontamination, exact_dedup, near_dedup
 
-_MODULES = [near_dedup, exact_dedup]
+_MODULES = [near_dedup, exact_dedup, decontamination]
 
 
 def queries() -> dict:
