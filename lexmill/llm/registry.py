@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, near_dedup
+from . import decontamination, exact_dedup, near_dedup, quality
 
-_MODULES = [near_dedup, exact_dedup, decontamination]
+_MODULES = [near_dedup, exact_dedup, decontamination, quality]
 
 
 def queries() -> dict:
