@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, near_dedup, quality
+from . import decontamination, exact_dedup, near_dedup, quality, secret_scan
 
-_MODULES = [near_dedup, exact_dedup, decontamination, quality]
+_MODULES = [near_dedup, secret_scan, exact_dedup, decontamination, quality]
 
 
 def queries() -> dict:
