@@ -19,8 +19,6 @@ from ._shingles import batches, probability_jaccard, weighted_shingles
 CHUNK_CHARS = 1_000_000
 #: Members verified against one copy of their centre's text in one task.
 SALT_ROWS = 256
-#: Each bucket is compared with so many centres before what is left is compared in full.
-CENTRES = (0x2545F4914F6CDD1D, 0x1B03738712FAD5C9)
 
 
 def _sign(k: int, bands: int, rows: int):
@@ -45,25 +43,44 @@ def _sign(k: int, bands: int, rows: int):
     return run
 
 
-def _verify(k: int, threshold: float):
+def _compare(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, held = None, None
         for batch in it:
-            src, dst = [], []
+            out: list[tuple] = []
             for c, node, is_member, text in zip(*(batch.column(i) for i in range(4)), strict=True):
-                c, node = c.as_py(), node.as_py()
+                c, own = c.as_py(), weighted_shingles(text.as_py(), k)
                 if not is_member.as_py():
-                    centre, held = c, weighted_shingles(text.as_py(), k)
-                elif c == centre and probability_jaccard(held, weighted_shingles(text.as_py(), k)) >= threshold:
-                    src.append(node)
-                    dst.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["node", "centre"])
+                    centre, held = c, own
+                elif c == centre:
+                    lost = len(held[0]) - len(np.intersect1d(held[0], own[0], assume_unique=True))
+                    out.append((node.as_py(), c, probability_jaccard(held, own), lost, int(own[1].sum())))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["node", "centre", "similarity", "lost", "weight"])
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Those of `pairs` (node, centre) that are similar enough.
+def _own(k: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for node, text in zip(batch.column(0), batch.column(1), strict=True):
+                keys, w = weighted_shingles(text.as_py(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node.as_py())), pa.array(keys.view(np.int64)), pa.array(w / w.sum())], names=["node", "shingle", "share"])
+
+    return run
+
+
+def own_share(texts: DataFrame, k: int) -> DataFrame:
+    """(node, own): the share of each node's weight in shingles that no other node of `texts` has."""
+    rows = texts.select("node", "text").mapInArrow(_own(k), "node long, shingle long, share double")
+    lone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("share").alias("share")).where("n = 1")
+    return lone.groupBy("node").agg(F.sum("share").alias("own"))
+
+
+def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, centre, similarity, lost, weight) of `pairs` (node, centre): their exact similarity, how many
+    distinct shingles of the centre the node lacks, and the node's total weight.
 
     Members stream past their centre's shingles, so a task holds two texts at a time; a centre with many
     members is dealt to many tasks, each with its own copy of the centre's text.
@@ -72,7 +89,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     members = pairs.join(counts, "centre").select("centre", F.expr("pmod(xxhash64(node), salts)").alias("salt"), "node", F.lit(True).alias("is_member"))
     heads = counts.select("centre", F.explode(F.expr("sequence(0L, salts - 1L)")).alias("salt"), F.col("centre").alias("node"), F.lit(False).alias("is_member"))
     rows = members.unionByName(heads).join(texts, "node").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "is_member", "node")
-    return rows.select("centre", "node", "is_member", "text").mapInArrow(_verify(k, threshold), "node long, centre long")
+    return rows.select("centre", "node", "is_member", "text").mapInArrow(_compare(k), "node long, centre long, similarity double, lost long, weight long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -99,9 +116,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked when the probability Jaccard similarity of their k-word shingles, weighted by
     how often they occur, is `threshold` or more; a class is a set of documents connected by links.
     Candidates share one of `bands` bands of `rows` ProbMinHash registers (with the defaults a pair at
-    0.8 is missed with probability 5e-6). Copies with the same shingles are one node of the graph. Each
-    bucket is verified against a few centres, and then what is still in different classes of the same
-    bucket is verified in full, so no bucket is expanded into all its pairs and no link is dropped.
+    0.8 is missed with probability 5e-6). Copies with the same shingles are one node of the graph.
+
+    Verification gives the same links as comparing all pairs in a bucket, without listing them. Shingles
+    that no other candidate has bound a node's similarity to anything, which drops most false candidates.
+    Each bucket then has a centre, the node with the least of its own, and all others are compared with
+    it. Only pairs of one bucket that are in different classes after that are left; the parts that either
+    lacks of the centre bound their similarity, and the pairs that this bound allows are compared too.
 
     class_id is the smallest doc_id of the class, and that document is kept. Null and empty texts, and
     texts without words, are alike only when equal (null counts as empty). Texts of fewer than k words
@@ -116,25 +137,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(first.sortWithinPartitions("key").select(F.monotonically_increasing_id().alias("node"), "key", F.col("at.doc_id").alias("doc_id"), F.col("at.sha").alias("sha"), "least", "copies", "bands"))
 
     exploded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n"), *(F.min(F.col("node").bitwiseXOR(F.lit(c))).alias(f"c{i}") for i, c in enumerate(CENTRES))).where("n > 1").drop("n")
-    buckets = cut(exploded.join(shared, "bucket"))
-    wanted = buckets.select("node").distinct().join(nodes.select("node", "doc_id", "sha"), "node")
+    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    found = cut(exploded.join(shared, "bucket"))
+    wanted = found.select("node").distinct().join(nodes.select("node", "doc_id", "sha"), "node")
     texts = cut(base.join(wanted, base.doc_id.eqNullSafe(wanted.doc_id) & (base.sha == wanted.sha)).select("node", "text").dropDuplicates(["node"]))
-
-    centre = F.explode(F.array(*(F.col(f"c{i}").bitwiseXOR(F.lit(c)) for i, c in enumerate(CENTRES)))).alias("centre")
-    tested = cut(buckets.select("node", centre).where("node <> centre").select(F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre")).distinct())
-    links = cut(verified(tested, texts, k, threshold))
+    # a node with more than 1 - threshold on its own has no link at all
+    own = own_share(texts, k)
+    buckets = cut(found.join(own, "node", "left").select("bucket", "node", F.coalesce("own", F.lit(0.0)).alias("own")).where(F.col("own") <= 1 - threshold + 1e-9))
+
+    centres = buckets.groupBy("bucket").agg(F.min(F.struct("own", "node")).alias("c"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("c.node").alias("centre"))
+    placed = cut(buckets.join(centres, "bucket"))
+    tested = cut(compared(placed.select("node", "centre").where("node <> centre").distinct(), texts, k))
+    links = tested.where(F.col("similarity") >= threshold).select("node", "centre")
     comps = components(links)
-    # buckets that still hold several classes: verify the pairs across classes that were not yet tested
-    placed = buckets.select("bucket", "node").join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    rest = cut(placed.join(mixed, "bucket"))
-    other = rest.select("bucket", F.col("node").alias("centre"), F.col("comp").alias("comp2"))
-    across = rest.join(other, "bucket").where("comp <> comp2 and node > centre").select("node", "centre").distinct().join(tested, ["node", "centre"], "left_anti")
-    more = cut(verified(across, texts, k, threshold))
+    # what is still in different classes of one bucket
+    rest = placed.join(comps, "node", "left").join(tested.select("node", "centre", "lost", "weight"), ["node", "centre"], "left").select("bucket", "node", "own", F.coalesce("comp", "node").alias("comp"), F.coalesce("lost", F.lit(0)).alias("lost"), "weight")
+    mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    rest = cut(rest.join(mixed, "bucket").where("weight is not null"))  # the centre was compared with all
+    other = rest.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("node", "own", "comp", "lost", "weight")))
+    # of either node's weight, at least this much is not in the other one: what it has on its own, and what of
+    # the bucket's centre only it holds; then the similarity is at most (1 - a)(1 - b) / (1 - ab)
+    a, b = "(own + greatest(0, lost2 - lost) / weight)", "(own2 + greatest(0, lost - lost2) / weight2)"
+    possible = f"comp <> comp2 and node > node2 and (1 - {a}) * (1 - {b}) >= {threshold} * (1 - {a} * {b}) - 1e-9"
+    across = cut(rest.join(other, "bucket").where(possible).select("node", F.col("node2").alias("centre")).distinct())
+    more = cut(compared(across, texts, k).where(F.col("similarity") >= threshold).select("node", "centre"))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        comps = components(links)
+        comps = components(links.unionByName(more))
     named = cut(nodes.select("node", "key", "least", "copies").join(comps, "node", "left").select("key", "least", "copies", F.coalesce("comp", "node").alias("comp")))
     sizes = named.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     by_key = named.join(sizes, "comp").select("key", "class_id", "class_size")

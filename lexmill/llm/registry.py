@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, near_dedup, quality, secret_scan, url_filter
+from . import chat_format, decontamination, exact_dedup, near_dedup, quality, secret_scan, url_filter, warc
 
-_MODULES = [near_dedup, secret_scan, exact_dedup, chat_format, decontamination, quality, url_filter]
+_MODULES = [near_dedup, secret_scan, warc, exact_dedup, chat_format, decontamination, quality, url_filter]
 
 
 def queries() -> dict:
