@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, near_dedup, quality, secret_scan, url_filter, warc
+from . import chat_format, decontamination, exact_dedup, mixing, near_dedup, quality, secret_scan, token_rollup, url_filter, warc
 
-_MODULES = [near_dedup, secret_scan, warc, exact_dedup, chat_format, decontamination, quality, url_filter]
+_MODULES = [near_dedup, secret_scan, warc, mixing, exact_dedup, token_rollup, chat_format, decontamination, quality, url_filter]
 
 
 def queries() -> dict:
