@@ -1,15 +1,72 @@
-"""The corpus pipeline: stages that each take documents and give the documents that stay."""
+"""The corpus pipeline: stages that each take documents and give the documents that stay.
+
+Every stage reads all that its predecessor kept. Rows with null, empty or very long texts pass through
+each stage with the result that its operator defines for them; extra columns are carried along.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.llm import decontamination, exact_dedup, mixing, near_dedup, quality
+from lexmill.llm._common import cut, shared_folder, without
+
+#: Documents with a score under this are rejected.
+LEAST_SCORE = 0.3
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: drops the documents that the quality classifier rejects."""
+    trees = quality.train(docs, quality.read(spark, sf_dir, "labels"))
+    return quality.with_score(docs, trees, score_col="_score").where(F.col("_score") >= LEAST_SCORE).drop("_score")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: of documents with equal texts, the one with the largest doc_id stays."""
+    found = cut(exact_dedup.exact_duplicates(docs))
+    kept = without(docs, found.where("not kept and not doc_id <=> keep_id"))
+    # rows that repeat a doc_id along with its text have the same id as the row that stays
+    if found.where("not kept and doc_id <=> keep_id").isEmpty():
+        return kept
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return kept.withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: of a class of near duplicates, the document with the smallest doc_id stays."""
+    return without(docs, near_dedup.near_duplicates(docs).where("not kept"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: drops the documents that share too much with the benchmark."""
+    found = decontamination.contamination(docs, decontamination.read(spark, sf_dir, "benchmark"))
+    return without(docs, found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: samples documents towards the target shares of sources, languages and topics."""
+    return mixing.mix(docs, mixing.dimensions()).where("mix_sampled").drop("mix_sampled")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", classify),
+    ("exact dedup", drop_copies),
+    ("minhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("mixing to target weights", mix_sources),
+]
+#: The classifier and the sketches have no SQL form; tests/llm hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; between stages, documents are a Parquet table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = shared_folder(spark, "stage")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
