@@ -53,10 +53,11 @@ def _compare(k: int):
                 if not is_member.as_py():
                     centre, held = c, own
                 elif c == centre:
-                    lost = len(held[0]) - len(np.intersect1d(held[0], own[0], assume_unique=True))
-                    out.append((node.as_py(), c, probability_jaccard(held, own), lost, int(own[1].sum())))
+                    bits = np.zeros(-len(held[0]) % 64 + len(held[0]), bool)
+                    bits[: len(held[0])] = ~np.isin(held[0], own[0], assume_unique=True)
+                    out.append((node.as_py(), c, probability_jaccard(held, own), np.packbits(bits).view(np.int64).tolist(), int(own[1].sum())))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["node", "centre", "similarity", "lost", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["node", "centre", "similarity", "lost", "weight"])
 
     return run
 
@@ -79,8 +80,8 @@ def own_share(texts: DataFrame, k: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(node, centre, similarity, lost, weight) of `pairs` (node, centre): their exact similarity, how many
-    distinct shingles of the centre the node lacks, and the node's total weight.
+    """(node, centre, similarity, lost, weight) of `pairs` (node, centre): their exact similarity, a bit for
+    each distinct shingle of the centre that the node lacks, and the node's total weight.
 
     Members stream past their centre's shingles, so a task holds two texts at a time; a centre with many
     members is dealt to many tasks, each with its own copy of the centre's text.
@@ -89,7 +90,7 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     members = pairs.join(counts, "centre").select("centre", F.expr("pmod(xxhash64(node), salts)").alias("salt"), "node", F.lit(True).alias("is_member"))
     heads = counts.select("centre", F.explode(F.expr("sequence(0L, salts - 1L)")).alias("salt"), F.col("centre").alias("node"), F.lit(False).alias("is_member"))
     rows = members.unionByName(heads).join(texts, "node").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "is_member", "node")
-    return rows.select("centre", "node", "is_member", "text").mapInArrow(_compare(k), "node long, centre long, similarity double, lost long, weight long")
+    return rows.select("centre", "node", "is_member", "text").mapInArrow(_compare(k), "node long, centre long, similarity double, lost array<long>, weight long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -151,18 +152,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = tested.where(F.col("similarity") >= threshold).select("node", "centre")
     comps = components(links)
     # what is still in different classes of one bucket
-    rest = placed.join(comps, "node", "left").join(tested.select("node", "centre", "lost", "weight"), ["node", "centre"], "left").select("bucket", "node", "own", F.coalesce("comp", "node").alias("comp"), F.coalesce("lost", F.lit(0)).alias("lost"), "weight")
+    rest = placed.join(comps, "node", "left").join(tested.select("node", "centre", "lost", "weight"), ["node", "centre"], "left").select("bucket", "node", "own", F.coalesce("comp", "node").alias("comp"), "lost", "weight")
     mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    rest = cut(rest.join(mixed, "bucket").where("weight is not null"))  # the centre was compared with all
-    other = rest.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("node", "own", "comp", "lost", "weight")))
+    rest = rest.join(mixed, "bucket").where("weight is not null")  # the centre was compared with all
+    rest = cut(rest.join(rest.groupBy("node").agg(F.collect_list("bucket").alias("all")), "node"))  # one for each band, at most
+    other = rest.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("node", "own", "comp", "lost", "weight", "all")))
     # of either node's weight, at least this much is not in the other one: what it has on its own, and what of
     # the bucket's centre only it holds; then the similarity is at most (1 - a)(1 - b) / (1 - ab)
-    a, b = "(own + greatest(0, lost2 - lost) / weight)", "(own2 + greatest(0, lost - lost2) / weight2)"
-    possible = f"comp <> comp2 and node > node2 and (1 - {a}) * (1 - {b}) >= {threshold} * (1 - {a} * {b}) - 1e-9"
-    across = cut(rest.join(other, "bucket").where(possible).select("node", F.col("node2").alias("centre")).distinct())
-    more = cut(compared(across, texts, k).where(F.col("similarity") >= threshold).select("node", "centre"))
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
+    n = lambda bits: f"aggregate({bits}, 0, (s, x) -> s + bit_count(x))"
+    a, b = f"(own + (n - {n('lost')}) / weight)", f"(own2 + (n - {n('lost2')}) / weight2)"
+    bound = f"transform(array({n('zip_with(lost, lost2, (p, q) -> p | q)')}), n -> (1 - {a}) * (1 - {b}) >= {threshold} * (1 - {a} * {b}) - 1e-9)[0]"
+    rough = f"(1 - own) * (1 - own2) >= {threshold} * (1 - own * own2) - 1e-9"
+    possible = f"comp <> comp2 and node > node2 and {rough} and bucket = array_min(array_intersect(all, all2)) and {bound}"
+    across = cut(rest.join(other, "bucket").where(possible).select("node", F.col("node2").alias("centre")))
+    more = compared(across, texts, k).where(F.col("similarity") >= threshold).select("node", "centre")
+    # links between classes: only their names have to be joined up
+    name = lambda df, c: df.join(comps.select(F.col("node").alias(c), F.col("comp").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
+    bridges = cut(name(name(more, "node"), "centre").distinct())
+    if not bridges.isEmpty():
+        joined = components(bridges).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+        both = comps.unionByName(joined.select(F.col("comp").alias("node"), "comp").join(comps.select("node"), "node", "left_anti"))
+        comps = cut(both.join(joined, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp")))
     named = cut(nodes.select("node", "key", "least", "copies").join(comps, "node", "left").select("key", "least", "copies", F.coalesce("comp", "node").alias("comp")))
     sizes = named.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     by_key = named.join(sizes, "comp").select("key", "class_id", "class_size")
