@@ -108,7 +108,9 @@ def factors(links: DataFrame) -> DataFrame:
             out = F.when(kind == k, F.lit(float(v[i]))).otherwise(out)
         return out
 
-    raw = links.select(F.xxhash64("src", "dst", "edge_type", "weight").alias("factor"), F.col("src").alias("a"), F.col("dst").alias("b"), *((0.25 + bias(i) * w).alias(k) for i, k in enumerate(("pp", "ff", "pf", "fp"))))
+    # edges of one kind between two rules, of several families, are factors of their own
+    each = links.groupBy("src", "dst", "edge_type", "weight").agg(F.count("*").cast("int").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    raw = each.select(F.xxhash64("src", "dst", "edge_type", "weight", "copy").alias("factor"), F.col("src").alias("a"), F.col("dst").alias("b"), *((0.25 + bias(i) * w).alias(k) for i, k in enumerate(("pp", "ff", "pf", "fp"))))
     total = F.col("pp") + F.col("ff") + F.col("pf") + F.col("fp")
     return raw.select("factor", "a", "b", *((F.col(k) / total).alias(k) for k in ("pp", "ff", "pf", "fp")))
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 LEAST_SAMPLES = 3
 
 
@@ -58,6 +60,7 @@ def tune_thresholds(samples: DataFrame, operator: str = ">=", rate: float = 50.0
     gets one row for each value and target of a rule, not its samples. Rules with fewer than three
     samples are left out.
     """
+    ship(samples.sparkSession)
     binned = samples.groupBy("rule_id", "start", F.round("value", 1).alias("value"), "target").agg(F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules import Rule
+from ..shipping import ship
 
 # Which predicate a condition type needs on a domain's whitelist.
 PREDICATES = {
@@ -71,6 +72,7 @@ def load_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
 
 def load_pdf(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of PDF files, by a library that has to be installed on the executors; null text without it."""
+    ship(spark)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(path)
 
     @F.udf("string")
