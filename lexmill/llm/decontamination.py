@@ -70,21 +70,27 @@ def scan(docs: DataFrame, grams: DataFrame, columns: dict[str, Column], text_col
     return out.select(*columns, "s.n_words", "s.hits")
 
 
+def _all_windows(n: int):
+    one = lambda w: lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i, n), JOINED).alias("gram"))
+    return lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1))), one(w)))
+
+
 def scan_by_join(docs: DataFrame, grams: DataFrame, columns: dict[str, Column], text_col: str = "text") -> DataFrame:
     """The same as scan() for a benchmark of any size: candidate windows are joined to the windows by hash and text."""
     widths = [r[0] for r in grams.select("width").distinct().collect()]
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), *(c.alias(k) for k, c in columns.items()), words(F.col(text_col)).alias("w"))
-    heads = cut(base.select("_row", *columns, F.size("w").cast("long").alias("n_words")))
+    # rows are told apart by what they hold, so that reading them twice gives the same keys
+    key = F.sha2(F.concat_ws("\x00", *(F.coalesce(c.cast("string"), F.lit("\x01")) for c in columns.values()), F.col(text_col)), 256)
+    base = docs.select(key.alias("_row"), *(c.alias(k) for k, c in columns.items()), words(F.col(text_col)).alias("w"))
+    heads = base.select("_row", *columns, F.size("w").cast("long").alias("n_words"))
     known = grams.select("gram", "width").distinct()
     parts = []
     for width in widths:
-        all_at = lambda w, n=width: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1))), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i, n), JOINED).alias("gram"))))
-        at = base.select("_row", F.explode(let(F.col("w"), all_at)).alias("x")).select("_row", "x.pos", F.lit(width).alias("width"), "x.gram")
+        at = base.select("_row", F.explode(let(F.col("w"), _all_windows(width))).alias("x")).select("_row", "x.pos", F.lit(width).alias("width"), "x.gram")
         parts.append(at.join(known, ["gram", "width"], "left_semi"))
     hits = parts[0] if parts else base.select("_row", F.lit(0).alias("pos"), F.lit(0).alias("width"), F.lit("").alias("gram")).where("false")
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    lists = hits.groupBy("_row").agg(F.collect_list(F.struct("pos", "width", "gram")).alias("hits"))
+    lists = hits.groupBy("_row").agg(F.collect_set(F.struct("pos", "width", "gram")).alias("hits"))
     none = F.array().cast("array<struct<pos:int,width:int,gram:string>>")
     return heads.join(lists, "_row", "left").select(*columns, "n_words", F.coalesce("hits", none).alias("hits"))
 

@@ -32,7 +32,7 @@ def _sign(k: int, bands: int, rows: int):
                 owner = np.repeat(np.arange(len(sets)), [len(a) for a, _ in sets])
                 regs = signatures(np.concatenate([a for a, _ in sets]), np.concatenate([w for _, w in sets]), owner, len(sets), bands * rows)
                 hashes = band_hashes(regs, bands)
-                keys = [hashlib.blake2b(a.tobytes() + w.astype(np.int64).tobytes() if len(a) else shas[i].as_py(), digest_size=16).digest() for i, (a, w) in zip(at, sets, strict=True)]
+                keys = [hashlib.blake2b(a.tobytes() + w.astype(np.int64).tobytes() if len(a) else shas[i].as_py().encode(), digest_size=16).digest() for i, (a, w) in zip(at, sets, strict=True)]
                 # texts without words have no shingles: only equal texts are alike
                 lists = [hashes[j].tolist() if len(s[0]) else [] for j, s in enumerate(sets)]
                 yield pa.RecordBatch.from_arrays(
