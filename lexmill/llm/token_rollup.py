@@ -104,12 +104,13 @@ class TokenRollup:
 def counted(docs: DataFrame, tokenizers: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, source, lang, words, marked_words, bpe) of every row: counts of each whole text.
 
-    words are separated by white space; marked_words also by a change between word characters and
-    others; bpe counts tokens of a byte-level vocabulary. Null and empty texts have none.
+    words are separated by white space; of marked_words, every character but letters, digits, _ (of
+    ASCII) and white space is one by itself; bpe counts tokens of a byte-level vocabulary. Null and empty texts have none.
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = F.size(F.filter(F.split(text, r"(?<=[^\s\w])|(?=[^\s\w])|\s+"), lambda w: w != "")).cast("long")
+    spaced = F.regexp_replace(text, r"([^\s\w])", " $1 ")
+    marked = F.size(F.filter(F.split(spaced, r"\s+"), lambda w: w != "")).cast("long")
     return docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), word_count(text).alias("words"), marked.alias("marked_words"), bpe_count(text, f"{tokenizers}/byte_bpe_multi_50k.tiktoken").alias("bpe"))
 
 
