@@ -150,7 +150,9 @@ def mostly_negated(low: Column, term: str, window: int = 50) -> Column:
         around, before, after = between(low, p - window, p + n + window), between(low, p - window, p), between(low, p + n, p + n + window)
         return ~around.rlike(PERMISSION) & (before.rlike(NEGATION) | after.rlike(NEGATION) | around.rlike(OBLIGATION))
 
-    return F.coalesce(let(positions(low, t), lambda ps: (F.size(F.filter(ps, negated)) > 0) & (F.size(F.filter(ps, negated)) * 2 >= F.size(ps))), F.lit(False))
+    share = let(positions(low, t), lambda ps: let(F.size(F.filter(ps, negated)), lambda k: (k > 0) & (k * 2 >= F.size(ps))))
+    # most texts have no such marker at all
+    return F.when(low.rlike(f"{NEGATION}|{OBLIGATION}"), F.coalesce(share, F.lit(False))).otherwise(F.lit(False))
 
 
 def always_refused(low: Column, term: str, window: int = 50) -> Column:
@@ -164,4 +166,5 @@ def always_refused(low: Column, term: str, window: int = 50) -> Column:
         has = before.rlike(REFUSAL)
         return ~between(low, p - window, p + n + window).rlike(PERMISSION) & has & (F.length(tail) <= 5) & ~tail.rlike(f"[{CLAUSE_BREAKS}]")
 
-    return F.coalesce(let(positions(low, t), lambda ps: (F.size(ps) > 0) & (F.size(F.filter(ps, refused)) == F.size(ps))), F.lit(False))
+    every = let(positions(low, t), lambda ps: (F.size(ps) > 0) & (F.size(F.filter(ps, refused)) == F.size(ps)))
+    return F.when(low.rlike(REFUSAL), F.coalesce(every, F.lit(False))).otherwise(F.lit(False))

@@ -134,15 +134,16 @@ def forbidden_pattern(params: dict, x: Text) -> Column:
     terms = listed(params)
     as_tokens = those(terms, x.has)
     plain = those(terms, lambda t: x.full.contains(t) | x.text.contains(t))
-    matched = F.when(F.size(as_tokens) > 0, as_tokens).otherwise(plain)
+    matched = T.let(as_tokens, lambda m: F.when(F.size(m) > 0, m).otherwise(plain))
     ok = those(terms, lambda t: T.mostly_negated(x.full_low, t))
-    left = F.array_except(matched, ok)
-    out = F.when(F.size(left) > 0, verdict(FAILED, T.fragment(x.text, x.low, terms), left, F.concat(F.lit("forbidden: "), F.array_join(left, ", ")))).when(F.size(matched) > 0, verdict(PASSED, _head(x), matched, "forbidden terms only where the text itself forbids them"))
+    parts = T.let(matched, lambda m: F.struct(m.alias("matched"), F.when(F.size(m) > 0, F.array_except(m, ok)).otherwise(m).alias("left")))
+    bad = lambda p: verdict(FAILED, T.fragment(x.text, x.low, terms), p["left"], F.concat(F.lit("forbidden: "), F.array_join(p["left"], ", ")))
+    fine = lambda p: verdict(PASSED, _head(x), p["matched"], "forbidden terms only where the text itself forbids them")
     none = verdict(PASSED, _head(x), strings([]), "no forbidden terms")
     if not terms and params.get("pattern"):
         hit = F.regexp_extract(x.text, params["pattern"], 0)
-        out = F.when(x.text.rlike(params["pattern"]), verdict(FAILED, hit, F.array(hit), "forbidden pattern"))
-    return out.otherwise(none)
+        return F.when(x.text.rlike(params["pattern"]), verdict(FAILED, hit, F.array(hit), "forbidden pattern")).otherwise(none)
+    return T.let(parts, lambda p: F.when(F.size(p["left"]) > 0, bad(p)).when(F.size(p["matched"]) > 0, fine(p)).otherwise(none))
 
 
 @condition("required_pattern")
