@@ -32,16 +32,18 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + self.value[node].sum(axis=1))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, n_trees: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64, l2: float = 1.0, least: int = 20) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, n_trees: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64, l2: float = 1.0, least: int | None = None) -> Trees:
     """Boosted trees for the logistic loss; each split is the best over histograms of gradients.
 
-    With no rows, or rows of one class, the score is the smoothed share of class 1 everywhere.
+    A leaf has at least `least` rows: by default 20, and fewer down to 2 when there are few rows. With no
+    rows, or rows of one class, the score is the smoothed share of class 1 everywhere.
     """
     prior = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.5
     base = float(np.log(prior / (1 - prior)))
     if not 0 < y.sum() < len(y):
         return Trees(base, np.zeros(0, np.int32), *(np.zeros(1, np.int32), np.zeros(1), np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1)), 0)
     n, width = x.shape
+    least = least or min(20, max(2, n // 200))
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(width)]
     code = np.stack([np.searchsorted(edges[f], x[:, f], side="left") for f in range(width)], axis=1)  # bin b: edges[b - 1] < value <= edges[b]
     flat = code + np.arange(width) * bins
