@@ -54,11 +54,28 @@ def runs(text: Column) -> Column:
     return F.filter(F.split(spaced, " +"), lambda r: r != "")
 
 
+def characters(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
 def windows(s: Column, low: int, high: int) -> Column:
-    """Substrings of `low` to `high` characters, shorter ones first."""
-    n = F.length(s)
-    at = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.array(*(at(k) for k in range(low, high + 1))))
+    """Substrings of `low` to `high` characters, shorter ones first.
+
+    They are put together from the array of characters: a substring of a long string has to be found
+    from its start each time.
+    """
+    none = F.array().cast("array<string>")
+
+    def of(chars: Column, k: int) -> Column:
+        n = F.size(chars)
+        if k == 1:
+            return chars
+        if k == 2:
+            pairs = F.zip_with(F.slice(chars, 1, F.greatest(n - 1, F.lit(0))), F.slice(chars, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+            return F.when(n >= 2, pairs).otherwise(none)
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(chars, i, k), ""))).otherwise(none)
+
+    return let(characters(s), lambda chars: F.flatten(F.array(*(of(chars, k) for k in range(low, high + 1)))))
 
 
 def tokens(text: Column) -> Column:

@@ -100,6 +100,9 @@ def term_set_domain(text: Column, sets: dict[str, dict], unknown: str = "未知"
 
 def nb_train(rows: DataFrame, class_col: str, id_col: str, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(class, gram, log_prob, idf) and (class, prior, unseen) from (id, class, gram) rows of distinct grams."""
+    from .graph import reliable
+
+    rows = reliable(rows.select(id_col, class_col, "gram"))  # counted in several ways
     n_docs = rows.select(id_col).distinct().count()
     df = rows.groupBy("gram").agg(F.count("*").alias("df"))
     vocabulary = df.count()
