@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ._common import cut, join_keyed, read
 
+#: Rows of block names that one task gets.
+TASK_ROWS = 500_000
+
 
 def _numbered(distinct: DataFrame, *order: str) -> DataFrame:
     """Distinct rows with an integer `name` each: partitions are sorted, then their rows counted."""
@@ -57,18 +60,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     current = _block_names(rows, blocks)
     while True:
         current = cut(current)
-        last = current.groupBy("row").agg(F.max("ix").alias("last")).where("last > 0").select("row")
+        tasks = current.count() // TASK_ROWS + 1  # each level has half the rows, of a few bytes
+        last = current.groupBy("row").agg(F.max("ix").alias("last")).where("last > 0").select("row").coalesce(tasks)
         unfinished = cut(last)
         done.append(current.join(unfinished, "row", "left_anti").select("row", F.lit(level).alias("level"), "name"))
         if unfinished.isEmpty():
             break
         pairs = cut(
             current.join(unfinished, "row", "left_semi")
+            .coalesce(tasks)
             .groupBy("row", F.expr("ix div 2").cast("int").alias("ix"))
             .agg(F.max(F.expr("if(ix % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(ix % 2 = 1, name, null)")), F.lit(-1)).alias("b"))
+            .coalesce(tasks)
         )
-        names = _numbered(pairs.select("a", "b").distinct(), "a", "b")
-        current = join_keyed(pairs, names, ["a", "b"], "inner").select("row", "ix", "name")
+        names = _numbered(pairs.select("a", "b").distinct().coalesce(tasks), "a", "b")
+        current = join_keyed(pairs, names, ["a", "b"], "inner").coalesce(tasks).select("row", "ix", "name")
         level += 1
     named = done[0]
     for d in done[1:]:

@@ -19,6 +19,8 @@ from ._shingles import batches, probability_jaccard, weighted_shingles
 CHUNK_CHARS = 1_000_000
 #: Members verified against one copy of their centre's text in one task.
 SALT_ROWS = 256
+#: Links that one task of the search for components gets.
+TASK_LINKS = 100_000
 
 
 def _sign(k: int, bands: int, rows: int):
@@ -97,18 +99,22 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node that has a link: comp is the smallest node that can be reached.
 
     Minimum labels spread along the links, and every round also takes the label of the label, so long
-    chains need a logarithmic number of rounds.
+    chains need a logarithmic number of rounds. Links are far fewer than documents: each step has as many
+    tasks as the number of links calls for.
     """
     edges = cut(links.select(F.col("node").alias("a"), F.col("centre").alias("b")).unionByName(links.select(F.col("centre").alias("a"), F.col("node").alias("b"))).distinct())
-    labels = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
+    tasks = edges.count() // TASK_LINKS + 1
+    edges = cut(edges.coalesce(tasks))
+    labels = cut(edges.groupBy("a").agg(F.min("b").alias("b")).coalesce(tasks).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")))
     while True:
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.least("comp", "near").alias("comp"))
-        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = cut(step.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("far", "comp")).alias("comp")))
-        if new.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").isEmpty():
-            return new
-        labels = new
+        near = edges.join(labels, edges.b == labels.node).coalesce(tasks).groupBy("a").agg(F.min("comp").alias("near")).coalesce(tasks)
+        step = labels.join(near, labels.node == near.a).coalesce(tasks).select("node", "comp", F.least("comp", "near").alias("new"))
+        jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
+        # the old label comes along, so that a change can be seen without another join
+        moved = cut(step.join(jump, "new", "left").coalesce(tasks).select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("far", "new")).alias("comp")))
+        labels = moved.select("node", "comp")
+        if moved.where("comp <> old").isEmpty():
+            return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 6) -> DataFrame:
