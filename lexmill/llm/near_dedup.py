@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ._common import cut, join_keyed, read
+from ._common import HOT_SHARE, cut, join_keyed, read
 from ._probminhash import band_hashes, signatures
 from ._shingles import batches, probability_jaccard, weighted_shingles
 
 #: Texts are hashed together up to so many characters; a longer text goes alone.
 CHUNK_CHARS = 1_000_000
-#: Members verified against one copy of their centre's text in one task.
-SALT_ROWS = 256
+#: Members of one large centre that are compared with one copy of its text.
+SALT_ROWS = 1024
 #: Links that one task of the search for components gets.
 TASK_LINKS = 100_000
 
@@ -85,12 +85,14 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(node, centre, similarity, lost, weight) of `pairs` (node, centre): their exact similarity, a bit for
     each distinct shingle of the centre that the node lacks, and the node's total weight.
 
-    Members stream past their centre's shingles, so a task holds two texts at a time; a centre with many
-    members is dealt to many tasks, each with its own copy of the centre's text.
+    Members stream past their centre's shingles, so a task holds two texts at a time. A centre's members
+    are dealt by a hash of the node, each share with its own copy of the centre's text; the number of
+    shares grows with all pairs, so a centre with a large part of them has shares of SALT_ROWS members.
     """
-    counts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
-    members = pairs.join(counts, "centre").select("centre", F.expr("pmod(xxhash64(node), salts)").alias("salt"), "node", F.lit(True).alias("is_member"))
-    heads = counts.select("centre", F.explode(F.expr("sequence(0L, salts - 1L)")).alias("salt"), F.col("centre").alias("node"), F.lit(False).alias("is_member"))
+    pairs = cut(pairs)
+    salts = pairs.count() // SALT_ROWS + 1
+    members = pairs.select("centre", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt"), "node", F.lit(True).alias("is_member"))
+    heads = members.select("centre", "salt").distinct().select("centre", "salt", F.col("centre").alias("node"), F.lit(False).alias("is_member"))
     rows = members.unionByName(heads).join(texts, "node").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "is_member", "node")
     return rows.select("centre", "node", "is_member", "text").mapInArrow(_compare(k), "node long, centre long, similarity double, lost array<long>, weight long")
 
@@ -103,15 +105,21 @@ def components(links: DataFrame) -> DataFrame:
     tasks as the number of links calls for.
     """
     edges = cut(links.select(F.col("node").alias("a"), F.col("centre").alias("b")).unionByName(links.select(F.col("centre").alias("a"), F.col("node").alias("b"))).distinct())
-    tasks = edges.count() // TASK_LINKS + 1
+    n = edges.count()
+    tasks = n // TASK_LINKS + 1
     edges = cut(edges.coalesce(tasks))
+    # hubs with a large part of the links - 256 at most - get their label by broadcast
+    hubs = cut(edges.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") >= max(1000, n * HOT_SHARE)).select("b").coalesce(1))
+    far, near_hub = edges.join(F.broadcast(hubs), "b", "left_anti"), edges.join(F.broadcast(hubs), "b", "left_semi")
     labels = cut(edges.groupBy("a").agg(F.min("b").alias("b")).coalesce(tasks).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")))
     while True:
-        near = edges.join(labels, edges.b == labels.node).coalesce(tasks).groupBy("a").agg(F.min("comp").alias("near")).coalesce(tasks)
-        step = labels.join(near, labels.node == near.a).coalesce(tasks).select("node", "comp", F.least("comp", "near").alias("new"))
+        label = labels.withColumnRenamed("node", "b")
+        told = far.join(label, "b").coalesce(tasks).unionByName(near_hub.join(F.broadcast(label.join(F.broadcast(hubs), "b", "left_semi")), "b"))
+        near = told.groupBy("a").agg(F.min("comp").alias("near")).coalesce(tasks)
+        step = cut(labels.join(near, labels.node == near.a).coalesce(tasks).select("node", "comp", F.least("comp", "near").alias("new")))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
         # the old label comes along, so that a change can be seen without another join
-        moved = cut(step.join(jump, "new", "left").coalesce(tasks).select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("far", "new")).alias("comp")))
+        moved = cut(join_keyed(step, jump, "new").coalesce(tasks).select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("far", "new")).alias("comp")))
         labels = moved.select("node", "comp")
         if moved.where("comp <> old").isEmpty():
             return labels
@@ -170,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound = f"transform(array({n('zip_with(lost, lost2, (p, q) -> p | q)')}), n -> (1 - {a}) * (1 - {b}) >= {threshold} * (1 - {a} * {b}) - 1e-9)[0]"
     rough = f"(1 - own) * (1 - own2) >= {threshold} * (1 - own * own2) - 1e-9"
     possible = f"comp <> comp2 and node > node2 and {rough} and bucket = array_min(array_intersect(all, all2)) and {bound}"
-    across = cut(rest.join(other, "bucket").where(possible).select("node", F.col("node2").alias("centre")))
+    across = rest.join(other, "bucket").where(possible).select("node", F.col("node2").alias("centre"))
     more = compared(across, texts, k).where(F.col("similarity") >= threshold).select("node", "centre")
     # links between classes: only their names have to be joined up
     name = lambda df, c: df.join(comps.select(F.col("node").alias(c), F.col("comp").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
