@@ -136,7 +136,7 @@ def nb_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     grams = e.groupBy("event_type").agg(F.count("*").alias("k")).select(F.lit("all").alias("class"), F.col("event_type").alias("gram"), F.log(F.col("k") / F.lit(1e6)).alias("log_prob"))
     feedback = e.where("value > 90").groupBy(F.lit("all").alias("class"), F.col("event_type").alias("gram")).agg(F.count("*").alias("n"))
-    return L.shift_probabilities(grams, feedback).select("gram", F.round("log_prob", 6).alias("log_prob"))
+    return L.shift_probabilities(grams, feedback, 0.0005).select("gram", (F.round("log_prob", 6) + 0.0).alias("log_prob"))
 
 
 QUESTIONS = [(1, "保修期限最少几年？"), (2, "如果工期改为20天会怎样？"), (3, "列出所有付款规则"), (4, "什么是缺陷责任？"), (5, "保修期限3年是否合规？")]
@@ -213,7 +213,7 @@ ORACLES = {
     "gold_scoring": _EV + f", x AS (SELECT e.lang, {_OUTCOME} AS o FROM (SELECT doc_id, CASE WHEN quality = 0 THEN 'FAILED' ELSE 'PASSED' END AS expected FROM labels) JOIN e USING (doc_id) WHERE rule_ix = 0) SELECT lang, count(*) AS n, count(*) FILTER (o = 'correct') AS correct, round(count(*) FILTER (o = 'correct')::DOUBLE / count(*), 6) AS accuracy, count(*) FILTER (o = 'false_positive') AS false_positives FROM x GROUP BY ROLLUP (lang)",
     "dual_path": _EV + ", x AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'FAILED' ELSE 'PASSED' END AS expected FROM labels), y AS (SELECT a.status = expected AS p, b.status = expected AS q FROM x JOIN e a USING (doc_id) JOIN e b USING (doc_id) WHERE a.rule_ix = 0 AND b.rule_ix = 3) SELECT CASE WHEN NOT p AND q THEN 'FIXED' WHEN p AND NOT q THEN 'REGRESSION' WHEN NOT p THEN 'BOTH_WRONG' ELSE 'SAME' END AS change, count(*) AS n FROM y GROUP BY 1",
     "soft_compare": "WITH s AS (SELECT o_orderkey, o_orderstatus = 'F' AS y, 1 / (1 + exp(-(o_totalprice - 150000) / 20000)) AS s FROM orders) SELECT o_orderkey, round(s, 6) AS score, round(greatest(0, 0.5 - CASE WHEN y THEN s - 0.5 ELSE 0.5 - s END), 6) AS loss FROM s",
-    "nb_feedback": "WITH g AS (SELECT event_type, count(*) / 1e6::DOUBLE AS p, count(*) FILTER (value > 90) AS n FROM events GROUP BY 1) SELECT event_type AS gram, round(ln(CASE WHEN n > 0 THEN 1 - (1 - p) * power(0.95::DOUBLE, n) ELSE p END), 6) AS log_prob FROM g",
+    "nb_feedback": "WITH g AS (SELECT event_type, count(*) / 1e6::DOUBLE AS p, count(*) FILTER (value > 90) AS n FROM events GROUP BY 1) SELECT event_type AS gram, round(ln(CASE WHEN n > 0 THEN 1 - (1 - p) * power(0.9995::DOUBLE, n) ELSE p END), 6) + 0.0::DOUBLE AS log_prob FROM g",
     "qa_numeric_lookup": "SELECT * FROM " + values([(1, "lookup", "保修期限 >= 5.0 年"), (2, "what_if", None), (3, "list", None), (4, "definition", None), (5, "compliance", "保修期限 >= 5.0 年")], "id", "route", "answer"),
     "outer_sentences": "WITH s AS (SELECT doc_id, text, unnest(list_distinct(string_split(text, chr(10)))) AS sentence FROM documents) SELECT sha256(sentence) AS sentence_sha256, count(*) AS n FROM s WHERE length(sentence) >= 8 AND NOT contains(substr(text, 1, 200), sentence) GROUP BY sentence HAVING count(*) >= 2",
     "stream_validate": _EV + " SELECT CASE rule_ix WHEN 3 THEN 2 ELSE rule_ix END AS rule_ix, status, count(*) AS n FROM e WHERE rule_ix IN (0, 1, 3) GROUP BY 1, 2",
