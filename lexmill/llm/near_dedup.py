@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps = cut(both.join(joined, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp")))
     named = cut(nodes.select("node", "key", "least", "copies").join(comps, "node", "left").select("key", "least", "copies", F.coalesce("comp", "node").alias("comp")))
     sizes = named.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_key = named.join(sizes, "comp").select("key", "class_id", "class_size")
+    by_key = join_keyed(named, cut(sizes), "comp", "inner").select("key", "class_id", "class_size")
     return join_keyed(signed.select("doc_id", "key"), by_key, "key", "inner").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
