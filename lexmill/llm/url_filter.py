@@ -15,10 +15,10 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: URLs are modelled over these characters; digits count as 0, upper case as lower case, all others as ~.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_?=&#%:~^$"
-#: Longest n-gram of the models. There are at most 40 + 40^2 + 40^3 = 65,640 n-grams, so a model can be broadcast.
-ORDER = 3
+#: Longest n-gram of the models, in characters as they are. All n-grams that occur are kept, so the models grow with the table.
+ORDER = 12
+#: Marks before and after a URL.
+START, END = "\x02", "\x03"
 #: Share of the accepted URLs that calibration lets the models block, at most.
 MISS = 0.01
 #: Scores are rounded to so many decimals for calibration, so their histogram is bounded.
@@ -41,53 +41,61 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def _symbols(url: Column) -> Column:
-    """A URL in the alphabet of the models, between ^ marks (so the first character has a context) and a $."""
-    body = F.regexp_replace(F.regexp_replace(ascii_lower(url), "[0-9]", "0"), r"[^a-z0./_?=&#%:-]", "~")
-    return F.concat(F.lit("^" * (ORDER - 1)), body, F.lit("$"))
-
-
 def _grams(urls: DataFrame, *keep: str) -> DataFrame:
-    """One row for each position of each URL: the n-gram of full order that ends there."""
+    """One row for each position of each URL and its end: the n-gram of full order that ends there.
+
+    START stands before a URL, so that its first character has a context.
+    """
+    marked = urls.select(*keep, F.concat(F.lit(START * (ORDER - 1)), "url", F.lit(END)).alias("s"))
     at = F.expr(f"transform(sequence(1, length(s) - {ORDER - 1}), i -> substring(s, i, {ORDER}))")
-    return urls.select(*keep, F.explode(at).alias("gram"))
+    return marked.select(*keep, F.explode(at).alias("gram"))
 
 
-def train(labelled: DataFrame, prior: float = 4.0) -> DataFrame:
-    """(gram, delta): log-probability of the last character given those before, accepted minus rejected.
+def _tails(full: DataFrame, *keep: str) -> DataFrame:
+    """One row for each order and each n-gram of full order: its last characters."""
+    return full.select(*keep, F.posexplode(F.expr(f"transform(sequence(1, {ORDER}), k -> substring(gram, {ORDER} - k + 1, k))")).alias("k", "tail"))
 
-    `labelled` has (s, verdict, n): distinct URLs in symbols, and how many rows have them. Each class has
-    a variable-order model: the estimate after a context of k characters is its counts plus `prior`
-    times the estimate after k - 1, down to a uniform one; so a context is used as far as it was seen.
-    The result has a row for each n-gram that either class has seen, of all orders.
+
+def train(full: DataFrame) -> tuple[DataFrame, int]:
+    """(tail, good, bad, good_all, bad_all) of all n-grams of all orders that either class has seen, and the number of symbols.
+
+    `full` has (gram, good, bad): n-grams of full order with their numbers in accepted and rejected URLs.
+    good_all and bad_all count the context, which is all characters but the last.
     """
-    full = _grams(labelled.select("s", (F.col("verdict") == "allow").alias("good"), "n"), "good", "n").groupBy("gram").agg(F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("good"), 0).otherwise(F.col("n"))).alias("bad"))
-    full = cut(full)
-    lower, model = None, None
-    for k in range(1, ORDER + 1):
-        counts = full.groupBy(F.expr(f"substring(gram, {ORDER - k + 1}, {k})").alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        context = Window.partitionBy(F.expr(f"substring(gram, 1, {k - 1})"))
-        counts = counts.withColumns({f"{c}_all": F.sum(c).over(context) for c in ("good", "bad")})
-        if lower is None:
-            counts = counts.withColumns({f"{c}_low": F.lit(1.0 / len(ALPHABET)) for c in ("good", "bad")})
-        else:
-            counts = counts.withColumn("tail", F.expr("substring(gram, 2)")).join(lower.select(F.col("gram").alias("tail"), F.col("good_p").alias("good_low"), F.col("bad_p").alias("bad_low")), "tail")
-        level = counts.select("gram", *((F.col(c) + prior * F.col(f"{c}_low")).__truediv__(F.col(f"{c}_all") + prior).alias(f"{c}_p") for c in ("good", "bad")))
-        lower = cut(level)
-        model = lower if model is None else model.unionByName(lower)
-    return cut(model.select("gram", (F.log("good_p") - F.log("bad_p")).alias("delta")))
-
-
-def score(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """(s, score) of distinct URLs in symbols: mean log-likelihood difference per character.
-
-    A character uses the longest n-gram ending there that the models know; one that is new to both counts 0.
+    counts = cut(_tails(full.where("good + bad > 0"), "good", "bad").groupBy("tail").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("context", F.expr("substring(tail, 1, length(tail) - 1)")))
+    contexts = counts.groupBy("context").agg(F.sum("good").alias("good_all"), F.sum("bad").alias("bad_all"))
+    # a context has one row for each character that follows it, so no key is hot
+    return cut(counts.join(contexts, "context").drop("context")), counts.where("context = ''").count()
+
+
+def deltas(full: DataFrame, model: DataFrame, symbols: int, prior: float = 4.0) -> DataFrame:
+    """(gram, delta) of n-grams of full order: log-probability of the last character, accepted minus rejected.
+
+    Each class has a variable-order model: the estimate after a context of k characters is its counts
+    plus `prior` times the estimate after k - 1, down to a uniform one over the symbols seen and a new one;
+    so a context is used as far as it was seen. The longest tail of the n-gram that either class has seen
+    is used; an n-gram whose last character is new to both has 0.
+    """
+    seen = join_keyed(_tails(full, "at"), model, "tail", "inner").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("k", "good", "bad", "good_all", "bad_all"))).alias("orders"))
+    uniform = F.lit(1.0 / (symbols + 1))
+    step = lambda p, x: F.struct(*(((x[c] + prior * p[c]) / (x[f"{c}_all"] + prior)).alias(c) for c in ("good", "bad")))
+    value = F.aggregate("orders", F.struct(uniform.alias("good"), uniform.alias("bad")), step, lambda p: F.log(p["good"]) - F.log(p["bad"]))
+    return full.select("at", "gram").join(seen.select("at", value.alias("delta")), "at", "left").select("gram", F.coalesce("delta", F.lit(0.0)).alias("delta"))
+
+
+def score(kinds: DataFrame) -> DataFrame:
+    """(url, score) of `kinds`: mean log-likelihood difference per character.
+
+    `kinds` has (url, verdict, n): distinct URLs, the verdict of a rule or null, and how many rows have them.
+    N-grams are counted before they are joined, and only the hot ones of a join are broadcast.
     """
-    known = F.broadcast(model)  # at most 65,640 rows, see ORDER
-    rows = _grams(urls, "s")
-    for k in range(ORDER, 0, -1):
-        rows = rows.join(known.select(F.col("gram").alias(f"g{k}"), F.col("delta").alias(f"d{k}")), F.expr(f"substring(gram, {ORDER - k + 1}, {k})") == F.col(f"g{k}"), "left")
-    return rows.groupBy("s").agg(F.avg(F.coalesce(*(F.col(f"d{k}") for k in range(ORDER, 0, -1)), F.lit(0.0))).alias("score"))
+    kinds = cut(kinds.withColumn("kind", F.monotonically_increasing_id()))
+    n = lambda verdict: F.expr(f"if(verdict = '{verdict}', n, 0)")
+    places = _grams(kinds.withColumns({"good": n("allow"), "bad": n("block")}), "kind", "good", "bad")
+    full = cut(places.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("at", F.monotonically_increasing_id()))
+    known = cut(deltas(full, *train(full)))
+    means = join_keyed(places.select("kind", "gram"), known, "gram", "inner").groupBy("kind").agg(F.avg("delta").alias("score"))
+    return kinds.select("kind", "url").join(means, "kind").select("url", "score")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] | None = None, miss: float = MISS) -> DataFrame:
@@ -105,21 +113,19 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rules = RULES if rules is None else rules
     host, path = host_path(F.col(url_col))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "by_rule": verdict}).withColumn("s", _symbols(F.col("url")))
-    rows = cut(rows.drop("url"))
-    kinds = cut(rows.groupBy("s", F.col("by_rule").alias("verdict")).agg(F.count("*").alias("n")))
+    rows = cut(pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "by_rule": verdict}))
+    kinds = cut(rows.groupBy("url", F.col("by_rule").alias("verdict")).agg(F.count("*").alias("n")))
     labelled = kinds.where("verdict is not null")
     seen = {r[0] for r in labelled.select("verdict").distinct().collect()}
     if seen != {"allow", "block"}:
-        scores, limit = kinds.select("s", F.lit(0.0).alias("score")).distinct(), 0.0
+        scores, limit = kinds.select("url", F.lit(0.0).alias("score")), 0.0
     else:
-        model = train(labelled)
-        scores = cut(score(kinds.select("s").distinct(), model))
-        good = labelled.where("verdict = 'allow'").join(scores, "s").groupBy(F.round("score", DECIMALS).alias("at")).agg(F.sum("n").alias("n"))
+        scores = cut(score(kinds))
+        good = labelled.where("verdict = 'allow'").join(scores, "url").groupBy(F.round("score", DECIMALS).alias("at")).agg(F.sum("n").alias("n"))
         below = F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a bounded histogram
         total = F.sum("n").over(Window.partitionBy())
         limit = min(0.0, good.select("at", below.alias("below"), total.alias("total")).where(F.col("below") > miss * F.col("total")).agg(F.min("at")).first()[0])
-    out = join_keyed(rows, scores, "s", "inner")
+    out = join_keyed(rows, scores, "url", "inner")
     by_score = F.when(F.round("score", DECIMALS) >= limit, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_score).alias("verdict"), "score")
 

@@ -152,6 +152,43 @@ def test_url_models_tell_hosts_apart(spark):
     assert got[200].score > got[201].score
 
 
+@pytest.mark.parametrize(("good", "bad"), [("shop7", "shop8"), ("кот", "пёс"), ("abcabdab", "abdabcab"), ("ABLE", "able")])
+def test_url_models_see_characters_and_long_contexts(spark, good, bad):
+    """Pairs that a model of three folded characters can't tell apart: digits, letters that aren't ASCII, equal trigrams, case of the path."""
+    rows = [(i, f"http://a.com/{good}/") for i in range(30)] + [(100 + i, f"http://a.net/es/{bad}/") for i in range(30)] + [(200, f"http://a.org/{good}/"), (201, f"http://a.org/{bad}/")]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[200].score > got[201].score + 0.05
+
+
+def test_url_scores_are_those_of_a_plain_version(spark):
+    from collections import Counter
+    from math import log
+
+    rng, n, prior = np.random.default_rng(4), url_filter.ORDER, 4.0
+    urls = [f"http://{'abé7'[i % 4]}{rng.integers(0, 30)}.{('com', 'net', 'org')[i % 3]}/{('es', 'fr', 'X')[i // 3 % 3]}/{'w' * int(rng.integers(0, 20))}{rng.integers(0, 9)}" for i in range(150)] + ["", "\U0001f600"]
+    urls += urls[:40]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    count, context, symbols = Counter(), Counter(), set()
+    marked = lambda u: url_filter.START * (n - 1) + u + url_filter.END
+    for i, u in enumerate(urls):
+        if got[i].rule:
+            s = marked(u)
+            for at in range(n - 1, len(s)):
+                symbols.add(s[at])
+                for k in range(n):
+                    count[got[i].verdict, s[at - k : at + 1]] += 1
+                    context[got[i].verdict, s[at - k : at]] += 1
+    for i, u in enumerate(urls):
+        s, total = marked(u), 0.0
+        for at in range(n - 1, len(s)):
+            p = dict.fromkeys(("allow", "block"), 1 / (len(symbols) + 1))
+            for k in range(n):
+                if count["allow", s[at - k : at + 1]] + count["block", s[at - k : at + 1]]:
+                    p = {v: (count[v, s[at - k : at + 1]] + prior * p[v]) / (context[v, s[at - k : at]] + prior) for v in p}
+            total += log(p["allow"]) - log(p["block"])
+        assert got[i].score == pytest.approx(total / (len(u) + 1), abs=1e-9)
+
+
 def test_mixing(docs, none):
     out = mixing.mix(docs, mixing.dimensions()).collect()
     assert len(out) == len(TEXTS) + 2 and not any(r.mix_sampled for r in out if r.mix_tokens == 0)
