@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import decontamination, exact_dedup, mixing, near_dedup, quality
-from lexmill.llm._common import cut, shared_folder, without
+from lexmill.llm._common import cut, shared_folder, text_sha, without, without_repeats
 
 #: Documents with a score under this are rejected.
 LEAST_SCORE = 0.3
@@ -25,22 +25,22 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: of documents with equal texts, the one with the largest doc_id stays."""
     found = cut(exact_dedup.exact_duplicates(docs))
-    kept = without(docs, found.where("not kept and not doc_id <=> keep_id"))
+    kept = without(docs, found.where("not kept and not doc_id <=> keep_id"), sha_col="text_sha256")
     # rows that repeat a doc_id along with its text have the same id as the row that stays
-    if found.where("not kept and doc_id <=> keep_id").isEmpty():
-        return kept
-    text = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return kept.withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept if found.where("not kept and doc_id <=> keep_id").isEmpty() else without_repeats(kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of a class of near duplicates, the document with the smallest doc_id stays."""
-    return without(docs, near_dedup.near_duplicates(docs).where("not kept"))
+    """Operator 1: of a class of near duplicates, one document with the smallest doc_id stays."""
+    found = cut(near_dedup.near_duplicates(docs).where("not kept"))
+    kept = without(docs, found.where("not (doc_id <=> class_id and sha = keep_sha)"))
+    # rows that repeat the doc_id and the text of the row that stays
+    return kept if found.where("doc_id <=> class_id and sha = keep_sha").isEmpty() else without_repeats(kept)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: drops the documents that share too much with the benchmark."""
-    found = decontamination.contamination(docs, decontamination.read(spark, sf_dir, "benchmark"))
+    found = decontamination.contamination(docs, decontamination.read(spark, sf_dir, "benchmark"), extra={"sha": text_sha()})
     return without(docs, found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))))
 
 

@@ -76,7 +76,21 @@ def join_keyed(left: DataFrame, right: DataFrame, keys: str | list[str], how: st
     return left.join(known, keys, "left_semi").join(F.broadcast(right.join(known, keys, "left_semi")), keys, how).unionByName(warm)
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose id is not in `dropped`; Spark broadcasts a small `dropped`."""
-    ids = dropped.select(F.col(id_col).alias("_dropped"))
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+def text_sha(text_col: str = "text") -> Column:
+    """SHA-256 of a text; null counts as empty."""
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", sha_col: str = "sha") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose id and text are not those of a row of `dropped`.
+
+    Ids can be null or repeated: other texts of an id stay. Spark broadcasts a small `dropped`.
+    """
+    keys = dropped.select(F.col(id_col).alias("_dropped"), F.col(sha_col).alias("_dropped_sha")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_dropped")) & (F.col("_sha") == F.col("_dropped_sha"))
+    return docs.withColumn("_sha", text_sha()).join(keys, same, "left_anti").drop("_sha")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One of the rows that have equal ids (nulls are equal) and equal texts."""
+    return docs.withColumn("_sha", text_sha()).dropDuplicates([id_col, "_sha"]).drop("_sha")

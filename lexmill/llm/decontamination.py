@@ -95,8 +95,8 @@ def scan_by_join(docs: DataFrame, grams: DataFrame, columns: dict[str, Column],
     return heads.join(lists, "_row", "left").select(*columns, "n_words", F.coalesce("hits", none).alias("hits"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", share: float = 0.05, set_windows: int = SET_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, spans, contaminated) for every row of `docs`.
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", share: float = 0.05, set_windows: int = SET_WINDOWS, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, the columns `extra` of `docs`, n_words, n_hit, n_items, items, spans, contaminated) for every row of `docs`.
 
     spans has the word ranges (start, end) inside occurring windows of the benchmark, merged; n_hit
     counts their words, n_items the items that have an occurring window, and items lists them, sorted as
@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
     """
     grams = cut(windows(benchmark, size, item_id_col, item_text_col))
     n = grams.select("gram").distinct().count()
-    ids = {"doc_id": F.col(id_col)}
+    ids = {"doc_id": F.col(id_col)} | (extra or {})
     looked = cut((scan if n <= set_windows else scan_by_join)(docs, grams, ids, text_col).withColumn("row", F.monotonically_increasing_id()))
     some = looked.where(F.size("hits") > 0)
     # positions covered by any window
@@ -120,10 +120,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
     pairs = cut(some.select("row", F.explode(F.array_distinct(F.transform("hits", lambda h: h["gram"]))).alias("gram")))
     named = join_keyed(pairs, grams.groupBy("gram").agg(F.collect_set("item_id").alias("ids")), "gram", "inner")
     items = named.select("row", F.explode("ids").alias("item_id")).groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    out = looked.select("row", "doc_id", "n_words").join(places.join(items, "row", "left"), "row", "left")
+    out = looked.select("row", *ids, "n_words").join(places.join(items, "row", "left"), "row", "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        "doc_id",
+        *ids,
         "n_words",
         hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),

@@ -126,7 +126,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 6) -> DataFrame:
-    """(doc_id, class_id, class_size, kept) for every row of `docs`.
+    """(doc_id, sha, class_id, class_size, kept, keep_sha) for every row of `docs`.
 
     Documents are linked when the probability Jaccard similarity of their k-word shingles, weighted by
     how often they occur, is `threshold` or more; a class is a set of documents connected by links.
@@ -139,16 +139,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it. Only pairs of one bucket that are in different classes after that are left; the parts that either
     lacks of the centre bound their similarity, and the pairs that this bound allows are compared too.
 
-    class_id is the smallest doc_id of the class, and that document is kept. Null and empty texts, and
+    class_id is the smallest doc_id of the class, and one document with it is kept: of several texts the one
+    with the smallest SHA-256 (keep_sha), of repeated rows one. `sha` tells apart texts that share a doc_id. Null and empty texts, and
     texts without words, are alike only when equal (null counts as empty). Texts of fewer than k words
     are one shingle. Repeated rows are both returned, in one class. A null doc_id is allowed: such a
-    row takes part, and is kept only if its class has no other document. Other columns are ignored, so
+    row takes part, and can be kept only if no document of its class has an id. Other columns are ignored, so
     they may have any name.
     """
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = cut(base.mapInArrow(_sign(k, bands, rows), "doc_id long, sha string, key binary, bands array<long>"))
-    first = signed.groupBy("key").agg(F.min(F.struct("doc_id", "sha")).alias("at"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    signed = cut(base.mapInArrow(_sign(k, bands, rows), "doc_id long, sha string, key binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()))
+    first = signed.groupBy("key").agg(F.min(F.struct("doc_id", "sha")).alias("at"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha", "row")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = cut(first.sortWithinPartitions("key").select(F.monotonically_increasing_id().alias("node"), "key", F.col("at.doc_id").alias("doc_id"), F.col("at.sha").alias("sha"), "least", "copies", "bands"))
 
     exploded = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -188,13 +189,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = comps.unionByName(joined.select(F.col("comp").alias("node"), "comp").join(comps.select("node"), "node", "left_anti"))
         comps = cut(both.join(joined, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp")))
     named = cut(nodes.select("node", "key", "least", "copies").join(comps, "node", "left").select("key", "least", "copies", F.coalesce("comp", "node").alias("comp")))
-    sizes = named.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_key = join_keyed(named, cut(sizes), "comp", "inner").select("key", "class_id", "class_size")
-    return join_keyed(signed.select("doc_id", "key"), by_key, "key", "inner").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    sizes = named.groupBy("comp").agg(F.min("least").alias("keep"), F.sum("copies").alias("class_size"))
+    by_key = join_keyed(named, cut(sizes), "comp", "inner").select("key", F.col("keep.doc_id").alias("class_id"), "class_size", F.col("keep.row").alias("keep_row"), F.col("keep.sha").alias("keep_sha"))
+    return join_keyed(signed.select("doc_id", "sha", "row", "key"), by_key, "key", "inner").select("doc_id", "sha", "class_id", "class_size", (F.col("row") == F.col("keep_row")).alias("kept"), "keep_sha")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("sha", "keep_sha")
 
 
 QUERIES = {"op1_minhash": op1_minhash}

@@ -77,6 +77,33 @@ def test_decontamination(docs, none, spark):
     assert decontamination.contamination(none, bench).count() == 0
 
 
+def test_stages_drop_rows_and_not_ids(spark, tmp_path):
+    """Null and repeated ids: a stage drops the copy, near copy or contaminated row, and no other row of its id."""
+    import corpus_pipeline as P
+
+    words = lambda tag, n=40: [f"{tag}{i}" for i in range(n)]
+    near = lambda tag, i: " ".join(words(tag, 120) + [f"end{i}"])
+    schema = "doc_id long, text string, source string"
+    frame = lambda rows: spark.createDataFrame([(*r, "s") for r in rows], schema)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    stay = lambda rows: sorted(rows, key=str)
+
+    copies = [(5, "X"), (5, "Y"), (9, "X"), (None, "Z"), (None, "alone"), (1, "Z"), (None, "twice"), (None, "twice"), (None, None), (None, "")]
+    got = left(P.drop_copies(spark, frame(copies), ""))
+    assert stay((i, t or "") for i, t in got) == stay([(5, "Y"), (9, "X"), (None, "alone"), (1, "Z"), (None, "twice"), (None, "")])
+
+    a, b, c = (tuple(near(t, i) for i in range(3)) for t in "abc")
+    one = [(7, a[0]), (7, a[1]), (7, "other text of id seven"), (8, a[2]), (None, b[0]), (3, b[1]), (None, "clean one"), (None, c[0]), (None, c[1]), (4, "twice here"), (4, "twice here")]
+    got = left(P.drop_near_copies(spark, frame(one), ""))
+    assert len(got) == 6 and sum(x in got for x in ((7, a[0]), (7, a[1]))) == 1 and sum(x in got for x in ((None, c[0]), (None, c[1]))) == 1
+    assert {(7, "other text of id seven"), (3, b[1]), (None, "clean one"), (4, "twice here")} <= set(got)
+
+    spark.createDataFrame([(1, " ".join(words("q", 20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    dirty = " ".join(words("q", 20))
+    rows = [(None, dirty), (None, "clean"), (6, dirty), (6, "clean too"), (None, None)]
+    assert left(P.decontaminate(spark, frame(rows), str(tmp_path))) == stay([(None, "clean"), (6, "clean too"), (None, None)])
+
+
 def test_remove_spans(spark):
     df = spark.createDataFrame([("Keep, the BAD part; stays",)], "text string").withColumn("spans", F.expr("array(struct(3 as start, 4 as end))"))
     assert df.select(decontamination.remove_spans(F.col("text"), F.col("spans"))).first()[0] == "Keep the stays"
