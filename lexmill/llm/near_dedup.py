@@ -164,7 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = buckets.groupBy("bucket").agg(F.min(F.struct("own", "node")).alias("c"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("c.node").alias("centre"))
     placed = cut(buckets.join(centres, "bucket"))
     tested = cut(compared(placed.select("node", "centre").where("node <> centre").distinct(), texts, k))
-    links = tested.where(F.col("similarity") >= threshold).select("node", "centre")
+    # similarities are sums in floating point: one of exactly the threshold can come out a little lower
+    least = threshold - 1e-9
+    links = tested.where(F.col("similarity") >= least).select("node", "centre")
     comps = components(links)
     # what is still in different classes of one bucket
     rest = placed.join(comps, "node", "left").join(tested.select("node", "centre", "lost", "weight"), ["node", "centre"], "left").select("bucket", "node", "own", F.coalesce("comp", "node").alias("comp"), "lost", "weight")
@@ -180,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rough = f"(1 - own) * (1 - own2) >= {threshold} * (1 - own * own2) - 1e-9"
     possible = f"comp <> comp2 and node > node2 and {rough} and bucket = array_min(array_intersect(all, all2)) and {bound}"
     across = rest.join(other, "bucket").where(possible).select("node", F.col("node2").alias("centre"))
-    more = compared(across, texts, k).where(F.col("similarity") >= threshold).select("node", "centre")
+    more = compared(across, texts, k).where(F.col("similarity") >= least).select("node", "centre")
     # links between classes: only their names have to be joined up
     name = lambda df, c: df.join(comps.select(F.col("node").alias(c), F.col("comp").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
     bridges = cut(name(name(more, "node"), "centre").distinct())

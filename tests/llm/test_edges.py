@@ -44,6 +44,17 @@ def test_near_duplicates(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_at_exactly_the_threshold(spark):
+    """A text, and the same text with more words: the similarity is the fraction of their numbers of shingles."""
+    from fractions import Fraction
+
+    pairs = [(4 * k - less, 5 * k) for k in range(1, 31) for less in (0, 1)]
+    rows = [(2 * i + j, " ".join(f"p{i}w{x}" for x in range(n + 4))) for i, pair in enumerate(pairs) for j, n in enumerate(pair)]
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, pair in enumerate(pairs):
+        assert (got[2 * i].class_id == got[2 * i + 1].class_id) == (Fraction(*pair) >= Fraction(4, 5)), pair
+
+
 def test_exact_duplicates(docs, none):
     out = exact_dedup.exact_duplicates(docs, block_bytes=100_000).collect()
     assert len(out) == len(TEXTS) + 2
