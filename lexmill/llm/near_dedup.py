@@ -19,6 +19,8 @@ from ._shingles import batches, probability_jaccard, weighted_shingles
 CHUNK_CHARS = 1_000_000
 #: Members of one large centre that are compared with one copy of its text.
 SALT_ROWS = 1024
+#: Members of one centre, and characters of their texts, in a block that a task holds.
+BLOCK_ROWS, BLOCK_CHARS = 2048, 8_000_000
 #: Links that one task of the search for components gets.
 TASK_LINKS = 100_000
 
@@ -55,11 +57,13 @@ def _compare(k: int):
                 if not is_member.as_py():
                     centre, held = c, own
                 elif c == centre:
-                    bits = np.zeros(-len(held[0]) % 64 + len(held[0]), bool)
-                    bits[: len(held[0])] = ~np.isin(held[0], own[0], assume_unique=True)
-                    out.append((node.as_py(), c, probability_jaccard(held, own), np.packbits(bits).view(np.int64).tolist(), int(own[1].sum())))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["node", "centre", "similarity", "lost", "weight"])
+                    lost, extra = np.zeros((2, max(64, -len(held[0]) % 64 + len(held[0]))), bool)
+                    lost[: len(held[0])] = ~np.isin(held[0], own[0], assume_unique=True)
+                    extra[own[0][~np.isin(own[0], held[0], assume_unique=True)] % np.uint64(len(extra))] = True
+                    bits = (np.packbits(x).view(np.int64).tolist() for x in (lost, extra))
+                    out.append((node.as_py(), c, probability_jaccard(held, own), *bits, int(own[1].sum())))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["node", "centre", "similarity", "lost", "extra", "weight"])
 
     return run
 
@@ -82,8 +86,9 @@ def own_share(texts: DataFrame, k: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(node, centre, similarity, lost, weight) of `pairs` (node, centre): their exact similarity, a bit for
-    each distinct shingle of the centre that the node lacks, and the node's total weight.
+    """(node, centre, similarity, lost, extra, weight) of `pairs` (node, centre): their exact similarity, a
+    bit for each distinct shingle of the centre that the node lacks, as many bits in which those that only
+    the node has are marked by a hash, and the node's total weight.
 
     Members stream past their centre's shingles, so a task holds two texts at a time. A centre's members
     are dealt by a hash of the node, each share with its own copy of the centre's text; the number of
@@ -94,7 +99,97 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     members = pairs.select("centre", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt"), "node", F.lit(True).alias("is_member"))
     heads = members.select("centre", "salt").distinct().select("centre", "salt", F.col("centre").alias("node"), F.lit(False).alias("is_member"))
     rows = members.unionByName(heads).join(texts, "node").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "is_member", "node")
-    return rows.select("centre", "node", "is_member", "text").mapInArrow(_compare(k), "node long, centre long, similarity double, lost array<long>, weight long")
+    return rows.select("centre", "node", "is_member", "text").mapInArrow(_compare(k), "node long, centre long, similarity double, lost array<long>, extra array<long>, weight long")
+
+
+class _Block:
+    """Members of one centre, and the classes that links have joined so far."""
+
+    def __init__(self, k: int, threshold: float):
+        self.k, self.least = k, threshold - 1e-9
+        self.n, self.parent, self.texts, self.sets = 0, {}, [], {}
+        self.root, self.weight = np.empty(64, np.int64), np.empty(64)
+        self.lost = self.extra = np.empty((64, 0), np.uint64)
+
+    def find(self, comp: int) -> int:
+        while comp in self.parent:
+            comp = self.parent[comp]
+        return comp
+
+    def add(self, comp: int, lost: np.ndarray, extra: np.ndarray, weight: int, text: str) -> None:
+        if self.n == 0:
+            self.lost, self.extra = (np.empty((len(self.root), len(lost)), np.uint64) for _ in range(2))
+        if self.n == len(self.root):
+            self.root, self.weight, self.lost, self.extra = (np.concatenate([x, np.empty_like(x)]) for x in (self.root, self.weight, self.lost, self.extra))
+        self.root[self.n], self.lost[self.n], self.extra[self.n], self.weight[self.n] = self.find(comp), lost, extra, weight
+        self.texts.append(text)
+        self.n += 1
+
+    def links(self, comp: int, lost: np.ndarray, extra: np.ndarray, weight: int, text: str) -> Iterator[tuple[int, int]]:
+        """Links from a text to members of other classes: as many as join classes."""
+        mine = self.find(comp)
+        far = np.flatnonzero(self.root[: self.n] != mine)
+        if not len(far):
+            return
+        # of either one's weight, at least this much is not in the other: what of the centre only it holds, and
+        # the marks that only it has; then the similarity is at most (1 - a)(1 - b) / (1 - ab)
+        theirs, more = self.lost[far], self.extra[far]
+        count = lambda bits: np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        a = (count(lost & ~theirs) + count(more & ~extra)) / self.weight[far]
+        b = (count(theirs & ~lost) + count(extra & ~more)) / weight
+        most = (1 - a) * (1 - b) / np.maximum(1 - a * b, 1e-12)
+        fits = most >= self.least - 1e-9
+        own = None
+        for i in far[fits][np.argsort(-most[fits], kind="stable")].tolist():
+            if self.root[i] == mine:
+                continue
+            own = own or weighted_shingles(text, self.k)
+            if i not in self.sets:
+                self.sets[i] = weighted_shingles(self.texts[i], self.k)
+            if probability_jaccard(self.sets[i], own) >= self.least:
+                other = int(self.root[i])
+                yield mine, other
+                self.parent[other] = mine
+                self.root[: self.n][self.root[: self.n] == other] = mine
+
+
+def _join_classes(k: int, threshold: float):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, None
+        for batch in it:
+            out: list[tuple[int, int]] = []
+            for centre, b1, b2, streams, comp, lost, extra, weight, text in zip(*batch.columns, strict=True):
+                here = (centre.as_py(), b1.as_py(), b2.as_py())
+                if here != at:
+                    at, block = here, _Block(k, threshold)
+                bits = (x.values.to_numpy().view(np.uint64) for x in (lost, extra))
+                row = (comp.as_py(), *bits, weight.as_py(), text.as_py())
+                if streams.as_py() or here[1] == here[2]:
+                    out += block.links(*row)
+                if not streams.as_py():
+                    block.add(*row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["node", "centre"])
+
+    return run
+
+
+def bridges(tested: DataFrame, comps: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(node, centre): links between the classes `comps` of members of one centre, named by class.
+
+    Members of a centre are dealt to blocks of BLOCK_ROWS rows or BLOCK_CHARS characters, and each task
+    takes two blocks of one centre: it holds one of them and streams the other past it. Only members of
+    different classes whose bits allow a link are compared as texts, and a link joins their classes for
+    the rest of the task, so it gives fewer rows than it has members.
+    """
+    named = tested.join(comps, "node", "left").select("node", "centre", F.coalesce("comp", "node").alias("comp"), "lost", "extra", "weight")
+    members = cut(named.join(texts.select("node", F.length("text").alias("chars")), "node"))
+    sums = members.groupBy("centre").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("chars").alias("chars")).where("lo < hi")
+    several = sums.select("centre", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    dealt = join_keyed(members.drop("chars"), cut(several), "centre", "inner").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    meets = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(own, x) as b1, greatest(own, x) as b2, own > x as streams))"))
+    rows = dealt.select("node", "centre", "comp", "lost", "extra", "weight", meets.alias("m")).select("*", "m.*").join(texts, "node")
+    rows = rows.repartition("centre", "b1", "b2").sortWithinPartitions("centre", "b1", "b2", "streams", "node")
+    return rows.select("centre", "b1", "b2", "streams", "comp", "lost", "extra", "weight", "text").mapInArrow(_join_classes(k, threshold), "node long, centre long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -136,8 +231,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Verification gives the same links as comparing all pairs in a bucket, without listing them. Shingles
     that no other candidate has bound a node's similarity to anything, which drops most false candidates.
     Each bucket then has a centre, the node with the least of its own, and all others are compared with
-    it. Only pairs of one bucket that are in different classes after that are left; the parts that either
-    lacks of the centre bound their similarity, and the pairs that this bound allows are compared too.
+    it. Only members of one centre that are in different classes after that are left: bridges() joins
+    those that are alike, block by block, where what either lacks of the centre or has besides it bounds
+    their similarity.
 
     class_id is the smallest doc_id of the class, and one document with it is kept: of several texts the one
     with the smallest SHA-256 (keep_sha), of repeated rows one. `sha` tells apart texts that share a doc_id. Null and empty texts, and
@@ -160,34 +256,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a node with more than 1 - threshold on its own has no link at all
     own = own_share(texts, k)
     buckets = cut(found.join(own, "node", "left").select("bucket", "node", F.coalesce("own", F.lit(0.0)).alias("own")).where(F.col("own") <= 1 - threshold + 1e-9))
-
     centres = buckets.groupBy("bucket").agg(F.min(F.struct("own", "node")).alias("c"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("c.node").alias("centre"))
-    placed = cut(buckets.join(centres, "bucket"))
+    placed = join_keyed(buckets, cut(centres), "bucket", "inner")
     tested = cut(compared(placed.select("node", "centre").where("node <> centre").distinct(), texts, k))
     # similarities are sums in floating point: one of exactly the threshold can come out a little lower
     least = threshold - 1e-9
     links = tested.where(F.col("similarity") >= least).select("node", "centre")
     comps = components(links)
-    # what is still in different classes of one bucket
-    rest = placed.join(comps, "node", "left").join(tested.select("node", "centre", "lost", "weight"), ["node", "centre"], "left").select("bucket", "node", "own", F.coalesce("comp", "node").alias("comp"), "lost", "weight")
-    mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    rest = rest.join(mixed, "bucket").where("weight is not null")  # the centre was compared with all
-    rest = cut(rest.join(rest.groupBy("node").agg(F.collect_list("bucket").alias("all")), "node"))  # one for each band, at most
-    other = rest.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("node", "own", "comp", "lost", "weight", "all")))
-    # of either node's weight, at least this much is not in the other one: what it has on its own, and what of
-    # the bucket's centre only it holds; then the similarity is at most (1 - a)(1 - b) / (1 - ab)
-    n = lambda bits: f"aggregate({bits}, 0, (s, x) -> s + bit_count(x))"
-    a, b = f"(own + (n - {n('lost')}) / weight)", f"(own2 + (n - {n('lost2')}) / weight2)"
-    bound = f"transform(array({n('zip_with(lost, lost2, (p, q) -> p | q)')}), n -> (1 - {a}) * (1 - {b}) >= {threshold} * (1 - {a} * {b}) - 1e-9)[0]"
-    rough = f"(1 - own) * (1 - own2) >= {threshold} * (1 - own * own2) - 1e-9"
-    possible = f"comp <> comp2 and node > node2 and {rough} and bucket = array_min(array_intersect(all, all2)) and {bound}"
-    across = rest.join(other, "bucket").where(possible).select("node", F.col("node2").alias("centre"))
-    more = compared(across, texts, k).where(F.col("similarity") >= least).select("node", "centre")
-    # links between classes: only their names have to be joined up
-    name = lambda df, c: df.join(comps.select(F.col("node").alias(c), F.col("comp").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
-    bridges = cut(name(name(more, "node"), "centre").distinct())
-    if not bridges.isEmpty():
-        joined = components(bridges).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    # what is still in different classes of one centre
+    more = cut(bridges(tested, comps, texts, k, threshold).distinct())
+    if not more.isEmpty():
+        joined = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
         both = comps.unionByName(joined.select(F.col("comp").alias("node"), "comp").join(comps.select("node"), "node", "left_anti"))
         comps = cut(both.join(joined, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp")))
     named = cut(nodes.select("node", "key", "least", "copies").join(comps, "node", "left").select("key", "least", "copies", F.coalesce("comp", "node").alias("comp")))

@@ -49,14 +49,15 @@ def classes_by_hand(texts, threshold=0.8):
 
     def root(i):
         while parent[i] != i:
-            i = parent[i] = parent[parent[i]]
+            parent[i] = parent[parent[i]]
+            i = parent[i]
         return i
 
     ids = sorted(texts)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             ka, kb = shingles[a], shingles[b]
-            alike = texts[a] == texts[b] if not len(ka[0]) else 3 * min(len(ka[0]), len(kb[0])) >= max(len(ka[0]), len(kb[0])) and probability_jaccard(ka, kb) >= threshold
+            alike = texts[a] == texts[b] if not len(ka[0]) else 3 * min(len(ka[0]), len(kb[0])) >= max(len(ka[0]), len(kb[0])) and probability_jaccard(ka, kb) >= threshold - 1e-9  # a sum in floating point
             if alike:
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     return {i: root(i) for i in ids}
@@ -82,6 +83,53 @@ def test_a_dense_group_of_near_copies_is_resolved_exactly(spark):
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == classes_by_hand(texts)
 
 
+@pytest.mark.parametrize("edits", [2, 4, 7])
+def test_families_of_near_copies_are_resolved_exactly(spark, edits, monkeypatch):
+    """Three families with edits from a shared vocabulary; blocks so small that a centre has many of them."""
+    from lexmill.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(edits)
+    texts = {}
+    for i in range(180):
+        # the second family is as far from the first as makes them share buckets, and few links
+        words = [f"w{j}" if i % 3 < 2 or j % 2 else f"z{j}" for j in range(160)]
+        for at in range(0, 12 * (i % 3 == 1), 3):
+            words[at] = f"y{at}"
+        for at in rng.choice(160, size=edits, replace=False):
+            words[at] = f"v{rng.integers(0, 20)}"
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == classes_by_hand(texts)
+
+
+@pytest.mark.parametrize("edits", [3, 4, 5])
+def test_exact_comparisons_grow_with_the_members_and_not_with_their_pairs(edits, monkeypatch):
+    from lexmill.llm import near_dedup
+
+    def compared(n):
+        rng, done = np.random.default_rng(edits), []
+        base = [f"w{j}" for j in range(160)]
+        centre, _ = weighted_shingles(" ".join(base))
+        monkeypatch.setattr(near_dedup, "probability_jaccard", lambda a, b: done.append(1) or probability_jaccard(a, b))
+        block = near_dedup._Block(5, 0.8)
+        for i in range(n):
+            words = list(base)
+            for at in rng.choice(160, size=edits, replace=False):
+                words[at] = f"v{rng.integers(0, 20)}"
+            text = " ".join(words)
+            own, w = weighted_shingles(text)
+            lost, extra = np.zeros((2, 192), bool)
+            lost[: len(centre)] = ~np.isin(centre, own)
+            extra[own[~np.isin(own, centre)] % np.uint64(192)] = True
+            row = (i, *(np.packbits(x).view(np.uint64) for x in (lost, extra)), int(w.sum()), text)
+            list(block.links(*row))
+            block.add(*row)
+        return len(done)
+
+    assert compared(400) <= 4 * 400
+
+
 def test_token_totals_are_those_of_the_documents_that_stay(spark, sf_dir, texts):
     import base64
 
