@@ -9,8 +9,10 @@ from ._common import ascii_lower, cut, join_keyed, let, read
 
 #: A word is a run of these characters after A-Z were folded: digits, letters and all that isn't ASCII.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many distinct windows are held as a hash set in every task; more of them are joined instead.
+#: Up to so many distinct windows are broadcast to every task as a hash table; more of them are joined by shuffle.
 SET_WINDOWS = 200_000
+#: A window is looked up by its first words, so many of them at most, before it is hashed as a whole.
+HEAD = 3
 #: Parts of a word are joined by this character, which no word holds.
 JOINED = " "
 
@@ -20,8 +22,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), lambda w: w != "")
 
 
+def _head(word, m: int) -> Column:
+    """A hash of the first m words of a window; `word` gives them by number."""
+    return F.xxhash64(*(word(j) for j in range(m)))
+
+
 def windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, gram, width, anchor): distinct windows of each item, and the longest word of each.
+    """(item_id, gram, width, h, head): distinct windows of each item, their hash, and the hash of their first words.
 
     An item of fewer than `size` words, but not none, is one window.
     """
@@ -29,70 +36,47 @@ def windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
         F.size(w) > 0,
         F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (size - 1))), lambda i: F.slice(w, i, size)),
     ).otherwise(F.array().cast("array<array<string>>"))
-    longest = lambda a: F.aggregate(a, F.lit(""), lambda m, x: F.when(F.length(x) > F.length(m), x).otherwise(m))
     out = items.select(F.col(id_col).alias("item_id"), F.explode(let(words(F.col(text_col)), grams)).alias("g"))
-    return out.select("item_id", F.array_join("g", JOINED).alias("gram"), F.size("g").alias("width"), longest(F.col("g")).alias("anchor")).distinct()
-
-
-def _is_in(value: Column, keys: list) -> Column:
-    return value.isin(keys)
+    head = _head(lambda j: F.get("g", F.lit(j)), HEAD)
+    for m in range(1, HEAD):
+        head = F.when(F.size("g") == m, _head(lambda j: F.get("g", F.lit(j)), m)).otherwise(head)
+    return out.select("item_id", F.array_join("g", JOINED).alias("gram"), F.size("g").alias("width"), F.xxhash64("g").alias("h"), head.alias("head")).distinct()
 
 
-def scan(docs: DataFrame, grams: DataFrame, columns: dict[str, Column], text_col: str = "text") -> DataFrame:
-    """`columns` of every document, with n_words and hits: array of (pos, width, gram), all verified.
+def scan(docs: DataFrame, grams: DataFrame, columns: dict[str, Column], text_col: str, few: bool) -> DataFrame:
+    """One row for each document (`columns`, n_words, pos 0) and one for each hit (pos, width, gram), told apart by `row`.
 
-    A document's word can begin or end a match only near an anchor, the longest word of a window; so
-    windows are built around anchors alone, looked up by hash in the set, and then compared as text.
-    The set has one entry for each distinct window of the benchmark (the caller checked its size).
+    A window starts where its first words stand, so each position is looked up by the hash of its next
+    words; only positions that pass are hashed as whole windows, and those that pass again compared as
+    text. With `few`, the caller has counted the windows: they are broadcast, and the documents, read
+    once, aren't shuffled. Otherwise positions travel as hashes, and only those that pass meet their text again.
     """
-    table = grams.select("gram", "width", "anchor").distinct().collect()
-    anchors = sorted({r.anchor for r in table})
-    text_set = sorted({r.gram for r in table})
-    widths = sorted({r.width for r in table})
-    hashed = {r.h for r in grams.select(F.xxhash64(F.split("gram", JOINED)).alias("h")).distinct().collect()}
-    if not table:
-        none = F.array().cast("array<struct<pos:int,width:int,gram:string>>")
-        return docs.select(*(c.alias(k) for k, c in columns.items()), F.size(words(F.col(text_col))).cast("long").alias("n_words"), none.alias("hits"))
-
-    def found(w: Column, near: Column, width: int) -> Column:
-        # `near`: positions (from 1) of anchors; a window around one starts up to width - 1 words earlier
-        starts = F.array_distinct(F.flatten(F.transform(near, lambda i: F.sequence(F.greatest(F.lit(1), i - (width - 1)), i))))
-        fits = F.filter(starts, lambda i: (i + (width - 1) <= F.size(w)) & _is_in(F.xxhash64(F.slice(w, i, width)), sorted(hashed)))
-        grams_at = F.transform(fits, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.array_join(F.slice(w, i, width), JOINED).alias("gram")))
-        return F.filter(grams_at, lambda x: _is_in(x["gram"], text_set))
-
-    def body(w: Column) -> Column:
-        near = F.filter(F.transform(w, lambda x, i: F.when(_is_in(x, anchors), i + 1)), lambda i: i.isNotNull())
-        hits = let(near, lambda n: F.flatten(F.array(*(found(w, n, width) for width in widths))))
-        return F.struct(F.size(w).cast("long").alias("n_words"), hits.alias("hits"))
-
-    out = docs.select(*(c.alias(k) for k, c in columns.items()), let(words(F.col(text_col)), body).alias("s"))
-    return out.select(*columns, "s.n_words", "s.hits")
-
-
-def _all_windows(n: int):
-    one = lambda w: lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i, n), JOINED).alias("gram"))
-    return lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1))), one(w)))
-
-
-def scan_by_join(docs: DataFrame, grams: DataFrame, columns: dict[str, Column], text_col: str = "text") -> DataFrame:
-    """The same as scan() for a benchmark of any size: candidate windows are joined to the windows by hash and text."""
-    widths = [r[0] for r in grams.select("width").distinct().collect()]
-    # rows are told apart by what they hold, so that reading them twice gives the same keys
-    key = F.sha2(F.concat_ws("\x00", *(F.coalesce(c.cast("string"), F.lit("\x01")) for c in columns.values()), F.col(text_col)), 256)
-    base = docs.select(key.alias("_row"), *(c.alias(k) for k, c in columns.items()), words(F.col(text_col)).alias("w"))
-    heads = base.select("_row", *columns, F.size("w").cast("long").alias("n_words"))
-    known = grams.select("gram", "width").distinct()
-    parts = []
-    for width in widths:
-        at = base.select("_row", F.explode(let(F.col("w"), _all_windows(width))).alias("x")).select("_row", "x.pos", F.lit(width).alias("width"), "x.gram")
-        parts.append(at.join(known, ["gram", "width"], "left_semi"))
-    hits = parts[0] if parts else base.select("_row", F.lit(0).alias("pos"), F.lit(0).alias("width"), F.lit("").alias("gram")).where("false")
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    lists = hits.groupBy("_row").agg(F.collect_set(F.struct("pos", "width", "gram")).alias("hits"))
-    none = F.array().cast("array<struct<pos:int,width:int,gram:string>>")
-    return heads.join(lists, "_row", "left").select(*columns, "n_words", F.coalesce("hits", none).alias("hits"))
+    table = grams.select("gram", "width", "h", "head").distinct()
+    heads = table.groupBy("head").agg(F.collect_set("width").alias("widths"))
+    sizes = sorted({min(r[0], HEAD) for r in table.select("width").distinct().collect()}) or [HEAD]
+    base = docs.select(F.monotonically_increasing_id().alias("row"), *(c.alias(k) for k, c in columns.items()), words(F.col(text_col)).alias("w"))
+    if not few:
+        base = cut(base)  # its row numbers are used twice
+    # position 0 stands for the document; explode_outer, as explode would have Spark split each text twice
+    at = base.select("*", F.explode_outer(F.sequence(F.lit(0), F.size("w"))).alias("pos"))
+    keys = [_head(lambda j: F.get("w", F.col("pos") - 1 + j), m) for m in sizes]
+    head = keys[0] if len(keys) == 1 else F.explode_outer(F.when(F.col("pos") > 0, F.array(*keys)).otherwise(F.array(F.lit(0).cast("long"))))
+    fits = lambda df: df.where("pos + width <= size(w) + 1").withColumn("h", F.expr("if(width > 0, xxhash64(slice(w, pos, width)), null)"))
+    same = lambda df: (df.h == table.h) & (df.width == table.width) & (F.array_join(F.slice("w", F.greatest("pos", F.lit(1)), df.width), JOINED) == table.gram)
+    if few:
+        own = heads.unionByName(docs.sparkSession.sql("select cast(null as long) as head, array(0) as widths"))
+        places = at.withColumn("head", head).withColumn("head", F.when(F.col("pos") > 0, F.col("head")))
+        met = places.join(F.broadcast(own), places["head"].eqNullSafe(own["head"]))
+        found = fits(met.select("row", *columns, "w", "pos", F.explode_outer("widths").alias("width")))
+        hits = found.join(F.broadcast(table), same(found), "left").where(F.col("gram").isNotNull() | (F.col("pos") == 0))
+        return hits.select("row", *(F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in columns), F.when(F.col("pos") == 0, F.size("w").cast("long")).alias("n_words"), "pos", found.width, "gram")
+    places = at.where("pos > 0").select("row", "pos", head.alias("head"))
+    starts = join_keyed(places, cut(heads), "head", "inner").groupBy("row").agg(F.collect_set(F.struct("pos", "widths")).alias("starts"))
+    some = base.select("row", "w").join(starts, "row").select("row", "w", F.explode("starts").alias("s")).select("row", "w", "s.pos", F.explode("s.widths").alias("width"))
+    found = cut(fits(some).select("row", "pos", "width", "h", F.expr(f"array_join(slice(w, pos, width), '{JOINED}')").alias("gram")))
+    hits = join_keyed(found, cut(table.select("h", "width", "gram")), ["h", "width", "gram"], "inner").select("row", "pos", "width", "gram").distinct()
+    heads_of = base.select("row", *columns, F.size("w").cast("long").alias("n_words"), F.lit(0).alias("pos"), F.lit(0).alias("width"), F.lit(None).cast("string").alias("gram"))
+    return heads_of.unionByName(hits, allowMissingColumns=True)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", share: float = 0.05, set_windows: int = SET_WINDOWS, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -109,18 +93,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
     grams = cut(windows(benchmark, size, item_id_col, item_text_col))
     n = grams.select("gram").distinct().count()
     ids = {"doc_id": F.col(id_col)} | (extra or {})
-    looked = cut((scan if n <= set_windows else scan_by_join)(docs, grams, ids, text_col).withColumn("row", F.monotonically_increasing_id()))
-    some = looked.where(F.size("hits") > 0)
-    # positions covered by any window
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["pos"], h["pos"] + h["width"] - 1)))))
-    starts = lambda c: F.filter(c, lambda p: ~F.array_contains(c, p - 1))
-    ends = lambda c: F.filter(c, lambda p: ~F.array_contains(c, p + 1))
-    spans = let(covered, lambda c: F.struct(F.size(c).cast("long").alias("n_hit"), F.arrays_zip(starts(c).alias("start"), ends(c).alias("end")).alias("spans")))
-    places = some.select("row", spans.alias("s")).select("row", "s.n_hit", "s.spans")
-    pairs = cut(some.select("row", F.explode(F.array_distinct(F.transform("hits", lambda h: h["gram"]))).alias("gram")))
+    looked = cut(scan(docs, grams, ids, text_col, n <= set_windows))
+    hits = looked.where("pos > 0")
+    # positions covered by any window, in order: a range starts or ends where the one before or after is missing
+    covered = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.col("width") - 1)))))
+    starts = lambda c: F.filter(c, lambda p, i: (i == 0) | (F.get(c, i - 1) < p - 1))
+    ends = lambda c: F.filter(c, lambda p, i: (i == F.size(c) - 1) | (F.get(c, i + 1) > p + 1))
+    spans = let(F.col("c"), lambda c: F.struct(F.size(c).cast("long").alias("n_hit"), F.arrays_zip(starts(c).alias("start"), ends(c).alias("end")).alias("spans")))
+    places = hits.groupBy("row").agg(covered.alias("c")).select("row", spans.alias("s")).select("row", "s.n_hit", "s.spans")
+    pairs = cut(hits.select("row", "gram").distinct())
     named = join_keyed(pairs, grams.groupBy("gram").agg(F.collect_set("item_id").alias("ids")), "gram", "inner")
     items = named.select("row", F.explode("ids").alias("item_id")).groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    out = looked.select("row", *ids, "n_words").join(places.join(items, "row", "left"), "row", "left")
+    out = looked.where("pos = 0").select("row", *ids, "n_words").join(places.join(items, "row", "left"), "row", "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         *ids,
@@ -135,7 +119,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
 
 def remove_spans(text: Column, spans: Column) -> Column:
     """A text with the words in `spans` (of contamination()) taken out, the other words as they were, single-spaced."""
-    kept = lambda w: F.filter(w, lambda x, i: ~F.exists(spans, lambda s: (i + 1 >= s["start"]) & (i + 1 <= s["end"])))
+    end = lambda j: F.when(j > 0, F.get(spans, j - 1)["end"]).otherwise(0)
+    start = lambda j, w: F.when(j < F.size(spans), F.get(spans, j)["start"]).otherwise(F.size(w) + 1)
+    kept = lambda w: F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), lambda j: F.slice(w, end(j) + 1, F.greatest(F.lit(0), start(j, w) - end(j) - 1))))
     original = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
     return F.array_join(let(original, kept), " ")
 
