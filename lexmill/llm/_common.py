@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,16 +22,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _ensure_folder(spark: SparkSession) -> None:
+    """Sets the checkpoint folder: the one of spark.checkpoint.dir, or one in the warehouse, which is shared as well."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the reliable checkpoint folder and without lineage.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a folder of our own is set
-    only where that is unset (as in tests on one machine).
+    The folder is the one that the cluster names in spark.checkpoint.dir; where that is unset, one in
+    the warehouse.
     """
     _ensure_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -47,6 +49,24 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a DataFrame as a table in the shared folder, for large steps: tables are
+    compressed, which checkpoints needn't be. The tables go at the end of the block."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.append(shared_folder(spark, "table"))
+        df.write.parquet(paths[-1])
+        return spark.read.parquet(paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            remove_folder(spark, path)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, A_Z, A_Z.lower())
@@ -57,17 +77,24 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def join_keyed(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "left") -> DataFrame:
+def hot_rows(n: int) -> float:
+    """How many of n rows a hot key has at least."""
+    return max(1000, n * HOT_SHARE)
+
+
+def join_keyed(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join `left` to `right`, which has one row for each key, however often one key occurs in `left`.
 
     Keys that hold HOT_SHARE of left's rows or more are counted first - 256 at most, a bound that holds
     at any size - and their rows of `right` are broadcast; all other rows are shuffled as usual. Rows
     with a null key match nothing and stay when `how` is "left". `left` is read more than once, so it
-    should be a table or a checkpoint.
+    should be a table or a checkpoint. A caller that knows the hot keys gives them as `hot`, with the
+    columns of `keys`.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    counts = left.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = counts.where(F.col("_n") >= max(1000, left.count() * HOT_SHARE)).select(*keys)
+    if hot is None:
+        counts = left.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n"))
+        hot = counts.where(F.col("_n") >= hot_rows(left.count())).select(*keys)
     rows = hot.collect()
     if not rows:
         return left.join(right, keys, how)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, cut, join_keyed, read
+from ._common import ascii_lower, cut, hot_rows, join_keyed, read, scratch
 
 # Fixed values: (verdict, host, path).
 RULES = [
@@ -17,6 +19,8 @@ RULES = [
 ]
 #: Longest n-gram of the models, in characters as they are. All n-grams that occur are kept, so the models grow with the table.
 ORDER = 12
+#: Hot n-grams are looked for among those of up to so many characters first.
+SHORT = 3
 #: Marks before and after a URL.
 START, END = "\x02", "\x03"
 #: Share of the accepted URLs that calibration lets the models block, at most.
@@ -51,36 +55,53 @@ def _grams(urls: DataFrame, *keep: str) -> DataFrame:
     return marked.select(*keep, F.explode(at).alias("gram"))
 
 
-def _tails(full: DataFrame, *keep: str) -> DataFrame:
-    """One row for each order and each n-gram of full order: its last characters."""
-    return full.select(*keep, F.posexplode(F.expr(f"transform(sequence(1, {ORDER}), k -> substring(gram, {ORDER} - k + 1, k))")).alias("k", "tail"))
+def _tails(full: DataFrame, keep: list[str], context: bool = False, orders: tuple[int, int] = (1, ORDER)) -> DataFrame:
+    """One row for each order k and each n-gram of full order: the hash of its last k characters, and of all of these but the last.
+
+    N-grams of all orders are named by 64-bit hashes. Of n different ones, n * n / 2**65 pairs are expected to
+    share a name, and so their counts: a few of a billion.
+    """
+    tail, before = (f"xxhash64(substring(gram, {ORDER} - k + 1, k - {less}))" for less in (0, 1))
+    one = f"named_struct('k', k, 'tail', {tail}{f", 'context', {before}" if context else ''})"
+    return full.select(*keep, F.explode(F.expr(f"transform(sequence({orders[0]}, {orders[1]}), k -> {one})")).alias("t")).select(*keep, "t.*")
 
 
-def train(full: DataFrame) -> tuple[DataFrame, int]:
+def train(full: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
     """(tail, good, bad, good_all, bad_all) of all n-grams of all orders that either class has seen, and the number of symbols.
 
     `full` has (gram, good, bad): n-grams of full order with their numbers in accepted and rejected URLs.
-    good_all and bad_all count the context, which is all characters but the last.
+    good_all and bad_all count the context, which is all characters but the last. `keep` stores a table.
     """
-    counts = cut(_tails(full.where("good + bad > 0"), "good", "bad").groupBy("tail").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("context", F.expr("substring(tail, 1, length(tail) - 1)")))
-    contexts = counts.groupBy("context").agg(F.sum("good").alias("good_all"), F.sum("bad").alias("bad_all"))
-    # a context has one row for each character that follows it, so no key is hot
-    return cut(counts.join(contexts, "context").drop("context")), counts.where("context = ''").count()
+    seen = full.where("good + bad > 0")
+    counts = _tails(seen, ["good", "bad"], context=True).groupBy("context", "tail").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    whole = Window.partitionBy("context")  # one row for each character that follows it, so no key is hot
+    model = counts.select("tail", "good", "bad", F.sum("good").over(whole).alias("good_all"), F.sum("bad").over(whole).alias("bad_all"))
+    return keep(model), seen.select(F.substring("gram", ORDER, 1)).distinct().count()
+
+
+def _hot_tails(full: DataFrame) -> DataFrame:
+    """The tails that are hot among all tails of `full`: one is only if its own tails are, so few long ones have to be counted."""
+    least = hot_rows(ORDER * full.count())
+    counted = lambda df: df.groupBy("tail").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("tail")
+    short = cut(counted(_tails(full, [], orders=(1, SHORT))))
+    start = F.expr(f"xxhash64(substring(gram, {ORDER - SHORT + 1}, {SHORT}))")
+    return short.unionByName(counted(_tails(full.join(F.broadcast(short), start == short["tail"], "left_semi"), [], orders=(SHORT + 1, ORDER))))
 
 
 def deltas(full: DataFrame, model: DataFrame, symbols: int, prior: float = 4.0) -> DataFrame:
-    """(gram, delta) of n-grams of full order: log-probability of the last character, accepted minus rejected.
+    """(name, delta) of n-grams of full order, by their hash: log-probability of the last character, accepted minus rejected.
 
     Each class has a variable-order model: the estimate after a context of k characters is its counts
     plus `prior` times the estimate after k - 1, down to a uniform one over the symbols seen and a new one;
     so a context is used as far as it was seen. The longest tail of the n-gram that either class has seen
-    is used; an n-gram whose last character is new to both has 0.
+    is used; an n-gram whose last character is new to both has no row, and counts as 0.
     """
-    seen = join_keyed(_tails(full, "at"), model, "tail", "inner").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("k", "good", "bad", "good_all", "bad_all"))).alias("orders"))
+    seen = join_keyed(_tails(full, ["at"]), model, "tail", "inner", _hot_tails(full)).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("k", "good", "bad", "good_all", "bad_all"))).alias("orders"))
     uniform = F.lit(1.0 / (symbols + 1))
     step = lambda p, x: F.struct(*(((x[c] + prior * p[c]) / (x[f"{c}_all"] + prior)).alias(c) for c in ("good", "bad")))
     value = F.aggregate("orders", F.struct(uniform.alias("good"), uniform.alias("bad")), step, lambda p: F.log(p["good"]) - F.log(p["bad"]))
-    return full.select("at", "gram").join(seen.select("at", value.alias("delta")), "at", "left").select("gram", F.coalesce("delta", F.lit(0.0)).alias("delta"))
+    # the hash comes last: up to here the number travels, which has fewer bytes
+    return seen.select("at", value.alias("delta")).join(full.select("at", F.xxhash64("gram").alias("name")), "at").select("name", "delta")
 
 
 def score(kinds: DataFrame) -> DataFrame:
@@ -89,13 +110,16 @@ def score(kinds: DataFrame) -> DataFrame:
     `kinds` has (url, verdict, n): distinct URLs, the verdict of a rule or null, and how many rows have them.
     N-grams are counted before they are joined, and only the hot ones of a join are broadcast.
     """
-    kinds = cut(kinds.withColumn("kind", F.monotonically_increasing_id()))
-    n = lambda verdict: F.expr(f"if(verdict = '{verdict}', n, 0)")
-    places = _grams(kinds.withColumns({"good": n("allow"), "bad": n("block")}), "kind", "good", "bad")
-    full = cut(places.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("at", F.monotonically_increasing_id()))
-    known = cut(deltas(full, *train(full)))
-    means = join_keyed(places.select("kind", "gram"), known, "gram", "inner").groupBy("kind").agg(F.avg("delta").alias("score"))
-    return kinds.select("kind", "url").join(means, "kind").select("url", "score")
+    with scratch(kinds.sparkSession) as keep:
+        kinds = cut(kinds.withColumn("kind", F.monotonically_increasing_id()))
+        n = lambda verdict: F.expr(f"if(verdict = '{verdict}', n, 0)")
+        counted = _grams(kinds.withColumns({"good": n("allow"), "bad": n("block")}), "good", "bad").groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        full = keep(counted.withColumn("at", F.monotonically_increasing_id()))
+        known = keep(deltas(full, *train(full, keep)))
+        places = _grams(kinds, "kind").select("kind", F.xxhash64("gram").alias("name"))
+        sums = join_keyed(places, known, "name", "inner").groupBy("kind").agg(F.sum("delta").alias("sum"))
+        scores = F.coalesce("sum", F.lit(0.0)) / (F.length("url") + 1)
+        return cut(kinds.select("kind", "url").join(sums, "kind", "left").select("url", scores.alias("score")))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] | None = None, miss: float = MISS) -> DataFrame:
@@ -120,7 +144,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     if seen != {"allow", "block"}:
         scores, limit = kinds.select("url", F.lit(0.0).alias("score")), 0.0
     else:
-        scores = cut(score(kinds))
+        scores = score(kinds)
         good = labelled.where("verdict = 'allow'").join(scores, "url").groupBy(F.round("score", DECIMALS).alias("at")).agg(F.sum("n").alias("n"))
         below = F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a bounded histogram
         total = F.sum("n").over(Window.partitionBy())
