@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,11 +39,11 @@ def bpe_count(text: Column, vocabulary: str) -> Column:
 class TokenRollup:
     """Additive totals of documents and tokens by source, language and tokenizer version.
 
-    A batch of changes is reduced to signed sums per key and written as one folder of its own, named by
-    the batch. Committing a batch again replaces that folder by the same sums, so redelivery and retries
-    change nothing; a folder counts only once Spark has marked it complete. Totals are the sums over all
-    batches. compact() folds the batches into one snapshot, which remembers their names: they are then
-    ignored if they are delivered again.
+    A batch of changes is reduced to signed sums per key, written aside and moved to a folder of its own,
+    named by the batch. The first commit of a batch counts: a batch that is there already, or in the
+    snapshot, is left as it is, so redelivery and retries change nothing. Totals are the sums over the snapshot and all
+    batches since. compact() folds these batches into a new snapshot with a table of their names. One process
+    at a time commits and compacts; totals() may run beside them.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -57,11 +58,25 @@ class TokenRollup:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._at(""))]
         return sorted(n for n in names if n.startswith(prefix) and self._fs.exists(self._at(f"{n}/_SUCCESS")))
 
-    def _folded(self) -> tuple[str | None, set[str]]:
+    def _state(self) -> tuple[str | None, list[str]]:
+        """The last snapshot and the batches that it doesn't hold, from one listing.
+
+        Batches are deleted after they were folded, so no more are listed than were committed since then.
+        """
+        if not self._fs.exists(self._at("")):
+            return None, []
+        # batches first: one that is folded meanwhile is in the snapshot listed after it, and its name with it
+        batches = self._complete("batch-")
         last = (self._complete("snapshot-") or [None])[-1]
-        if last is None:
-            return None, set()
-        return last, {r[0] for r in self.spark.read.parquet(f"{self.path}/{last.replace('snapshot', 'batches')}").collect()}
+        held = self._held(last, [b.removeprefix("batch-") for b in batches])
+        return last, [b for b in batches if b.removeprefix("batch-") not in held]
+
+    def _held(self, snapshot: str | None, batches: list[str]) -> set[str]:
+        """Those of `batches` that the snapshot holds."""
+        if snapshot is None or not batches:
+            return set()
+        names = self.spark.read.parquet(f"{self.path}/{snapshot.replace('snapshot', 'batches')}")
+        return {r[0] for r in names.where(F.col("batch").isin(batches)).collect()}
 
     def commit(self, batch: str, changes: DataFrame) -> None:
         """Apply changes: rows of KEYS with old_tokens and new_tokens.
@@ -70,35 +85,44 @@ class TokenRollup:
         nothing. Null keys are values of their own. Deletes and revisions of documents that were never
         inserted make totals negative: changes are trusted, as they are only added up.
         """
-        if batch in self._folded()[1]:
+        name = f"batch-{batch}"
+        if self._fs.exists(self._at(f"{name}/_SUCCESS")) or self._held((self._complete("snapshot-") or [None])[-1], [batch]):
             return
         old, new = F.col("old_tokens"), F.col("new_tokens")
         signed = changes.select(*KEYS, (new.isNotNull().cast("long") - old.isNotNull().cast("long")).alias("docs"), (F.coalesce(new, F.lit(0)) - F.coalesce(old, F.lit(0))).cast("long").alias("tokens"))
-        signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
-
-    def _all(self) -> DataFrame | None:
-        last, folded = self._folded()
-        names = [n for n in self._complete("batch-") if n.removeprefix("batch-") not in folded] + ([last] if last else [])
-        return self.spark.read.parquet(*(f"{self.path}/{n}" for n in names)) if names else None
+        aside = f"try-{uuid.uuid4().hex}"
+        signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.path}/{aside}")
+        self._fs.delete(self._at(name), True)  # what a broken move has left
+        if not self._fs.rename(self._at(aside), self._at(name)):
+            raise OSError(f"{name} could not be put in its place")
+
+    def _sums(self, last: str | None, batches: list[str]) -> DataFrame:
+        names = batches + ([last] if last else [])
+        if not names:
+            return self.spark.createDataFrame([], "source string, lang string, tokenizer string, docs long, tokens long")
+        rows = self.spark.read.parquet(*(f"{self.path}/{n}" for n in names))
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens): one row for each key that still has documents or tokens."""
-        rows = self._all()
-        if rows is None:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer string, docs long, tokens long")
-        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        return self._sums(*self._state())
 
     def compact(self) -> None:
-        """Fold all batches into a snapshot; the names go first, so a snapshot is never without them."""
-        last, folded = self._folded()
-        fresh = {n.removeprefix("batch-") for n in self._complete("batch-")} - folded
+        """Fold all batches into a snapshot; their names go first, so a snapshot is never without them.
+
+        The names and the sums are of one listing: a batch committed meanwhile is in neither.
+        """
+        last, fresh = self._state()
         if not fresh:
             return
         n = int(last.rpartition("-")[2]) + 1 if last else 0
-        self.spark.createDataFrame([(b,) for b in sorted(folded | fresh)], "batch string").write.mode("overwrite").parquet(f"{self.path}/batches-{n:08d}")
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/snapshot-{n:08d}")
+        names = self.spark.createDataFrame([(b.removeprefix("batch-"),) for b in fresh], "batch string")
+        if last:
+            names = names.unionByName(self.spark.read.parquet(f"{self.path}/{last.replace('snapshot', 'batches')}"))
+        names.write.mode("overwrite").parquet(f"{self.path}/batches-{n:08d}")
+        self._sums(last, fresh).write.mode("overwrite").parquet(f"{self.path}/snapshot-{n:08d}")
         for b in fresh:
-            self._fs.delete(self._at(f"batch-{b}"), True)
+            self._fs.delete(self._at(b), True)
 
 
 def counted(docs: DataFrame, tokenizers: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
