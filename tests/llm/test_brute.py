@@ -203,3 +203,53 @@ def test_pipeline_stages(spark, sf_dir, texts):
 
 def test_run_applies_all_stages(spark, sf_dir):
     assert 0 < corpus_pipeline.run(spark, sf_dir).count() < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def rake_by_hand(cells, margins, powers, keep_share):
+    """Weights and sampling probabilities of cells {values: tokens}: scaling margin by margin, then a scale by bisection."""
+    total = sum(cells.values())
+    goals = []
+    for d, power in enumerate(powers):
+        sums = Counter()
+        for c, n in cells.items():
+            sums[c[d]] += n
+        whole = sum(n**power for n in sums.values())
+        goals.append({v: n**power / whole for v, n in sums.items()})
+    w = {c: n / total for c, n in cells.items()}
+    for _ in range(200):
+        for d in range(margins):
+            now = Counter()
+            for c in w:
+                now[c[d]] += w[c]
+            w = {c: w[c] * goals[d][c[d]] / now[c[d]] for c in w}
+    low, high = 0.0, total * 1e6
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(n, mid * w[c]) for c, n in cells.items()) < keep_share * total else (low, mid)
+    return {c: (w[c] * total / n, min(1.0, high * w[c] / n)) for c, n in cells.items()}
+
+
+def test_mixing_of_the_whole_table(spark, sf_dir):
+    from lexmill.llm import mixing
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+
+    def topic(t):
+        return "legal" if "license" in t.lower() or "copyright" in t.lower() else "web" if "://" in t or "@" in t else "table" if " | " in t else "prose"
+
+    # white space as Java's \s
+    tokens = {r.doc_id: len([w for w in re.split(r"[ \t\n\x0b\f\r]+", r.text) if w]) for r in rows}
+    cell = {r.doc_id: (r.source, r.lang, topic(r.text)) for r in rows}
+    cells = Counter()
+    for i, n in tokens.items():
+        cells[cell[i]] += n
+    want = rake_by_hand({c: n for c, n in cells.items() if n}, 3, [mixing.POWERS[d] for d in ("source", "lang", "topic")], mixing.KEEP_SHARE)
+    got = registry.queries()["op4_mix"](spark, sf_dir).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert ((r.source, r.lang, r.topic), r.n_tokens) == (cell[r.doc_id], tokens[r.doc_id])
+        assert (r.weight, r.probability) == pytest.approx(want[cell[r.doc_id]] if r.n_tokens else (r.weight, 0.0), rel=1e-6)
+    # a document is drawn by its probability: what is sampled is what is expected, within five standard deviations
+    expected, spread = sum(r.probability * r.n_tokens for r in got), sum(r.probability * (1 - r.probability) * r.n_tokens**2 for r in got) ** 0.5
+    assert abs(sum(r.n_tokens for r in got if r.sampled) - expected) <= 5 * spread
+    assert all(r.sampled for r in got if r.probability == 1 and r.n_tokens) and not any(r.sampled for r in got if r.probability == 0)

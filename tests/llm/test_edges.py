@@ -297,3 +297,67 @@ def test_rollup(spark, docs, none, tmp_path):
     counts = token_rollup.counted(docs.where("doc_id = 5 or doc_id = 0")).collect()
     assert {(c.doc_id, c.words, c.marked_words) for c in counts} == {(0, 0, 0), (5, 3, 3)} and all(c.bpe >= c.words for c in counts)
     assert token_rollup.counted(none).count() == 0
+
+
+def test_block_names_are_ranks_however_rows_are_dealt(spark):
+    rows = spark.createDataFrame([((i * 7919) % 1000, (i * 31) % 5) for i in range(1000)], "a long, b long").distinct()
+    want = {tuple(r): n for n, r in enumerate(sorted(map(tuple, rows.collect())))}
+    for parts, tasks in ((3, 1), (8, 5), (1, 16)):
+        assert {(r.a, r.b): r.name for r in exact_dedup._numbered(rows.repartition(parts), tasks, "a", "b").collect()} == want
+
+
+def test_a_very_long_conversation(spark):
+    """Spans and texts of 3,000 turns, and one turn of 300,000 characters outside the basic plane, are found again."""
+    rows = [(1, i, ("user", "assistant")[i // 2 % 2], f"<t{i}> é😀" * (i % 4)) for i in range(3000)] + [(1, 3000, "assistant", "😀[" * 150_000)]
+    out = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    r = out.select(chat_format.read_chats(F.col("formatted")).alias("turns"), chat_format.under_spans(F.col("formatted"), F.col("loss_spans")).alias("under")).first()
+    assert [tuple(t) for t in r.turns] == [(role, text) for _, _, role, text in rows]
+    assert [x.replace("&#91;", "[").replace("&lt;", "<") for x in r.under] == [text for _, _, role, text in rows if role == "assistant"]
+
+
+def test_mixing_keeps_the_columns_of_its_input(spark):
+    df = spark.createDataFrame([(1, "a b", "s", "x", 5, "y"), (2, "c", "t", "z", 6, "w")], "doc_id long, text string, source string, mix_batch string, mix_tokens int, _mix_source string")
+    out = mixing.mix(df, {"source": F.col("source")}, {"source": {"s": 1, "t": 1, "absent": 2}}, keep_share=1.0)
+    assert out.columns == ["doc_id", "text", "source", "mix_batch", "_mix_source", "mix_source", "mix_tokens", "mix_weight", "mix_probability", "mix_sampled"]
+    got = by_id(out)
+    assert (got[1].mix_batch, got[1]._mix_source, got[1].mix_tokens, got[1].mix_source) == ("x", "y", 2, "s") and got[1].mix_sampled
+    assert got[1].mix_weight == pytest.approx(0.75) and got[2].mix_weight == pytest.approx(1.5)
+
+
+def test_mixing_tells_of_targets_that_cannot_be_met(spark):
+    df = spark.createDataFrame([(1, "a", "s", "x"), (2, "b", "t", "y")], "doc_id long, text string, source string, lang string")
+    with pytest.warns(UserWarning, match="has not met"):
+        mixing.mix(df, {"source": F.col("source"), "lang": F.col("lang")}, {"source": {"s": 1, "t": 1}, "lang": {"x": 1, "y": 9}})
+
+
+def test_rows_without_an_id_are_drawn_by_their_text(spark):
+    df = spark.createDataFrame([(None, f"text number {i}", "s") for i in range(400)], "doc_id long, text string, source string")
+    assert 140 < mixing.mix(df, {"source": F.col("source")}, keep_share=0.5).where("mix_sampled").count() < 260
+
+
+def test_a_batch_committed_during_compaction_counts_once(spark, tmp_path, monkeypatch):
+    schema = "source string, lang string, tokenizer string, old_tokens long, new_tokens long"
+    one = spark.createDataFrame([("a", "en", "v1", None, 10)], schema)
+    r = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    r.commit("1", one)
+    sums = r._sums
+    monkeypatch.setattr(r, "_sums", lambda *a: r.commit("2", one) or sums(*a))
+    r.compact()
+    monkeypatch.undo()
+    r.commit("2", one)
+    r.commit("1", one)
+    assert [(x.docs, x.tokens) for x in r.totals().collect()] == [(2, 20)]
+    r.compact()
+    assert [(x.docs, x.tokens) for x in r.totals().collect()] == [(2, 20)]
+
+
+def test_the_first_commit_of_a_batch_counts_before_and_after_compaction(spark, tmp_path):
+    schema = "source string, lang string, tokenizer string, old_tokens long, new_tokens long"
+    batch = lambda n: spark.createDataFrame([("a", "en", "v1", None, n)], schema)
+    r = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    r.commit("1", batch(10))
+    r.commit("1", batch(99))
+    assert r.totals().first().tokens == 10
+    r.compact()
+    r.commit("1", batch(99))
+    assert r.totals().first().tokens == 10
