@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import cut, join_keyed, read
@@ -11,35 +11,46 @@ from ._common import cut, join_keyed, read
 TASK_ROWS = 500_000
 
 
-def _numbered(distinct: DataFrame, *order: str) -> DataFrame:
-    """Distinct rows with an integer `name` each: partitions are sorted, then their rows counted."""
-    return cut(distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id()))
+def _numbered(distinct: DataFrame, tasks: int, *order: str) -> DataFrame:
+    """Distinct rows with an integer `name` each, which is their rank: it depends on the rows alone, not on how they are dealt.
+
+    Rows are dealt by ranges and sorted; a row's rank is its number in its partition and the sizes of the
+    partitions before it, a table with one row for each partition.
+    """
+    at = F.monotonically_increasing_id()
+    placed = cut(distinct.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("*", at.alias("_at")))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg((F.max(within) + 1).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    offsets = F.broadcast(cut(sizes.select("_part", before.alias("_before"))))
+    return placed.join(offsets, part == offsets["_part"]).select(*distinct.columns, (within + F.col("_before")).alias("name"))
 
 
 def _block_names(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """(row, ix, name) of every block: equal blocks, and only they, have the same integer name.
 
-    Blocks are grouped by a 64-bit hash, so that only the hash has to travel back to the documents; the
-    different blocks of one hash are sorted, and each gets a name. Should a hash have two blocks, its
-    documents' blocks are compared byte by byte.
+    A name is the block's rank by its 64-bit hash and then its bytes; so that only the hash has to travel
+    back to the documents, blocks are first grouped by it. Should a hash have two blocks, its documents'
+    blocks are compared byte by byte.
     """
     sets = blocks.groupBy("h").agg(F.sort_array(F.collect_set("block")).alias("set"))
     shared = F.size("set") > 1
-    names = _numbered(sets.select("h", shared.alias("shared"), F.explode("set").alias("block")).withColumn("block", F.expr("if(shared, block, null)")), "h", "block")
+    distinct = cut(sets.select("h", shared.alias("shared"), F.explode("set").alias("block")).withColumn("block", F.expr("if(shared, block, null)")))
+    names = _numbered(distinct, distinct.count() // TASK_ROWS + 1, "h", "block")
     flat = rows.select("row", F.posexplode("hashes").alias("ix", "h"))
     named = join_keyed(flat, names.where("not shared").select("h", "name"), "h", "inner").select("row", "ix", "name")
     several = names.where("shared").select("h", "block", "name")
-    if several.isEmpty():
+    if distinct.where("shared").isEmpty():
         return named
-    return named.unionByName(join_keyed(cut(blocks), several, ["h", "block"], "inner").select("row", "ix", "name"))
+    return named.unionByName(join_keyed(cut(blocks.join(several.select("h").distinct(), "h", "left_semi")), several, ["h", "block"], "inner").select("row", "ix", "name"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, normalise=None) -> DataFrame:
     """(row, doc_id, keep_id, group_size, kept, text_sha256) for every row of `docs`.
 
     Each text is cut into blocks of `block_bytes` bytes of UTF-8. Distinct blocks are sorted and named
-    by integers; then adjacent names are paired and the distinct pairs sorted and named, level by level,
-    until every document has one name. Documents have the same level and name just when their texts are
+    by their rank; then adjacent names are paired and the distinct pairs sorted and named, level by level,
+    until every document has one name. A name depends on the texts alone, not on their partitions. Documents have the same level and name just when their texts are
     identical: no step depends on hashes being free of collisions. Names are written to the checkpoint
     folder at each level, so a lost executor cannot change them.
 
@@ -50,16 +61,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     raw = (normalise(text) if normalise else text).cast("binary")
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"))
     cuts = F.expr(f"sequence(0, greatest(0, cast(ceil(length(raw) / {block_bytes}) as int) - 1))")
     piece = lambda i: F.substring("raw", i * block_bytes + 1, block_bytes)
+    # rows are numbered once: texts that are read again could come in another order
+    base = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw")))
     rows = cut(base.select("row", "doc_id", F.sha2("raw", 256).alias("text_sha256"), F.transform(cuts, lambda i: F.xxhash64(piece(i))).alias("hashes")))
     blocks = base.select("row", F.posexplode(F.transform(cuts, piece)).alias("ix", "block")).withColumn("h", F.xxhash64("block"))
+    first = cut(_block_names(rows, blocks))
 
     level, done = 0, []
-    current = _block_names(rows, blocks)
+    current = first
     while True:
-        current = cut(current)
         tasks = current.count() // TASK_ROWS + 1  # each level has half the rows, of a few bytes
         last = current.groupBy("row").agg(F.max("ix").alias("last")).where("last > 0").select("row").coalesce(tasks)
         unfinished = cut(last)
@@ -73,8 +85,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             .agg(F.max(F.expr("if(ix % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(ix % 2 = 1, name, null)")), F.lit(-1)).alias("b"))
             .coalesce(tasks)
         )
-        names = _numbered(pairs.select("a", "b").distinct().coalesce(tasks), "a", "b")
-        current = join_keyed(pairs, names, ["a", "b"], "inner").coalesce(tasks).select("row", "ix", "name")
+        names = _numbered(pairs.select("a", "b").distinct().coalesce(tasks), tasks, "a", "b")
+        current = cut(join_keyed(pairs, names, ["a", "b"], "inner").coalesce(tasks).select("row", "ix", "name"))
         level += 1
     named = done[0]
     for d in done[1:]:
