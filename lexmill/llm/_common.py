@@ -103,6 +103,14 @@ def join_keyed(left: DataFrame, right: DataFrame, keys: str | list[str], how: st
     return left.join(known, keys, "left_semi").join(F.broadcast(right.join(known, keys, "left_semi")), keys, how).unionByName(warm)
 
 
+def free(name: str, df: DataFrame) -> str:
+    """A name like `name` that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_sha(text_col: str = "text") -> Column:
     """SHA-256 of a text; null counts as empty."""
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
@@ -113,11 +121,13 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", sha_col
 
     Ids can be null or repeated: other texts of an id stay. Spark broadcasts a small `dropped`.
     """
-    keys = dropped.select(F.col(id_col).alias("_dropped"), F.col(sha_col).alias("_dropped_sha")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_dropped")) & (F.col("_sha") == F.col("_dropped_sha"))
-    return docs.withColumn("_sha", text_sha()).join(keys, same, "left_anti").drop("_sha")
+    sha, id_, gone = free("_sha", docs), free("_id", docs), free("_gone", docs)
+    keys = dropped.select(F.col(id_col).alias(id_), F.col(sha_col).alias(gone)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(sha) == F.col(gone))
+    return docs.withColumn(sha, text_sha()).join(keys, same, "left_anti").drop(sha)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One of the rows that have equal ids (nulls are equal) and equal texts."""
-    return docs.withColumn("_sha", text_sha()).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    sha = free("_sha", docs)
+    return docs.withColumn(sha, text_sha()).dropDuplicates([id_col, sha]).drop(sha)

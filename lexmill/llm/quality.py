@@ -77,11 +77,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Trees:
-    """Trees fitted on at most `train_rows` labelled rows that aren't held out; rows with a null id or label are left out."""
+    """Trees fitted on at most `train_rows` labelled rows that aren't held out; rows with a null id or label are left out.
+
+    Of documents that share an id one is fitted on, with the text that sorts first; labels that repeat an id count each.
+    """
     ship(docs.sparkSession)
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna().where(~held_out(F.col("_id")))
     sample = usable.orderBy(F.xxhash64("_id"), "_id", "_y").limit(train_rows)  # bounded, so it can be broadcast
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select(_statistics_udf()(docs[text_col]).alias("x"), "_y", "_id").toPandas()
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(sample.select("_id").distinct()), "_id", "left_semi")
+    texts = found.groupBy("_id").agg(F.min("_text").alias("_text"))  # no more rows than the sample
+    rows = texts.join(F.broadcast(sample), "_id").select(_statistics_udf()(F.col("_text")).alias("x"), "_y", "_id").toPandas()
     if not len(rows):
         return fit(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))
     rows = rows.sort_values(["_id", "_y"], kind="stable")

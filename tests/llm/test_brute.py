@@ -161,17 +161,131 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert sum(got[r.doc_id].predicted == r.quality for r in labels) / len(labels) > 0.95
 
 
+def statistics_by_hand(text):
+    """The statistics in the order of their names, from counters over characters, words and lines."""
+    from math import log, log2
+
+    from lexmill.llm.quality import FEATURES
+
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(FEATURES)
+    n = len(raw)
+    share = lambda test: sum(map(test, raw)) / n
+    is_in = lambda a, b: lambda c: ord(a) <= c <= ord(b)
+    space = lambda c: c in b"\t\n\x0b\x0c\r "
+    punct = lambda c: 32 < c < 127 and not chr(c).isalnum()
+    length = [len(x) for x in re.split(rb"[\t\n\x0b\x0c\r ]+", raw) if x]
+    mean = sum(length) / len(length) if length else 0
+    words = [w for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+    pairs = list(zip(words, words[1:], strict=False))
+    lines = [x for x in text.split("\n") if x.strip()]
+    return [
+        log(1 + n), log(1 + len(length)), mean, (sum((x - mean) ** 2 for x in length) / len(length)) ** 0.5 if length else 0,
+        share(is_in("A", "Z")), share(is_in("a", "z")), share(is_in("0", "9")), share(space), share(lambda c: c == 10), share(lambda c: c >= 128), share(punct),
+        -sum(c / n * log2(c / n) for c in Counter(raw).values()), log(1 + len(lines)), n / (len(lines) + 1), 1 - len(set(lines)) / len(lines) if lines else 0,
+        len(set(words)) / len(words) if words else 0, max(Counter(words).values()) / len(words) if words else 0, len(set(pairs)) / len(pairs) if pairs else 1,
+        *(share(lambda c, m=int(f[5:]): c == m) for f in FEATURES[18:]),
+    ]
+
+
+def test_quality_scores_of_the_whole_table(spark, sf_dir, texts):
+    """Statistics by hand, trees fitted on all labels that aren't held out, and each tree walked node by node."""
+    import zlib
+
+    from lexmill.llm._boosting import fit
+
+    x = {i: np.array(statistics_by_hand(t), np.float32) for i, t in texts.items()}
+    labels = sorted((r.doc_id, float(r.quality)) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5)
+    trees = fit(np.stack([x[i] for i, _ in labels]), np.array([y for _, y in labels]))
+
+    def score(row):
+        total = trees.base
+        for node in trees.roots:
+            while trees.left[node] != node:
+                node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+            total += trees.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    from lexmill.llm.quality import statistics
+
+    for i, t in texts.items():
+        assert statistics(t) == pytest.approx(x[i], rel=1e-5, abs=1e-6), i
+    got = {r.doc_id: r.score for r in registry.queries()["op9_quality"](spark, sf_dir).collect()}
+    assert got.keys() == texts.keys()
+    # a rounding of a statistic can move a text over a split
+    far = [i for i in texts if abs(got[i] - score(x[i])) > 1e-6]
+    assert len(far) <= len(texts) // 50 and all(abs(got[i] - score(x[i])) < 0.2 for i in far)
+
+
+def url_scores_by_hand(rows):
+    """Scores of (url, verdict of a rule or None): counters of all n-grams, and the smoothed estimate of each order on the one below."""
+    from math import log
+
+    from lexmill.llm import url_filter
+
+    n, prior = url_filter.ORDER, 4.0
+    count, context, symbols = Counter(), Counter(), set()
+    marked = lambda u: url_filter.START * (n - 1) + u + url_filter.END
+    for u, verdict in rows:
+        s = marked(u)
+        for at in range(n - 1, len(s) if verdict else 0):
+            symbols.add(s[at])
+            for k in range(n):
+                count[verdict, s[at - k : at + 1]] += 1
+                context[verdict, s[at - k : at]] += 1
+    out = {}
+    for u in {u for u, _ in rows}:
+        s, total = marked(u), 0.0
+        for at in range(n - 1, len(s)):
+            p = dict.fromkeys(("allow", "block"), 1 / (len(symbols) + 1))
+            for k in range(n):
+                if count["allow", s[at - k : at + 1]] + count["block", s[at - k : at + 1]]:
+                    p = {v: (count[v, s[at - k : at + 1]] + prior * p[v]) / (context[v, s[at - k : at]] + prior) for v in p}
+            total += log(p["allow"]) - log(p["block"])
+        out[u] = total / (len(u) + 1)
+    return out
+
+
 def test_url_verdicts(spark, sf_dir):
-    from lexmill.llm.url_filter import RULES
+    """Hosts, paths, rules, scores, threshold and verdicts of the whole table."""
+    from lexmill.llm.url_filter import MISS, RULES
 
+    rows = []
     for r in registry.queries()["op10_urls"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id").collect():
         rest = r.url.partition("://")[2]
         host = re.split("[/?#]", rest)[0]
         path = re.split("[?#]", rest[len(host) :])[0]
         host = "".join(c.lower() if c.isascii() else c for c in host)
         fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        rule, verdict = (max(fits)[1], max(fits)[2]) if fits else (None, r.verdict)
-        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
+        rule, verdict = (max(fits)[1], max(fits)[2]) if fits else (None, None)
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        rows.append((r, verdict))
+    scores = url_scores_by_hand([(r.url, v) for r, v in rows])
+    good = sorted(round(scores[r.url], 3) for r, v in rows if v == "allow")
+    # the lowest score up to which more than that share of the accepted URLs lies
+    limit = min([0.0, *(x for i, x in enumerate(good) if i + 1 > MISS * len(good))][:2])
+    for r, v in rows:
+        assert r.score == pytest.approx(scores[r.url], abs=1e-9)
+        if abs(scores[r.url] - limit) > 0.0011:  # rounding may go either way there
+            assert r.verdict == (v or ("allow" if scores[r.url] >= limit else "block"))
+    assert {r.verdict for r, v in rows if v is None} <= {"allow", "block"}
+
+
+def contaminated_by_hand(texts, bench, size=13):
+    """Ids of the texts of which a twentieth of the words or more is in windows of the benchmark."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    known = {tuple(w[i : i + size]) for w in map(words, bench) if w for i in range(max(1, len(w) - size + 1))}
+    out = set()
+    for i, t in texts.items():
+        w, hit = words(t), set()
+        for width in {len(g) for g in known}:
+            for at in range(len(w) - width + 1):
+                if tuple(w[at : at + width]) in known:
+                    hit |= set(range(at, at + width))
+        if hit and 20 * len(hit) >= len(w):
+            out.add(i)
+    return out
 
 
 def test_pipeline_stages(spark, sf_dir, texts):
@@ -179,6 +293,7 @@ def test_pipeline_stages(spark, sf_dir, texts):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
     kept = dict(texts)
+    bench = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == columns
@@ -191,6 +306,8 @@ def test_pipeline_stages(spark, sf_dir, texts):
             assert set(got) == {max(v) for v in last.values()}
         if name == "minhash near-dedup":
             assert set(got) == set(classes_by_hand(kept).values())
+        if name == "benchmark decontamination":
+            assert set(got) == set(kept) - contaminated_by_hand(kept, bench)
         if name == "quality classifier":
             bad = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").collect()}
             good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
@@ -198,13 +315,30 @@ def test_pipeline_stages(spark, sf_dir, texts):
         kept = got
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     sampled = {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()}
-    assert sampled and sampled <= set(kept)
+    rows = docs.selectExpr("*", "xxhash64(doc_id, text, 7) & ((1L << 53) - 1) AS draw").collect()
+    cell = {r.doc_id: (r.source, r.lang, topic_by_hand(r.text)) for r in rows}
+    cells = Counter()
+    for r in rows:
+        cells[cell[r.doc_id]] += words_by_hand(r.text)
+    p = rake_by_hand({c: n for c, n in cells.items() if n}, 3, [0.5, 0.7, 0.7], 0.5)
+    want = {r.doc_id for r in rows if words_by_hand(r.text) and r.draw / 2**53 < p[cell[r.doc_id]][1]}
+    near = {r.doc_id for r in rows if words_by_hand(r.text) and abs(r.draw / 2**53 - p[cell[r.doc_id]][1]) < 1e-6}
+    assert sampled and sampled ^ want <= near
 
 
 def test_run_applies_all_stages(spark, sf_dir):
     assert 0 < corpus_pipeline.run(spark, sf_dir).count() < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
 
 
+def topic_by_hand(t):
+    return "legal" if "license" in t.lower() or "copyright" in t.lower() else "web" if "://" in t or "@" in t else "table" if " | " in t else "prose"
+
+
+def words_by_hand(t):
+    """Words between white space, as Java's \\s has it."""
+    return len([w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w])
+
+
 def rake_by_hand(cells, margins, powers, keep_share):
     """Weights and sampling probabilities of cells {values: tokens}: scaling margin by margin, then a scale by bisection."""
     total = sum(cells.values())
@@ -234,12 +368,8 @@ def test_mixing_of_the_whole_table(spark, sf_dir):
 
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
 
-    def topic(t):
-        return "legal" if "license" in t.lower() or "copyright" in t.lower() else "web" if "://" in t or "@" in t else "table" if " | " in t else "prose"
-
-    # white space as Java's \s
-    tokens = {r.doc_id: len([w for w in re.split(r"[ \t\n\x0b\f\r]+", r.text) if w]) for r in rows}
-    cell = {r.doc_id: (r.source, r.lang, topic(r.text)) for r in rows}
+    tokens = {r.doc_id: words_by_hand(r.text) for r in rows}
+    cell = {r.doc_id: (r.source, r.lang, topic_by_hand(r.text)) for r in rows}
     cells = Counter()
     for i, n in tokens.items():
         cells[cell[i]] += n

@@ -199,32 +199,14 @@ def test_url_models_see_characters_and_long_contexts(spark, good, bad):
 
 
 def test_url_scores_are_those_of_a_plain_version(spark):
-    from collections import Counter
-    from math import log
+    from test_brute import url_scores_by_hand
 
-    rng, n, prior = np.random.default_rng(4), url_filter.ORDER, 4.0
-    urls = [f"http://{'abé7'[i % 4]}{rng.integers(0, 30)}.{('com', 'net', 'org')[i % 3]}/{('es', 'fr', 'X')[i // 3 % 3]}/{'w' * int(rng.integers(0, 20))}{rng.integers(0, 9)}" for i in range(150)] + ["", "\U0001f600"]
+    rng = np.random.default_rng(4)
+    urls = [f"http://{'abé7'[i % 4]}{rng.integers(0, 30)}.{('com', 'net', 'org')[i % 3]}/{('es', 'fr', 'X')[i // 3 % 3]}/{'w' * int(rng.integers(0, 20))}{rng.integers(0, 9)}" for i in range(150)] + ["", "\U0001f600", "http://long.org/" + "y" * 20_000]
     urls += urls[:40]
     got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
-    count, context, symbols = Counter(), Counter(), set()
-    marked = lambda u: url_filter.START * (n - 1) + u + url_filter.END
-    for i, u in enumerate(urls):
-        if got[i].rule:
-            s = marked(u)
-            for at in range(n - 1, len(s)):
-                symbols.add(s[at])
-                for k in range(n):
-                    count[got[i].verdict, s[at - k : at + 1]] += 1
-                    context[got[i].verdict, s[at - k : at]] += 1
-    for i, u in enumerate(urls):
-        s, total = marked(u), 0.0
-        for at in range(n - 1, len(s)):
-            p = dict.fromkeys(("allow", "block"), 1 / (len(symbols) + 1))
-            for k in range(n):
-                if count["allow", s[at - k : at + 1]] + count["block", s[at - k : at + 1]]:
-                    p = {v: (count[v, s[at - k : at + 1]] + prior * p[v]) / (context[v, s[at - k : at]] + prior) for v in p}
-            total += log(p["allow"]) - log(p["block"])
-        assert got[i].score == pytest.approx(total / (len(u) + 1), abs=1e-9)
+    want = url_scores_by_hand([(u, got[i].verdict if got[i].rule else None) for i, u in enumerate(urls)])
+    assert all(got[i].score == pytest.approx(want[u], abs=1e-9) for i, u in enumerate(urls))
 
 
 def test_mixing(docs, none):
@@ -361,3 +343,19 @@ def test_the_first_commit_of_a_batch_counts_before_and_after_compaction(spark, t
     r.compact()
     r.commit("1", batch(99))
     assert r.totals().first().tokens == 10
+
+
+def test_stages_of_empty_tables_and_with_clashing_columns(spark, docs, tmp_path):
+    """All stages take documents with columns of other operators' names, and give them back; of no documents they make none."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, "some words of a benchmark item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = docs.withColumns({c: F.lit("x") for c in ("_score", "_sha", "row", "mix_batch", "gram", "pos", "w", "class_id", "keep_id", "bands")})
+    extra.write.parquet(f"{tmp_path}/extra.parquet")
+    for df in (spark.read.parquet(f"{tmp_path}/extra.parquet"), spark.read.parquet(f"{tmp_path}/extra.parquet").where("false")):
+        for _, stage in P.STAGES[:-1]:
+            out = stage(spark, df, str(tmp_path))
+            assert out.columns == df.columns
+            assert (out.count() > 0) == (df.count() > 0)
+        assert {*df.columns} <= {*P.STAGES[-1][1](spark, df, str(tmp_path)).columns}
