@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import decontamination, exact_dedup, mixing, near_dedup, quality
-from lexmill.llm._common import cut, shared_folder, text_sha, without, without_repeats
+from lexmill.llm._common import cut, free, remove_folder, shared_folder, text_sha, without, without_repeats
 
 #: Documents with a score under this are rejected.
 LEAST_SCORE = 0.3
@@ -19,7 +19,8 @@ LEAST_SCORE = 0.3
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: drops the documents that the quality classifier rejects."""
     trees = quality.train(docs, quality.read(spark, sf_dir, "labels"))
-    return quality.with_score(docs, trees, score_col="_score").where(F.col("_score") >= LEAST_SCORE).drop("_score")
+    score = free("_score", docs)
+    return quality.with_score(docs, trees, score_col=score).where(F.col(score) >= LEAST_SCORE).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +62,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; between stages, documents are a Parquet table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder; between stages, documents are a Parquet table.
+
+    A stage's table goes once the next one is written; the last is read by the result, and stays in the shared folder.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = shared_folder(spark, "stage")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if last:
+                remove_folder(spark, last)
+            last = path
     return docs
