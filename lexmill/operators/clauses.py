@@ -105,6 +105,12 @@ def scoped(clauses: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return clauses.groupBy(id_col, "clause_type").agg(F.array_join(parts, "\n").alias("scope"))
 
 
+def with_scopes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "scopes") -> DataFrame:
+    """The documents with a map of clause types to the joined clauses of each type."""
+    parts = scoped(split_clauses(docs, id_col, text_col), id_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("clause_type", "scope"))).alias(name))
+    return docs.join(parts, id_col, "left")
+
+
 def sentences(text: Column) -> Column:
     """Sentences of a text without its line breaks, cut after 。；！？."""
     return F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]", ""), "(?<=[。；！？])"), stripped), lambda s: s != "")

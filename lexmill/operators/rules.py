@@ -341,10 +341,15 @@ def sum_numeric_comparison(params: dict, x: Text) -> Column:
     return _numeric(params, x, sum_of)
 
 
-def compiled(rule: Rule, x: Text, contract_type: Column | None = None, value: Column | None = None) -> Column:
-    """The verdict expression of a rule, behind its gates: excluded contract types, least value, purchase wording."""
+def compiled(rule: Rule, x: Text, contract_type: Column | None = None, value: Column | None = None, scope: Text | None = None) -> Column:
+    """The verdict expression of a rule, behind its gates: excluded contract types, least value, purchase wording.
+
+    With a `scope`, the rule reads that part of the text, and is not applicable where it is missing.
+    """
     build = HANDLERS.get(rule.condition_type)
-    out = build(rule.params, x) if build else verdict(NOT_APPLICABLE, x.text, strings([]), f"unknown condition type {rule.condition_type}")
+    out = build(rule.params, scope or x) if build else verdict(NOT_APPLICABLE, x.text, strings([]), f"unknown condition type {rule.condition_type}")
+    if scope is not None and build:
+        out = F.when(scope.text.isNull(), verdict(NOT_APPLICABLE, _head(x), strings([]), f"no clause of type {rule.clause_type}")).otherwise(out)
     skip = lambda why: verdict(NOT_APPLICABLE, _head(x), strings([]), why)
     gates = []
     if rule.exclude_contract_types and contract_type is not None:
@@ -367,18 +372,26 @@ def with_text(docs: DataFrame, text_col: str = "text", full_col: str | None = No
     return out, Text(*(F.col(c) for c in ("_text", "_low", "_padded", "_full", "_full_low")))
 
 
-def evaluate(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", contract_type: Column | None = None, value: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def evaluate(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", contract_type: Column | None = None, value: Column | None = None, keep: tuple[str, ...] = (), scopes: str | None = None) -> DataFrame:
     """Evidence: one row for each document and rule, in one pass over the documents.
 
+    `scopes` names a column with a map of clause types to texts (see clauses.with_scopes): a rule with a
+    clause type then reads the clauses of this type alone, in documents that have clauses.
+
     Columns: the id, those in `keep`, rule_ix, rule_id, rule_name, rule_version, package_id,
     package_version, severity, status, input_fragment, matched_terms, rationale, category, source_type,
     source_credibility, extraction_method, legal_hierarchy. Null texts are empty ones.
     """
     ship(docs.sparkSession)
     base, x = with_text(docs, text_col)
-    parts = []
+    kinds = sorted({r.clause_type for r in rules if r.clause_type}) if scopes else []
+    parts, by_kind = [], {}
+    for i, kind in enumerate(kinds):
+        body = F.when(F.size(F.coalesce(F.col(scopes), F.create_map().cast("map<string,string>"))) == 0, F.col("_text")).otherwise(F.try_element_at(scopes, F.lit(kind)))
+        base = base.withColumn(f"_text_{i}", body).withColumns({f"_low_{i}": F.lower(f"_text_{i}"), f"_padded_{i}": T.padded_words(F.col(f"_text_{i}"))})
+        by_kind[kind] = Text(F.col(f"_text_{i}"), F.col(f"_low_{i}"), F.col(f"_padded_{i}"), x.full, x.full_low)
     for ix, r in enumerate(rules):
-        v = compiled(r, x, contract_type, value)
+        v = compiled(r, x, contract_type, value, by_kind.get(r.clause_type))
         parts.append(F.struct(F.lit(ix).alias("rule_ix"), v.alias("v")))
     rows = base.select(id_col, *keep, F.explode(F.array(*parts)).alias("e")).select(id_col, *keep, "e.rule_ix", "e.v.status", F.col("e.v.fragment").alias("input_fragment"), "e.v.matched_terms", "e.v.rationale")
     meta = docs.sparkSession.createDataFrame([(i, r.id, r.name or r.id, r.version, r.package_id, r.package_version, r.severity, r.category, r.source, float(r.source_credibility), r.extraction_method, r.legal_hierarchy) for i, r in enumerate(rules)], "rule_ix int, rule_id string, rule_name string, rule_version string, package_id string, package_version string, severity string, category string, source_type string, source_credibility double, extraction_method string, legal_hierarchy string")
