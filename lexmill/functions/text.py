@@ -115,22 +115,51 @@ def overlaps_itself(term: str) -> bool:
     return any(term.startswith(term[i:]) for i in range(1, len(term)))
 
 
+def running(values: Column, chunk: int = 256) -> Column:
+    """For each number of an array, the sum of those before it.
+
+    Sums are taken in chunks, and each chunk's start from the chunks before it, so the work grows much
+    slower than with the square of the length.
+    """
+    add = lambda a, x: a + x
+    upto = lambda c: F.transform(c, lambda _, i: F.aggregate(F.slice(c, 1, i), F.lit(0), add))
+    chunks = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(c) / chunk).cast("int") - 1)), lambda i: F.slice(c, i * chunk + 1, chunk))
+    whole = lambda cs: upto(F.transform(cs, lambda c: F.aggregate(c, F.lit(0), add)))
+    spread = lambda cs: let(whole(cs), lambda starts: F.flatten(F.transform(cs, lambda c, i: F.transform(upto(c), lambda x: x + F.get(starts, i)))))
+    return let(values, lambda c: let(chunks(c), spread))
+
+
 def positions(text: Column, term: str) -> Column:
     """0-based start of every occurrence of a literal term.
 
     Found by splitting at the term and adding up the lengths before each cut, in one pass. A term that
     can overlap itself is looked for at each character instead.
     """
+    none = F.array().cast("array<int>")
     if not term:
-        return F.array().cast("array<int>")
+        return none
     if overlaps_itself(term):
-        each = lambda s: F.filter(F.sequence(F.lit(0), F.greatest(F.length(s) - len(term), F.lit(0))), lambda i: F.substring(s, i + 1, F.lit(len(term))) == term)
-        return let(text, each)
-    lengths = lambda parts: F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p))
-    step = lambda acc, n: F.concat(acc, F.array(F.when(F.size(acc) == 0, n).otherwise(F.element_at(acc, -1) + len(term) + n)))
-    parts = F.split(text, _quoted(term), -1)
-    total = let(parts, lambda p: F.aggregate(lengths(p), F.array().cast("array<int>"), step))
-    return F.when(text.contains(term), total).otherwise(F.array().cast("array<int>"))
+        each = lambda raw: F.filter(F.sequence(F.lit(0), F.greatest(places(raw) - len(term), F.lit(0))), lambda i: cut(raw, i, i + len(term)) == term)
+        return F.when(text.contains(term), let(coded(text), each)).otherwise(none)
+    # what stands before the n-th cut, and the n terms between
+    starts = lambda parts: F.slice(running(F.transform(parts, lambda p: F.length(p) + len(term))), 2, F.size(parts) - 1)
+    found = F.transform(let(F.split(text, _quoted(term), -1), starts), lambda p: p - len(term))
+    return F.when(text.contains(term), found).otherwise(none)
+
+
+def coded(text: Column) -> Column:
+    """The text in four bytes for each character, so that a part of it is found at once (see cut)."""
+    return F.encode(text, "UTF-32")
+
+
+def places(raw: Column) -> Column:
+    return (F.length(raw) / 4).cast("int")
+
+
+def cut(raw: Column, start: Column, end: Column) -> Column:
+    """Characters from `start` to `end` (0-based, exclusive) of a coded text, cut to the text as slices are."""
+    low = F.greatest(start, F.lit(0))
+    return F.decode(F.substring(raw, low * 4 + 1, F.greatest(F.least(end, places(raw)) - low, F.lit(0)) * 4), "UTF-32")
 
 
 def _quoted(term: str) -> str:
@@ -145,17 +174,25 @@ def between(text: Column, start: Column, end: Column) -> Column:
 
 def fragment(text: Column, low: Column, terms: list[str], around: int = 100) -> Column:
     """The text around the first occurrences of the terms, with ... where it was cut; else its first 200 characters."""
-    first = [F.when(F.locate(t.lower(), low) > 0, F.locate(t.lower(), low) - 1) for t in terms if t]
-    if not first:
+    firsts = [F.locate(t.lower(), low) for t in terms if t]
+    if not firsts:
         return F.substring(text, 1, 200)
-    low_at, high_at = (F.least(*first), F.greatest(*first)) if len(first) > 1 else (first[0], first[0])
-    start, end = F.greatest(low_at - around, F.lit(0)), F.least(high_at + around, F.length(text))
-    cut = F.regexp_replace(between(text, start, end), r"(?U)^\s+|\s+$", "")
-    marked = F.concat(F.when(start > 0, "...").otherwise(""), cut, F.when(end < F.length(text), "...").otherwise(""))
-    return F.when(low_at.isNull(), F.substring(text, 1, 200)).otherwise(marked)
+
+    def marked(p: Column) -> Column:
+        start, end = F.greatest(p["low"] - 1 - around, F.lit(0)), F.least(p["high"] - 1 + around, p["n"])
+        cut_out = F.regexp_replace(F.substring(text, start + 1, F.greatest(end - start, F.lit(0))), r"(?U)^\s+|\s+$", "")
+        return F.concat(F.when(start > 0, "...").otherwise(""), cut_out, F.when(end < p["n"], "...").otherwise(""))
+
+    spots = let(F.array(*firsts), lambda ps: let(F.filter(ps, lambda i: i > 0), lambda q: F.struct(F.array_min(q).alias("low"), F.array_max(q).alias("high"), F.length(text).alias("n"))))
+    return let(spots, lambda p: F.when(p["low"].isNull(), F.substring(text, 1, 200)).otherwise(marked(p)))
+
+
+def has_markers(low: Column) -> Column:
+    """Whether a text can have a marker of negation, obligation or refusal at all: they are all ideographs."""
+    return low.rlike(f"[{HAN}]")
 
 
-def mostly_negated(low: Column, term: str, window: int = 50) -> Column:
+def mostly_negated(low: Column, term: str, window: int = 50, markers: Column | None = None) -> Column:
     """Whether at least half of a term's occurrences (and one) stand near a negation or an obligation.
 
     A permission within the window makes an occurrence count as not negated.
@@ -163,25 +200,25 @@ def mostly_negated(low: Column, term: str, window: int = 50) -> Column:
     t = term.lower()
     n = len(t)
 
-    def negated(p: Column) -> Column:
-        around, before, after = between(low, p - window, p + n + window), between(low, p - window, p), between(low, p + n, p + n + window)
+    def negated(raw: Column, p: Column) -> Column:
+        around, before, after = cut(raw, p - window, p + n + window), cut(raw, p - window, p), cut(raw, p + n, p + n + window)
         return ~around.rlike(PERMISSION) & (before.rlike(NEGATION) | after.rlike(NEGATION) | around.rlike(OBLIGATION))
 
-    share = let(positions(low, t), lambda ps: let(F.size(F.filter(ps, negated)), lambda k: (k > 0) & (k * 2 >= F.size(ps))))
+    share = let(positions(low, t), lambda ps: let(coded(low), lambda raw: let(F.size(F.filter(ps, lambda p: negated(raw, p))), lambda k: (k > 0) & (k * 2 >= F.size(ps)))))
     # most texts have no such marker at all
-    return F.when(low.rlike(f"{NEGATION}|{OBLIGATION}"), F.coalesce(share, F.lit(False))).otherwise(F.lit(False))
+    return F.when((has_markers(low) if markers is None else markers) & low.rlike(f"{NEGATION}|{OBLIGATION}"), F.coalesce(share, F.lit(False))).otherwise(F.lit(False))
 
 
-def always_refused(low: Column, term: str, window: int = 50) -> Column:
+def always_refused(low: Column, term: str, window: int = 50, markers: Column | None = None) -> Column:
     """Whether every occurrence of a term follows a refusal by at most five characters of the same clause."""
     t = term.lower()
     n = len(t)
 
-    def refused(p: Column) -> Column:
-        before = between(low, p - window, p)
+    def refused(raw: Column, p: Column) -> Column:
+        before = cut(raw, p - window, p)
         tail = F.regexp_extract(before, f"(?s)^.*(?:{REFUSAL})(.*?)$", 1)
         has = before.rlike(REFUSAL)
-        return ~between(low, p - window, p + n + window).rlike(PERMISSION) & has & (F.length(tail) <= 5) & ~tail.rlike(f"[{CLAUSE_BREAKS}]")
+        return ~cut(raw, p - window, p + n + window).rlike(PERMISSION) & has & (F.length(tail) <= 5) & ~tail.rlike(f"[{CLAUSE_BREAKS}]")
 
-    every = let(positions(low, t), lambda ps: (F.size(ps) > 0) & (F.size(F.filter(ps, refused)) == F.size(ps)))
-    return F.when(low.rlike(REFUSAL), F.coalesce(every, F.lit(False))).otherwise(F.lit(False))
+    every = let(positions(low, t), lambda ps: let(coded(low), lambda raw: (F.size(ps) > 0) & (F.size(F.filter(ps, lambda p: refused(raw, p))) == F.size(ps))))
+    return F.when((has_markers(low) if markers is None else markers) & low.rlike(REFUSAL), F.coalesce(every, F.lit(False))).otherwise(F.lit(False))

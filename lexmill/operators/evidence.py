@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .rules import FAILED
 
 
@@ -25,6 +26,20 @@ def merged(evidence: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def merged_rows(verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """merged() for rows of rules.judged(): no shuffle, as all verdicts of a document are in one row."""
+    join = lambda acc, f: F.when(acc.contains(f), acc).otherwise(F.concat(F.substring(acc, 1, 300), F.lit("\n---\n"), F.substring(f, 1, 200)))
+    key = lambda x: F.struct(x["rule_id"], x["v"]["status"].alias("status"))
+    own = lambda all_, k: F.filter(all_, lambda x: (x["rule_id"] == k["rule_id"]) & (x["v"]["status"] == k["status"]))
+    one = lambda xs: F.struct(
+        xs[0]["rule_id"].alias("rule_id"), xs[0]["v"]["status"].alias("status"), xs[0]["rule_ix"].alias("rule_ix"), xs[0]["package_id"].alias("package_id"), xs[0]["v"]["rationale"].alias("rationale"),
+        F.aggregate(F.slice(xs, 2, F.size(xs)), xs[0]["v"]["fragment"], lambda acc, x: join(acc, x["v"]["fragment"])).alias("input_fragment"),
+        F.array_distinct(F.flatten(F.transform(xs, lambda x: x["v"]["matched_terms"]))).alias("matched_terms"),
+    )
+    groups = let(F.col("verdicts"), lambda all_: F.transform(F.array_distinct(F.transform(all_, key)), lambda k: let(own(all_, k), one)))
+    return verdicts.select(id_col, F.explode_outer(groups).alias("m")).where("m.rule_id is not null").select(id_col, "m.*")
+
+
 def first_n(evidence: DataFrame, n: int = 100, id_col: str = "doc_id") -> DataFrame:
     """The first n rows of each document in rule order: the limit on evidence is a feature of a report."""
     w = Window.partitionBy(id_col).orderBy("rule_ix", "status")
@@ -47,6 +62,15 @@ def conflicts(evidence: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return pairs.select(id_col, "rule_id", "rule_id_b", "status", "status_b", kind.alias("conflict_type"))
 
 
+def conflict_rows(verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """conflicts() for rows of rules.judged(): no join and no shuffle, as all verdicts of a document are in one row."""
+    differ = lambda a, b: (a["rule_ix"] < b["rule_ix"]) & (a["v"]["fragment"] == b["v"]["fragment"]) & (a["v"]["status"] != b["v"]["status"])
+    kind = lambda a, b: F.when(a["package_id"] == b["package_id"], "intra_package").otherwise("cross_package")
+    pair = lambda a, b: F.struct(a["rule_id"].alias("rule_id"), b["rule_id"].alias("rule_id_b"), a["v"]["status"].alias("status"), b["v"]["status"].alias("status_b"), kind(a, b).alias("conflict_type"))
+    pairs = let(F.col("verdicts"), lambda all_: F.flatten(F.transform(all_, lambda a: F.transform(F.filter(all_, lambda b: differ(a, b)), lambda b: pair(a, b)))))
+    return verdicts.select(id_col, F.explode_outer(pairs).alias("p")).where("p.rule_id is not null").select(id_col, "p.*")
+
+
 def overall(evidence: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """CONFLICTED for a document with a failed rule, else VALIDATED."""
     return evidence.groupBy(id_col).agg(F.when(F.bool_or(F.col("status") == FAILED), "CONFLICTED").otherwise("VALIDATED").alias("status"))

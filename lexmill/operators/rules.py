@@ -53,6 +53,7 @@ class Text:
     padded: Column
     full: Column
     full_low: Column
+    markers: Column
 
     def has(self, term: str) -> Column:
         return T.has_term(self.low, self.padded, term)
@@ -135,7 +136,7 @@ def forbidden_pattern(params: dict, x: Text) -> Column:
     as_tokens = those(terms, x.has)
     plain = those(terms, lambda t: x.full.contains(t) | x.text.contains(t))
     matched = T.let(as_tokens, lambda m: F.when(F.size(m) > 0, m).otherwise(plain))
-    ok = those(terms, lambda t: T.mostly_negated(x.full_low, t))
+    ok = those(terms, lambda t: T.mostly_negated(x.full_low, t, markers=x.markers))
     parts = T.let(matched, lambda m: F.struct(m.alias("matched"), F.when(F.size(m) > 0, F.array_except(m, ok)).otherwise(m).alias("left")))
     bad = lambda p: verdict(FAILED, T.fragment(x.text, x.low, terms), p["left"], F.concat(F.lit("forbidden: "), F.array_join(p["left"], ", ")))
     fine = lambda p: verdict(PASSED, _head(x), p["matched"], "forbidden terms only where the text itself forbids them")
@@ -152,7 +153,7 @@ def required_pattern(params: dict, x: Text) -> Column:
     terms = list(dict.fromkeys([*original, *params.get("expanded", [])]))
     matched = those(terms, x.has)
     own = those(original, x.has)
-    refused = those(original, lambda t: x.has(t) & T.always_refused(x.full_low, t))
+    refused = those(original, lambda t: x.has(t) & T.always_refused(x.full_low, t, markers=x.markers))
     negated = (F.size(own) > 0) & (F.size(refused) == F.size(own))
     missing = verdict(FAILED, _head(x), strings([]), f"not found: {', '.join(terms) or params.get('pattern', 'unknown')}")
     return F.when((F.size(matched) > 0) & negated, verdict(FAILED, _head(x), matched, "found, but always refused")).when(F.size(matched) > 0, verdict(PASSED, _head(x), matched, F.concat(F.lit("found: "), F.array_join(matched, ", ")))).otherwise(missing)
@@ -200,8 +201,9 @@ def contextual_co_occurrence(params: dict, x: Text) -> Column:
     if not a or not b:
         return verdict(NOT_APPLICABLE, _head(x), strings([]), "a term is missing")
     w, least = params.get("window_chars", 500), params.get("min_occurrences", 1)
-    near = lambda p: T.between(x.low, p - w, p + len(a) + w).contains(b)
-    n = T.let(T.positions(x.low, a), lambda ps: F.struct(F.size(ps).alias("all"), F.size(F.filter(ps, near)).alias("near")))
+    near = lambda raw: lambda p: T.cut(raw, p - w, p + len(a) + w).contains(b)
+    count = lambda ps: T.let(T.coded(x.low), lambda raw: F.size(F.filter(ps, near(raw))))
+    n = T.let(T.positions(x.low, a), lambda ps: F.struct(F.size(ps).alias("all"), F.when((F.size(ps) > 0) & x.low.contains(b), count(ps)).otherwise(0).alias("near")))
     return T.let(n, lambda k: F.when(k["all"] == 0, verdict(NOT_APPLICABLE, _head(x), strings([]), f"{a} not present")).when(k["near"] >= least, verdict(PASSED, T.fragment(x.text, x.low, [a, b]), strings([F.lit(a), F.lit(b)]), F.concat(k["near"].cast("string"), F.lit(" joint occurrences")))).otherwise(verdict(FAILED, T.fragment(x.text, x.low, [a]), strings([F.lit(a)]), F.concat(k["near"].cast("string"), F.lit(" joint occurrences")))))
 
 
@@ -211,8 +213,9 @@ def definition_contains(params: dict, x: Text) -> Column:
     if not concept or not required:
         return verdict(NOT_APPLICABLE, _head(x), strings([]), "no concept or terms")
     w, least = params.get("window_chars", 400), params.get("min_ratio", 0.5)
-    share = lambda p: T.let(T.between(x.low, p - w, p + len(concept) + w), lambda s: sum((s.contains(t).cast("int") for t in required), F.lit(0)) / float(len(required)))
-    best = T.let(T.positions(x.low, concept), lambda ps: F.struct(F.size(ps).alias("all"), F.coalesce(F.array_max(F.transform(ps, share)), F.lit(0.0)).alias("best")))
+    share = lambda raw: lambda p: T.let(T.cut(raw, p - w, p + len(concept) + w), lambda s: sum((s.contains(t).cast("int") for t in required), F.lit(0)) / float(len(required)))
+    highest = lambda ps: T.let(T.coded(x.low), lambda raw: F.array_max(F.transform(ps, share(raw))))
+    best = T.let(T.positions(x.low, concept), lambda ps: F.struct(F.size(ps).alias("all"), F.when(F.size(ps) > 0, highest(ps)).otherwise(0.0).alias("best")))
     return T.let(best, lambda k: F.when(k["all"] == 0, verdict(NOT_APPLICABLE, _head(x), strings([]), f"{concept} not present")).otherwise(verdict(F.when(k["best"] >= least, PASSED).otherwise(FAILED), T.fragment(x.text, x.low, [concept]), strings([F.lit(concept)]), F.concat(F.lit("best share of terms "), k["best"].cast("string")))))
 
 
@@ -368,19 +371,16 @@ def with_text(docs: DataFrame, text_col: str = "text", full_col: str | None = No
     full_col = full_col or text_col
     body = F.coalesce(F.col(text_col), F.lit(""))
     full = F.coalesce(F.col(full_col), F.lit(""))
-    out = docs.withColumns({"_text": body, "_low": F.lower(body), "_padded": T.padded_words(body), "_full": full, "_full_low": F.lower(full)})
-    return out, Text(*(F.col(c) for c in ("_text", "_low", "_padded", "_full", "_full_low")))
+    out = docs.withColumns({"_text": body, "_low": F.lower(body), "_padded": T.padded_words(body), "_full": full, "_full_low": F.lower(full), "_markers": T.has_markers(full)})
+    return out, Text(*(F.col(c) for c in ("_text", "_low", "_padded", "_full", "_full_low", "_markers")))
 
 
-def evaluate(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", contract_type: Column | None = None, value: Column | None = None, keep: tuple[str, ...] = (), scopes: str | None = None) -> DataFrame:
-    """Evidence: one row for each document and rule, in one pass over the documents.
+def judged(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", contract_type: Column | None = None, value: Column | None = None, keep: tuple[str, ...] = (), scopes: str | None = None) -> DataFrame:
+    """(id, `keep`, verdicts): one row for each document, with an array of (rule_ix, rule_id, package_id, v) in rule order.
 
     `scopes` names a column with a map of clause types to texts (see clauses.with_scopes): a rule with a
-    clause type then reads the clauses of this type alone, in documents that have clauses.
-
-    Columns: the id, those in `keep`, rule_ix, rule_id, rule_name, rule_version, package_id,
-    package_version, severity, status, input_fragment, matched_terms, rationale, category, source_type,
-    source_credibility, extraction_method, legal_hierarchy. Null texts are empty ones.
+    clause type then reads the clauses of this type alone, in documents that have clauses. What compares
+    verdicts of one document works on this row, without a join or a shuffle.
     """
     ship(docs.sparkSession)
     base, x = with_text(docs, text_col)
@@ -389,10 +389,22 @@ def evaluate(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_co
     for i, kind in enumerate(kinds):
         body = F.when(F.size(F.coalesce(F.col(scopes), F.create_map().cast("map<string,string>"))) == 0, F.col("_text")).otherwise(F.try_element_at(scopes, F.lit(kind)))
         base = base.withColumn(f"_text_{i}", body).withColumns({f"_low_{i}": F.lower(f"_text_{i}"), f"_padded_{i}": T.padded_words(F.col(f"_text_{i}"))})
-        by_kind[kind] = Text(F.col(f"_text_{i}"), F.col(f"_low_{i}"), F.col(f"_padded_{i}"), x.full, x.full_low)
+        by_kind[kind] = Text(F.col(f"_text_{i}"), F.col(f"_low_{i}"), F.col(f"_padded_{i}"), x.full, x.full_low, x.markers)
     for ix, r in enumerate(rules):
         v = compiled(r, x, contract_type, value, by_kind.get(r.clause_type))
-        parts.append(F.struct(F.lit(ix).alias("rule_ix"), v.alias("v")))
-    rows = base.select(id_col, *keep, F.explode(F.array(*parts)).alias("e")).select(id_col, *keep, "e.rule_ix", "e.v.status", F.col("e.v.fragment").alias("input_fragment"), "e.v.matched_terms", "e.v.rationale")
+        parts.append(F.struct(F.lit(ix).alias("rule_ix"), F.lit(r.id).alias("rule_id"), F.lit(r.package_id).alias("package_id"), v.alias("v")))
+    return base.select(id_col, *keep, F.array(*parts).alias("verdicts"))
+
+
+def evaluate(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", contract_type: Column | None = None, value: Column | None = None, keep: tuple[str, ...] = (), scopes: str | None = None) -> DataFrame:
+    """Evidence: one row for each document and rule, in one pass over the documents (see judged).
+
+    Columns: the id, those in `keep`, rule_ix, rule_id, rule_name, rule_version, package_id,
+    package_version, severity, status, input_fragment, matched_terms, rationale, category, source_type,
+    source_credibility, extraction_method, legal_hierarchy. Null texts are empty ones.
+    """
+    # explode_outer, as explode would have Spark compute the array once more to see whether it is empty
+    rows = judged(docs, rules, id_col, text_col, contract_type, value, keep, scopes).select(id_col, *keep, F.explode_outer("verdicts").alias("e"))
+    rows = rows.select(id_col, *keep, "e.rule_ix", "e.v.status", F.col("e.v.fragment").alias("input_fragment"), "e.v.matched_terms", "e.v.rationale")
     meta = docs.sparkSession.createDataFrame([(i, r.id, r.name or r.id, r.version, r.package_id, r.package_version, r.severity, r.category, r.source, float(r.source_credibility), r.extraction_method, r.legal_hierarchy) for i, r in enumerate(rules)], "rule_ix int, rule_id string, rule_name string, rule_version string, package_id string, package_version string, severity string, category string, source_type string, source_credibility double, extraction_method string, legal_hierarchy string")
     return rows.join(F.broadcast(meta), "rule_ix").select(id_col, *keep, "rule_ix", "rule_id", "rule_name", "rule_version", "package_id", "package_version", "severity", "status", "input_fragment", "matched_terms", "rationale", "category", "source_type", "source_credibility", "extraction_method", "legal_hierarchy")

@@ -10,7 +10,7 @@ from ..operators import constraints as S
 from ..operators import graph as G
 from ..operators import mining as M
 from .inline import frame, values
-from .rule_queries import _EV, docs, package_evidence
+from .rule_queries import _EV, docs, package_evidence, package_verdicts
 
 R6 = lambda c: F.round(c, 6)
 
@@ -195,7 +195,7 @@ PACKAGE_LINKS = [("p1", "p2"), ("p2", "p1"), ("p3", "p4"), ("p4", "p3")]
 
 def dependency_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of the failed rules of each document, with links between some rules of the package."""
-    return G.causes(package_evidence(spark, sf_dir), frame(spark, PACKAGE_LINKS, "src string, dst string"))
+    return G.cause_rows(package_verdicts(spark, sf_dir), PACKAGE_LINKS)
 
 
 def belief_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:

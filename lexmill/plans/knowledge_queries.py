@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import remove, shared
 from ..operators import clauses as C
 from ..operators import extraction as X
 from ..operators import learning as L
 from ..operators import mining as M
 from ..operators import ontology as O
+from ..operators.graph import reliable
 from ..streaming import validate as V
 from .inline import frame, values
 from .rule_queries import _EV, PACKAGE, docs, package_evidence
@@ -164,11 +165,14 @@ def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence of a package over a stream of the documents' file, counted."""
     base = docs(spark, sf_dir)
     name = f"evidence_{uuid.uuid4().hex}"
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-")
+    where = shared(spark)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema)
     stream = V.document_stream(spark, f"{sf_dir}/documents.parquet*", schema, 100)
     V.run_once(V.validate_stream(stream, PACKAGE[:2] + PACKAGE[3:4]).select("doc_id", "rule_ix", "status"), f"{where}/{name}", f"{where}/{name}-log")
-    return spark.read.parquet(f"{where}/{name}").groupBy("rule_ix", "status").agg(F.count("*").alias("n"))
+    out = reliable(spark.read.parquet(f"{where}/{name}").groupBy("rule_ix", "status").agg(F.count("*").alias("n")))
+    for path in (f"{where}/{name}", f"{where}/{name}-log"):
+        remove(spark, path)
+    return out
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

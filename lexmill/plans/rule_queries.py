@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numerals as N
 from ..functions import text as T
 from ..operators import evidence as E
-from ..operators.rules import Rule, evaluate
+from ..operators.rules import Rule, evaluate, judged
 from .inline import CJK_TEXTS, frame, values
 
 TOKENS = "regexp_split_to_array(lower(text), '[^a-z0-9_]+')"
@@ -145,12 +145,17 @@ def package_evidence(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (
     return evaluate(docs(spark, sf_dir), PACKAGE, contract_type=F.col("source"), value=F.col("n_chars").cast("double"), keep=keep)
 
 
+def package_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, as one row for each document."""
+    return judged(docs(spark, sf_dir), PACKAGE, contract_type=F.col("source"), value=F.col("n_chars").cast("double"))
+
+
 def evidence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package_evidence(spark, sf_dir).select("doc_id", "rule_ix", "rule_id", "package_id", "severity", "status")
 
 
 def evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.merged(package_evidence(spark, sf_dir)).select("doc_id", "rule_id", "status", "rule_ix", F.array_join("matched_terms", ",").alias("matched"), F.length("input_fragment").cast("long").alias("fragment_chars"))
+    return E.merged_rows(package_verdicts(spark, sf_dir)).select("doc_id", "rule_id", "status", "rule_ix", F.array_join("matched_terms", ",").alias("matched"), F.length("input_fragment").cast("long").alias("fragment_chars"))
 
 
 def evidence_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +163,7 @@ def evidence_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.conflicts(package_evidence(spark, sf_dir))
+    return E.conflict_rows(package_verdicts(spark, sf_dir))
 
 
 def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
