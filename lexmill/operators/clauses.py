@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import ship
 
 # Headings, and keywords of clause types in order of priority.
 ARTICLE = r"第\s*[一二三四五六七八九十\d]+\s*[条章]"
@@ -116,20 +121,70 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]", ""), "(?<=[。；！？])"), stripped), lambda s: s != "")
 
 
-def chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 50) -> DataFrame:
-    """(id, chapter_ix, title, level, body): headings # to ###, 第N章 and 第N节; a body ends at the next heading of the same or a higher level."""
-    lines = _lines(docs, id_col, text_col, "\n")
-    s = stripped(F.col("line"))
-    level = F.when(s.rlike("^# "), 1).when(s.rlike("^## "), 2).when(s.rlike("^### "), 3).when(s.rlike(r"(?U)^第\s*[一二三四五六七八九十百\d]+\s*章"), 1).when(s.rlike(r"(?U)^第\s*[一二三四五六七八九十百\d]+\s*节"), 2)
-    marked = lines.withColumn("level", F.when(F.length(s) <= 60, level))
-    heads = marked.where("level is not null")
-    later = heads.select(F.col(id_col).alias("_id"), F.col("n").alias("n2"), F.col("level").alias("level2"))
-    ends = heads.join(later, (F.col(id_col) == F.col("_id")) & (F.col("n2") > F.col("n")) & (F.col("level2") <= F.col("level")), "left").groupBy(id_col, "n", "level", "line").agg(F.min("n2").alias("until"))
-    body = lines.select(F.col(id_col).alias("_id"), F.col("n").alias("m"), F.col("line").alias("text"))
-    inside = (F.col(id_col) == F.col("_id")) & (F.col("m") > F.col("n")) & (F.col("until").isNull() | (F.col("m") < F.col("until")))
-    out = ends.join(body, inside).groupBy(id_col, "n", "level", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", "text"))), lambda x: x["text"]), "\n").alias("body"))
-    out = out.withColumn("body", stripped(F.col("body"))).where(F.length("body") >= least_chars)
-    return out.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("n")) - 1).alias("chapter_ix"), F.regexp_replace(stripped(F.col("line")), "^#+ ", "").alias("title"), "level", "body")
+# Kinds of headings in order, how a line of each begins, and what of it is no title.
+HEADINGS = [
+    ("chinese_chapter", r"^第[一二三四五六七八九十百千\d]+[章节]", r"^第[一二三四五六七八九十百千\d]+[章节]\s*"),
+    ("chinese_numbered", r"^[一二三四五六七八九十]+、", r"^[一二三四五六七八九十]+、\s*"),
+    ("arabic_numbered", r"^\d+(?:\.\d+)*\.?\s+", r"^\d+(?:\.\d+)*\.?\s+"),
+    ("roman_numbered", r"^[IVXLCDM]+\.\s+", r"^[IVXLCDM]+\.\s+"),
+    ("chinese_section", r"^(总则|分则|附则|通则|补则|定义|术语)", None),
+    ("all_caps", r"^[A-Z][A-Z\s/-]{3,60}$", None),
+    ("markdown_atx", r"^#{1,6}\s+", r"^#{1,6}\s+"),
+]
+LONGEST_HEADING = 120
+_HEADINGS = [(k, re.compile(p), re.compile(c) if c else None) for k, p, c in HEADINGS]
+
+
+def heading(line: str) -> tuple[str, int] | None:
+    """Title and level of a line that is a heading: # to ###### and the dots of a number give levels, all else is level 1."""
+    s = line.strip()
+    if not s or len(s) > LONGEST_HEADING:
+        return None
+    for kind, pattern, cleaner in _HEADINGS:
+        m = pattern.match(s)
+        if m:
+            level = len(m[0].rstrip()) if kind == "markdown_atx" else min(3, 1 + m[0].count(".")) if kind == "arabic_numbered" else 1
+            return (cleaner.sub("", s).strip() if cleaner else "") or s, level
+    return None
+
+
+def chapters_of(text: str, least_chars: int = 50, most: int = 60) -> list[tuple[int, str, int, str]]:
+    """(number, title, level, body) of a text's chapters.
+
+    A body runs to the next heading of the same or a higher level, without its blank lines. A text with
+    fewer than two headings is cut at blank lines instead, and the first line of several is the title.
+    Bodies of fewer than `least_chars` characters are left out, and of the others `most` are given.
+    """
+    lines = text.splitlines()
+    heads = [(i, *h) for i, line in enumerate(lines) if (h := heading(line))]
+    parts: list[tuple[int, str, int, str]] = []
+    if len(heads) > 1:
+        until = [len(lines)] * len(heads)
+        still: list[int] = []  # headings whose body goes on, their levels ascending
+        for n, (line, _, level) in enumerate(heads):
+            while still and heads[still[-1]][2] >= level:
+                until[still.pop()] = line
+            still.append(n)
+        parts = [(n, title, level, "\n".join(x for x in lines[line + 1 : until[n]] if x.strip()).strip()) for n, (line, title, level) in enumerate(heads)]
+    else:
+        blocks = [b for b in (x.strip() for x in re.split(r"\n\s*\n", text)) if len(b) >= least_chars]
+        for n, block in enumerate(blocks):
+            first, *rest = block.splitlines()
+            parts.append((n, first.strip().rstrip("。；;.,") if rest else "", 1, ("\n".join(rest) if rest else first).strip()))
+    return [p for p in parts if len(p[3]) >= least_chars][:most]
+
+
+def chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 50, most: int = 60) -> DataFrame:
+    """(id, chapter_ix, title, level, body): see chapters_of(). A text is cut in one pass, in Arrow batches; null texts have no chapters."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("array<struct<chapter_ix:int,title:string,level:int,body:string>>")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = ("chapter_ix", "title", "level", "body")
+        for batch in it:
+            yield pd.Series([[dict(zip(names, c, strict=True)) for c in chapters_of(t, least_chars, most)] for t in batch], dtype=object)
+
+    return docs.select(id_col, F.explode(run(F.coalesce(F.col(text_col), F.lit("")))).alias("c")).select(id_col, "c.*")
 
 
 def annotate(text: Column, offset: Column, around: int = 50) -> Column:

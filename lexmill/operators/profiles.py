@@ -18,6 +18,8 @@ DIRECTIONS = [
     (["supports", "confirms", "proves", "demonstrates", "shows", "finds"], ["refutes", "disproves", "contradicts", "fails to support", "no evidence", "does not support"]),
     (["increases", "raises", "improves", "enhances", "boosts", "positively affects"], ["decreases", "lowers", "reduces", "diminishes", "harms", "negatively affects"]),
     (["is", "equals", "represents"], ["is not", "differs from", "is distinct from"]),
+    (["effective", "works", "successful", "beneficial"], ["ineffective", "does not work", "unsuccessful", "harmful", "no effect"]),
+    (["significant", "statistically significant", "meaningful"], ["not significant", "non-significant", "no statistically significant"]),
 ]
 
 

@@ -105,17 +105,13 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.dbscan(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35, 2, block_col=F.col("label"))
+    return K.dbscan(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35, 2)
 
 
 def mahalanobis_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of each vector's first six numbers to its label's prototype."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 6).alias("v"))
-    out = None
-    for label, proto in sorted(K.mahalanobis_prototypes(e, "label", "v").items()):
-        part = e.where(F.col("label") == label).select("vec_id", K.mahalanobis(F.col("v"), proto).alias("distance"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Distance of each vector to its label's prototype."""
+    e = table(spark, sf_dir, "embeddings")
+    return K.mahalanobis_distances(e, K.mahalanobis_prototypes(e, "label", "embedding"), "label", "embedding").select("vec_id", "distance")
 
 
 # ---- credibility, layers, triage ----
@@ -280,12 +276,12 @@ _TERMS_SQL = "WITH t AS (SELECT DISTINCT user_id AS run, lower(trim(event_type |
 
 def assoc_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of words of documents that meet far more often than by chance."""
-    t = docs(spark, sf_dir).select(F.col("doc_id").alias("run_id"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).where("length(term) between 2 and 3")
+    t = docs(spark, sf_dir).select(F.col("doc_id").alias("run_id"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).where("term <> ''")
     return M.positive(t).select("a", "b", "n", *(R6(c).alias(c) for c in ("support", "confidence", "lift")))
 
 
 def assoc_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs(spark, sf_dir).select(F.col("doc_id").alias("run_id"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).where("length(term) between 2 and 3")
+    t = docs(spark, sf_dir).select(F.col("doc_id").alias("run_id"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).where("term <> ''")
     return M.negative(t)
 
 
@@ -295,7 +291,7 @@ def event_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumnRenamed("term", "a").join(t.withColumnRenamed("term", "b"), "run_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-_WORDS_SQL = "WITH t AS (SELECT DISTINCT doc_id AS run, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents), u AS (SELECT * FROM t WHERE length(term) BETWEEN 2 AND 3), k AS (SELECT term, count(*) AS k FROM u GROUP BY 1), n AS (SELECT count(DISTINCT run) AS n FROM u), f AS (SELECT term, k FROM k, n WHERE k >= 0.1 * n.n), x AS (SELECT u.* FROM u SEMI JOIN f USING (term)), c AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM x a JOIN x b ON a.run = b.run AND a.term < b.term GROUP BY 1, 2)"
+_WORDS_SQL = "WITH t AS (SELECT DISTINCT doc_id AS run, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents), u AS (SELECT * FROM t WHERE term <> ''), k AS (SELECT term, count(*) AS k FROM u GROUP BY 1), n AS (SELECT count(DISTINCT run) AS n FROM u), f AS (SELECT term, k FROM k, n WHERE k >= 0.1 * n.n), x AS (SELECT u.* FROM u SEMI JOIN f USING (term)), c AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM x a JOIN x b ON a.run = b.run AND a.term < b.term GROUP BY 1, 2)"
 
 
 def chi_squared_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +316,7 @@ GROUPS = [("english", "the"), ("english", "and"), ("german", "und"), ("german",
 
 
 def term_group_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = docs(spark, sf_dir).select(F.col("doc_id").alias("ev_id"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).where("length(term) <= 3")
+    terms = docs(spark, sf_dir).select(F.col("doc_id").alias("ev_id"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).where("term <> ''")
     return M.group_cooccurrence(terms, frame(spark, GROUPS, "group string, term string")).select("term", "group", R6("share").alias("share"))
 
 
@@ -390,7 +386,7 @@ ORACLES = {
         y AS (SELECT *, 1 / (1 + 0.2316419 * sqrt(chi)) AS t FROM x)
         SELECT g AS bigram, round(chi, 4) AS chi2, round(CASE WHEN chi > 0 THEN least(1, 2 * 0.3989422804014327 * exp(-chi / 2) * (t * (0.319381530 + t * (-0.356563782 + t * (1.477937 + t * (-1.821255978 + t * 1.330274429)))))) ELSE 1 END, 5)::DOUBLE AS p FROM y""",
     "vocabulary_pmi": "WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents), u AS (SELECT w, count(*) AS n FROM w WHERE w <> '' GROUP BY 1), g AS (SELECT b, sum(n) AS n FROM (SELECT n, unnest(list_transform(range(1, length(w)), lambda i: substr(w, i, 2))) AS b FROM u) GROUP BY 1), h AS (SELECT c, sum(n) AS n FROM (SELECT n, unnest(string_split(w, '')) AS c FROM u) GROUP BY 1) SELECT b AS bigram, g.n::BIGINT AS n, round(log2((g.n::DOUBLE / (SELECT sum(n) FROM g)) / ((x.n::DOUBLE / (SELECT sum(n) FROM h)) * (y.n::DOUBLE / (SELECT sum(n) FROM h)))), 6) AS pmi FROM g JOIN h x ON x.c = b[1] JOIN h y ON y.c = b[2]",
-    "term_group_cooccurrence": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents), u AS (SELECT * FROM t WHERE length(term) BETWEEN 1 AND 3), g AS (SELECT * FROM " + values(GROUPS, "grp", "term") + "), pr AS (SELECT DISTINCT doc_id, grp FROM u JOIN g USING (term)), c AS (SELECT term, grp, count(*) AS n FROM u JOIN pr USING (doc_id) WHERE length(term) >= 2 AND term NOT IN (SELECT term FROM g) GROUP BY 1, 2), s AS (SELECT term, grp, n::DOUBLE / max(n) OVER (PARTITION BY term) AS share FROM c) SELECT term, grp AS \"group\", round(share, 6) AS share FROM s WHERE share >= 0.6",
+    "term_group_cooccurrence": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents), u AS (SELECT * FROM t WHERE term <> ''), g AS (SELECT * FROM " + values(GROUPS, "grp", "term") + "), pr AS (SELECT DISTINCT doc_id, grp FROM u JOIN g USING (term)), c AS (SELECT term, grp, count(*) AS n FROM u JOIN pr USING (doc_id) WHERE length(term) >= 2 AND term NOT IN (SELECT term FROM g) GROUP BY 1, 2), s AS (SELECT term, grp, n::DOUBLE / max(n) OVER (PARTITION BY term) AS share FROM c) SELECT term, grp AS \"group\", round(share, 6) AS share FROM s WHERE share >= 0.6",
     "evidence_fusion": "WITH m AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderpriority <> '1-URGENT'), r AS (SELECT l_orderkey AS k, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY 1) SELECT k, round(m.v, 4) AS model_value, round(r.v, 4) AS regex_value, coalesce(abs(m.v - r.v) < 0.01, false) AS agreement, round(CASE WHEN m.v IS NULL THEN 0 WHEN abs(m.v - r.v) < 0.01 THEN 0.84 ELSE 0.7 END, 4)::DOUBLE AS model_confidence, round(CASE WHEN r.v IS NULL THEN 0 WHEN abs(m.v - r.v) < 0.01 THEN 1 ELSE 0.95 END, 4)::DOUBLE AS regex_confidence FROM m FULL JOIN r USING (k)",
     "cross_paper_contradictions": "WITH c AS (SELECT id, paper, d, unnest(s) AS s FROM " + values(CLAIMS, "id", "paper", "s", "d") + ") SELECT a.id AS a, b.id AS b, min(a.s) AS subject FROM c a JOIN c b ON a.s = b.s AND a.paper < b.paper AND a.d = -b.d AND a.d <> 0 GROUP BY 1, 2",
 }

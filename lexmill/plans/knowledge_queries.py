@@ -76,7 +76,10 @@ def template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.scan_keywords(frame(spark, [*LAW, (4, "The report must include a summary. You shall not copy it")], "doc_id long, text string"))
+    """Rules that documents state, and some sentences of a law under negative ids."""
+    law = frame(spark, [(-i, t) for i, t in LAW], "doc_id long, text string")
+    out = X.scan_keywords(docs(spark, sf_dir).select("doc_id", "text").unionByName(law))
+    return out.select("doc_id", F.col("ix").cast("long").alias("ix"), "condition_type", "severity", F.array_join("terms", "|").alias("terms"), "source_text")
 
 
 def concept_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +212,6 @@ ORACLES = {
     "term_overlap": "SELECT p_partkey, round(" + _OVERLAP.format(a="'part number 12'", b="p_name", ga=_BI.format("'part number 12'"), gb=_BI.format("p_name")) + ", 6)::DOUBLE AS overlap FROM part",
     "whitelist_check": "SELECT * FROM " + values([("保修期限", "exact"), ("保修", "substring"), ("屋面期限", "ending"), ("违约金额", "substring"), ("天气", None)], "term", "how"),
     "origin_verification": "SELECT * FROM " + values([(1, "保修", 0.4), (2, "付款", 0.8), (3, "付款", 0.4)], "id", "terms", "confidence"),
-    "keyword_scan": "SELECT * FROM " + values([(1, "required_pattern", "warning", "x")], "doc_id", "condition_type", "severity", "fragment") + " WHERE false",
     "concept_extraction": "WITH t AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM benchmark), w AS (SELECT term, count(*) AS freq FROM t WHERE length(term) BETWEEN 2 AND 8 GROUP BY 1 HAVING count(*) >= 2) SELECT term, freq, freq::DOUBLE AS score FROM w ORDER BY freq DESC, term LIMIT 50",
     "three_gates": _EV + ", x AS (SELECT 'FAILED' AS f, doc_id FROM labels WHERE quality = 0), b AS (SELECT rule_id, count(*) FILTER (status = 'NOT_APPLICABLE')::DOUBLE / count(*) <= 0.85 AS applicable FROM e WHERE rule_ix IN (2, 4) GROUP BY 1), n AS (SELECT rule_id, bool_and(status = 'FAILED') AS negatives FROM e JOIN x USING (doc_id) WHERE rule_ix IN (2, 4) GROUP BY 1) SELECT rule_id, applicable, coalesce(negatives, true) AS negatives FROM b LEFT JOIN n USING (rule_id)",
     "adversarial_suite": "SELECT * FROM " + values([("cn-1", "at", "保修期限为5年。", "PASSED"), ("cn-1", "below", "保修期限为4年。", "FAILED"), ("cn-1", "above", "保修期限为6年。", "PASSED"), ("cn-1", "deletion", "双方另行约定年。", "NOT_APPLICABLE"), ("cn-2", "at", "违约金为3%。", "PASSED"), ("cn-2", "below", "违约金为2%。", "PASSED"), ("cn-2", "above", "违约金为4%。", "FAILED"), ("cn-2", "deletion", "双方另行约定%。", "NOT_APPLICABLE")], "rule_id", "kind", "text", "expected"),
@@ -226,4 +228,3 @@ ORACLES = {
     "sentence_split": "SELECT * FROM " + values([(1, 0, "第四十条 屋面防水工程的保修期限，为5年。"), (1, 1, "保修期限不得低于2年。"), (1, 2, "承包人应当提供质量保修书。"), (2, 0, "禁止转包。"), (2, 1, "发包人不得指定分包单位。"), (2, 2, "逾期违约金不超过合同总价的百分之五；"), (2, 3, "工程款应当在30日内支付。"), (3, 0, "没有规则的句子。")], "doc_id", "ix", "sentence"),
     "chapter_split": "SELECT * FROM " + values([(1, 0, "第一部分", 1, 128), (1, 1, "第一节", 2, 60), (1, 2, "第二部分", 1, 60)], "doc_id", "chapter_ix", "title", "level", "n"),
 }
-del ORACLES["keyword_scan"]

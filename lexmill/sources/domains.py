@@ -106,6 +106,10 @@ def write_evidence_index(evidence: DataFrame, path: str, id_col: str = "doc_id")
 
 
 def write_domain(spark: SparkSession, path: str, manifest: dict, rules: list[dict], groups: dict[str, list[str]]) -> None:
-    """A domain folder: manifest, rules and ontology, a Spark text file each (a folder of one part)."""
+    """A domain folder as discover() finds it: the files domain.json, rules.json and ontology.json, on any file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
     for name, data in (("domain", manifest), ("rules", {"id": manifest["id"], "rules": rules}), ("ontology", {"entity_groups": groups})):
-        spark.createDataFrame([(json.dumps(data, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.json")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(json.dumps(data, ensure_ascii=False, indent=1).encode()))
+        out.close()
