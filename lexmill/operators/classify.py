@@ -138,6 +138,29 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+#: Weights of a hybrid distance: numbers 1 to 6, numbers 7 to 10, and n-grams.
+HYBRID = (0.30, 0.20, 0.50)
+
+
+def sparse_cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity of two maps of keys to weights; 0 if either has no length."""
+    square = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x * x)
+    dot = F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
+    norm = F.sqrt(square(a) * square(b))
+    return F.when(norm > 0, dot / norm).otherwise(0.0)
+
+
+def hybrid_distance(a: Column, b: Column, a_grams: Column | None = None, b_grams: Column | None = None) -> Column:
+    """1 less the weighted similarities of the structural numbers, the other numbers and the n-grams, at least 0.
+
+    Without n-grams (maps) of both, the whole vectors take their place.
+    """
+    whole = cosine(a, b)
+    grams = whole if a_grams is None or b_grams is None else F.when((F.size(a_grams) > 0) & (F.size(b_grams) > 0), sparse_cosine(a_grams, b_grams)).otherwise(whole)
+    part = lambda start, n: cosine(F.slice(a, start, n), F.slice(b, start, n))
+    return F.greatest(F.lit(0.0), 1 - (HYBRID[0] * part(1, 6) + HYBRID[1] * part(7, 4) + HYBRID[2] * grams))
+
+
 def adjusted_rand(rows: DataFrame, true_col: str, found_col: str) -> DataFrame:
     """(ari): agreement of two partitions, from their contingency table; 1 when both are one class or all singletons."""
     pairs = lambda c: c * (c - 1) / 2.0

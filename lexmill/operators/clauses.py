@@ -187,6 +187,48 @@ def chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     return docs.select(id_col, F.explode(run(F.coalesce(F.col(text_col), F.lit("")))).alias("c")).select(id_col, "c.*")
 
 
+# Chapters and articles of a statute, and numbered headings.
+_CHAPTER = re.compile(r"(第[一二三四五六七八九十百千]+章)\s*(.*)")
+_STATUTE_ARTICLE = re.compile(r"(第[一二三四五六七八九十百千]+条)\s*")
+_NUMBERED = re.compile(r"^(\d+[.、]\s*.+)$", re.MULTILINE)
+
+
+def units_of(text: str) -> list[tuple[str, int, str, str]]:
+    """(title, level, body, chapter) of a text's units: chapters, each followed by its articles; else numbered headings; else the whole.
+
+    What stands before the first chapter or heading belongs to none. An article's chapter is named with it.
+    """
+    def between(marks: list[re.Match], whole: str) -> list[str]:
+        until = [*(m.start() for m in marks[1:]), len(whole)]
+        return [whole[m.end() : end].strip() for m, end in zip(marks, until, strict=False)]
+
+    chapters_ = list(_CHAPTER.finditer(text))
+    if chapters_:
+        out = []
+        for m, body in zip(chapters_, between(chapters_, text), strict=True):
+            title = (m[1] + m[2]).strip()
+            articles = list(_STATUTE_ARTICLE.finditer(body))
+            out.append((title, 1, body, ""))
+            out += [(a[1], 2, b, title) for a, b in zip(articles, between(articles, body), strict=True)]
+        return out
+    numbered = list(_NUMBERED.finditer(text))
+    if numbered:
+        return [(m[1].strip(), 1, b, "") for m, b in zip(numbered, between(numbered, text), strict=True)]
+    return [(WHOLE, 0, text.strip(), "")]
+
+
+def document_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, unit_ix, title, level, body, chapter): see units_of(), in Arrow batches. A null text is an empty one, with one empty unit."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("array<struct<title:string,level:int,body:string,chapter:string>>")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in it:
+            yield pd.Series([[dict(zip(("title", "level", "body", "chapter"), u, strict=True)) for u in units_of(t)] for t in batch], dtype=object)
+
+    return docs.select(id_col, F.posexplode(run(F.coalesce(F.col(text_col), F.lit("")))).alias("unit_ix", "u")).select(id_col, "unit_ix", "u.*")
+
+
 def annotate(text: Column, offset: Column, around: int = 50) -> Column:
     """Where an offset of a text is: line number, snippet with ellipses, nearest heading before."""
     before = F.substring(text, F.lit(1), offset)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .classify import term_set_domain
 from .clauses import chapters
-from .extraction import extract_rules, gates
+from .extraction import as_candidates, extract_rules, gates
 from .rules import Rule, evaluate
 
 
@@ -28,13 +28,19 @@ def book_rules(books: DataFrame, sets: dict[str, dict], id_col: str = "doc_id",
 
 def as_rules(extracted: DataFrame, package: str, most: int = 10_000) -> list[Rule]:
     """Rules of a package from extracted rows; a package is compiled on the driver, so it has at most `most` rules."""
-    rows = extracted.limit(most + 1).collect()
+    rows = as_candidates(extracted).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"{package} has more than {most} rules")
     out = []
     for i, r in enumerate(sorted(rows, key=lambda r: (r.condition_type, r.subject))):
-        params = {"terms": list(r.terms or [r.subject])} if r.expected is None else {"label": r.subject, "context_pattern": r.subject, "operator": r.operator, "expected": r.expected, "unit": r.unit}
-        out.append(Rule(f"auto_{i:04d}", r.condition_type, params, name=r.subject, package_id=package, source_credibility=0.7, extraction_method="keyword_scan"))
+        terms = list(r.terms or [r.subject])
+        if r.condition_type in ("numeric_comparison", "sum_numeric_comparison"):
+            params = {"label": r.subject, "context_pattern": r.context_pattern, "operator": r.operator, "expected": r.expected or 0, "unit": r.unit or "年", "legal_ref": r.legal_ref}
+        elif r.condition_type == "co_occurrence":
+            params = {"antecedent": terms[0], "consequent": terms[1] if len(terms) > 1 else ""}
+        else:
+            params = {"terms": terms} | ({"threshold": 2} if r.condition_type == "mutual_exclusion" else {})
+        out.append(Rule(f"auto_{i:04d}", r.condition_type, params, name=r.subject, severity=r.severity, clause_type=r.clause_type, category="auto-extracted", package_id=package, source="auto-extracted", source_credibility=0.7, extraction_method="template_extract"))
     return out
 
 

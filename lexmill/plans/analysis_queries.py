@@ -104,6 +104,13 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(F.broadcast(mean), "label").select("vec_id", F.round(K.cosine(F.col("embedding"), F.col("mean")), 4).alias("similarity"))
 
 
+def hybrid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each vector to the next one."""
+    e = table(spark, sf_dir, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
+    return e.join(after, "vec_id").select("vec_id", F.round(K.hybrid_distance(F.col("embedding"), F.col("after")), 4).alias("distance"))
+
+
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.dbscan(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35, 2)
 
@@ -335,7 +342,7 @@ def cross_paper_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    lexical_coverage, lexical_loo_threshold, lexical_domains, jaccard_similar, nb_classify, domain_term_set, adjusted_rand, embedding_cosine, dbscan_clusters, mahalanobis_distance,
+    lexical_coverage, lexical_loo_threshold, lexical_domains, jaccard_similar, nb_classify, domain_term_set, adjusted_rand, embedding_cosine, hybrid_distance, dbscan_clusters, mahalanobis_distance,
     source_credibility, academic_layers, triage_scores, triage_summary, rule_edges, rule_closure, dependency_resolve, belief_propagation, mermaid, pair_potentials,
     constraint_check, constraint_violations, what_if, counterfactual_diff, fix_ranking, unbound_conflicts, conflict_report,
     assoc_positive, assoc_negative, event_associations, chi_squared_bigrams, vocabulary_pmi, term_group_cooccurrence, evidence_fusion, cross_paper_contradictions,
@@ -360,6 +367,7 @@ ORACLES = {
     "academic_layers": "SELECT id AS prop_id, round(s, 6)::DOUBLE AS credibility, CASE WHEN s >= 0.8 THEN 'L0_VALIDATED' WHEN s >= 0.55 THEN 'L1_CONJECTURE' WHEN s >= 0.25 THEN 'L2_SOURCE_UNCERTAIN' ELSE 'L3_OUTER_POSSIBILITY' END AS layer FROM (SELECT id, v * 0.4 + CASE WHEN c >= 1000 THEN 1 WHEN c >= 100 THEN 0.8 WHEN c >= 10 THEN 0.5 WHEN c > 0 THEN 0.3 ELSE 0.15 END * 0.25 + s * 0.2 + m * 0.15 AS s FROM " + values([(1, 1.0, 1500, 0.9, 1.0), (2, 0.3, 5, 0.3, 0.5), (3, 0.65, 120, 0.7, 0.85), (4, 0.05, 0, 0.15, 0.35), (5, 0.85, 10, 1.0, 0.5)], "id", "v", "c", "s", "m") + ")",
     "triage_scores": "SELECT ev_id, round(s, 6)::DOUBLE AS score, CASE WHEN s IS NULL THEN 'PASS' WHEN s >= 0.8 THEN 'FAIL' ELSE 'NEEDS_REVIEW' END AS verdict FROM " + values([(1, round((0.9 + 0.8 + 1.2 * (0.5 + (2 - 0.75) / 1.5 * 0.3) + 0.6 * 0.45 + 0.9 + 0.5) / 5.0, 6)), (2, round(((0.10 + 0.2 / 0.3 * 0.05) + 0.8 * 0.4 + 1.2 + 0.6 * 0.25 + 0.9 * (1 - 0.2 / 0.4 * 0.8) + 0.5 * 0.6) / 5.0, 6)), (3, None), (4, round((0.95 + 0.8 * 0.95 + 1.2 * (0.2 / 0.45 * 0.5) + 0.6 * (0.75 - 0.06) + 0.9 * (0.2 - 0.1 / 0.3 * 0.2) + 0.15) / 5.0, 6)), (5, round((1 + 0.8 + 1.2 + 0.6 * 0.8 + 0.9 + 0.5) / 5.0, 6))], "ev_id", "s"),
     "triage_summary": _EV + """, g AS (SELECT rule_id, CASE WHEN status <> 'FAILED' THEN 'PASS' WHEN (0.45 + 0.8 + 1.2 + 0.6 * CASE WHEN matched = '' THEN 0.05 WHEN contains(matched, ',') THEN 0.45 ELSE 0.25 END + 0.9 + 0.5 * CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 0.6 ELSE 0.3 END) / 5 >= 0.8 THEN 'FAIL' ELSE 'NEEDS_REVIEW' END AS verdict FROM e) SELECT rule_id, verdict, count(*) AS n FROM g GROUP BY 1, 2""",
+    "hybrid_distance": "SELECT a.vec_id, round(greatest(0, 1 - (0.3 * list_cosine_similarity(x[1:6], y[1:6]) + 0.2 * list_cosine_similarity(x[7:10], y[7:10]) + 0.5 * list_cosine_similarity(x, y))), 4) AS distance FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) a JOIN (SELECT vec_id - 1 AS vec_id, embedding::DOUBLE[] AS y FROM embeddings) b USING (vec_id)",
     "rule_edges": _EDGES + " SELECT src, dst, edge_type, round(weight, 6)::DOUBLE AS weight FROM edges",
     "rule_closure": _EDGES.replace("WITH r", "WITH RECURSIVE r") + ", reach AS (SELECT src, dst FROM edges UNION SELECT a.src, b.dst FROM reach a JOIN edges b ON a.dst = b.src) SELECT DISTINCT src, dst FROM reach WHERE src <> dst",
     "dependency_resolve": _EV + f""", x AS (SELECT DISTINCT doc_id, rule_id FROM e WHERE status = 'FAILED'), h AS (SELECT DISTINCT a.doc_id, a.rule_id FROM x a JOIN {values(PACKAGE_LINKS, "src", "dst")} l ON a.rule_id = l.src JOIN x b ON a.doc_id = b.doc_id AND b.rule_id = l.dst)

@@ -82,6 +82,22 @@ def keyword_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("ix").cast("long").alias("ix"), "condition_type", "severity", F.array_join("terms", "|").alias("terms"), "source_text")
 
 
+def candidate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = X.as_candidates(X.extract_rules(frame(spark, LAW, "doc_id long, text string")))
+    return out.select("doc_id", "condition_type", "subject", "context_pattern", "clause_type", "legal_ref", "severity")
+
+
+def modal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    law = frame(spark, [(-i, t) for i, t in LAW], "doc_id long, text string")
+    return X.modal_rules(docs(spark, sf_dir).select("doc_id", "text").unionByName(law))
+
+
+def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of all documents: of their numbered headings, or each as a whole."""
+    out = C.document_units(docs(spark, sf_dir))
+    return out.select("doc_id", F.col("unit_ix").cast("long").alias("unit_ix"), F.sha2("title", 256).alias("title_sha256"), F.col("level").cast("long").alias("level"), F.sha2("body", 256).alias("body_sha256"))
+
+
 def concept_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent words of the benchmark's items with definition contexts (of which there are none) and parents."""
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lower("text").alias("text"))
@@ -198,7 +214,7 @@ def chapter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    alias_expansion, field_normalise, taxonomy, taxonomy_faults, term_overlap, whitelist_check, origin_verification, template_extraction, keyword_scan, concept_extraction, three_gates,
+    alias_expansion, field_normalise, taxonomy, taxonomy_faults, term_overlap, whitelist_check, origin_verification, template_extraction, keyword_scan, candidate_rules, modal_rules, document_units, concept_extraction, three_gates,
     adversarial_suite, perturbed_texts, gold_scoring, dual_path, threshold_calibration, soft_compare, nb_feedback, qa_numeric_lookup, outer_sentences, stream_validate, event_windows, event_sessions, sentence_split, chapter_split,
 )}
 _OUTCOME = "CASE WHEN status = expected THEN 'correct' WHEN status = 'FAILED' THEN 'false_positive' WHEN expected = 'FAILED' THEN 'false_negative' ELSE 'wrong' END"

@@ -190,3 +190,39 @@ def test_each_sentence_template(spark):
         for c in X.candidates_in(s):
             best[i, c[2], c[1]] = max(best.get((i, c[2], c[1]), 0), c[7])
     assert got == best
+
+
+def test_candidates_are_told_by_their_words(spark):
+    schema = "doc_id long, condition_type string, subject string, source_text string"
+    rows = [(1, "numeric_comparison", "屋面防水工程", "屋面防水工程的保修期限为5年"), (2, "required_pattern", "甲方", "甲方应当通知乙方"), (3, "forbidden_pattern", "承包人的某些义务说明", None), (4, "forbidden_pattern", "转包", "禁止转包")]
+    got = {r.doc_id: (r.context_pattern, r.clause_type, r.legal_ref, r.severity) for r in X.as_candidates(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1] == ("屋面防水|保修|防水|期限", "保修", "国务院令第279号", "major")
+    assert got[2] == ("甲方", "其他", X.NO_REF, "warning") and got[3] == ("承包人的某些义务说明", "其他", X.NO_REF, "warning")
+    assert got[4] == ("转包", "工程管理", X.NO_REF, "warning")
+
+
+def test_modal_rules(spark, sf_dir):
+    assert X.modal_rules_in("发包人不得指定分包，单位") == [("forbidden_pattern", "发包人不得指定分", "")]  # words of eight characters at most
+    assert X.modal_rules_in("合同，承包人必须质量，保证") == [("co_occurrence", "承包人", "质量")]
+    assert X.modal_rules_in("应当") == [] and X.modal_rules_in("不得") == [("forbidden_pattern", "不得", "")]
+    assert len(X.modal_rules_in("甲方不得转让\n" * 80)) == X.MOST_MODAL
+    assert registry.queries()["modal_rules"](spark, sf_dir).where("doc_id < 0").count() > 0
+
+
+def test_units_of_documents(spark, sf_dir):
+    law = "前言\n第一章 总则\n第一条 甲。\n第二条 乙。\n第二章 附则\n无条"
+    assert C.units_of(law) == [("第一章总则", 1, "第一条 甲。\n第二条 乙。", ""), ("第一条", 2, "甲。", "第一章总则"), ("第二条", 2, "乙。", "第一章总则"), ("第二章附则", 1, "无条", "")]
+    assert C.units_of("intro\n1. One\nbody\n2、Two\n") == [("1. One", 1, "body", ""), ("2、Two", 1, "", "")]
+    assert C.units_of(" flat ") == [("全文", 0, "flat", "")] and C.units_of("") == [("全文", 0, "", "")]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = sum(max(1, len(re.findall(r"(?m)^\d+[.、]\s*.+$", t))) for t in texts.values())
+    assert registry.queries()["document_units"](spark, sf_dir).count() == want
+
+
+def test_hybrid_distance_with_sparse_n_grams(spark):
+    from lexmill.operators.classify import hybrid_distance
+
+    rows = [(1, [1.0] * 10, [1.0] * 10, {"a": 1.0}, {"a": 2.0}, 0.0), (2, [1.0] * 10, [1.0] * 10, {"a": 1.0}, {"b": 2.0}, 0.5), (3, [1.0] * 6 + [0.0] * 4, [1.0] * 6 + [0.0] * 4, {}, {"b": 2.0}, 0.2), (4, [0.0] * 10, [1.0] * 10, {}, {}, 1.0)]
+    df = spark.createDataFrame(rows, "i long, a array<double>, b array<double>, x map<string,double>, y map<string,double>, want double")
+    for r in df.select("want", hybrid_distance(df.a, df.b, df.x, df.y).alias("got")).collect():
+        assert r.got == pytest.approx(r.want, abs=1e-12)
