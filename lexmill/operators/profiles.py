@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import let
 from ..functions.numerals import contract_value
 from .mining import chi_squared
 
@@ -131,22 +132,47 @@ def feedback(evidence: DataFrame, groups: DataFrame) -> DataFrame:
     return a.unionByName(b.select("text_hash", F.col("clause_type").alias("old_label"), F.col("second").alias("suggested"), F.lit(0.55).alias("confidence"), F.lit("inconsistent").alias("signal")))
 
 
-def synonym_candidates(near: DataFrame, background: DataFrame, least: int = 3) -> DataFrame:
-    """(rule_id, gram, chi2, tier): grams that keep company with a rule's terms far more than with other texts.
+# Tiers of synonyms by chi-squared, substitutable blocks and documents; the first that fits.
+SYNONYM_TIERS = [("AUTO", 10.0, 3, 5), ("REVIEW", 6.63, 2, 0)]
 
-    `near` has (rule_id, fragment_id, doc_id, gram) of windows around matched terms, `background` has
-    (text_id, gram) of other texts. A gram needs `least` fragments and documents; tiers are AUTO from 10
-    (and five documents), REVIEW from 6.63, SUGGEST from 3.84.
+
+def synonym_candidates(blocks: DataFrame, rules: dict[str, list[str]], grams, least: int = 3, around: int = 50, least_chi2: float = 3.84) -> DataFrame:
+    """(rule_id, gram, chi2, substitutable, tier): grams that keep company with a rule's terms far more than with other texts.
+
+    `blocks` has (block_id, doc_id, cluster, text), `rules` the terms of each rule, and grams() gives the
+    grams of a text column. A rule's windows reach from `around` characters before the first of its terms
+    to as many after the last, once in every block that has one. Blocks of clusters without any such
+    block are the baseline, and blocks of the others that have the gram but none of the terms are
+    substitutable. A gram needs `least` blocks and documents, and a rule as many blocks and baseline blocks.
+    Blocks of a null cluster are in the baseline. Grams are counted by cluster before anything is joined.
     """
-    n = near.groupBy("rule_id").agg(F.count_distinct("fragment_id").alias("n1"))
-    m = background.select("text_id").distinct().count()
-    o = near.groupBy("rule_id", "gram").agg(F.count_distinct("fragment_id").alias("o11"), F.count_distinct("doc_id").alias("docs")).where((F.col("o11") >= least) & (F.col("docs") >= least))
-    b = background.distinct().groupBy("gram").agg(F.count("*").alias("o21"))
-    rows = o.join(n, "rule_id").join(b, "gram", "left").withColumn("o21", F.coalesce("o21", F.lit(0)))
-    chi, _ = chi_squared(F.col("o11"), F.col("n1") - F.col("o11"), F.col("o21"), F.lit(m) - F.col("o21"))
-    more = F.col("o11") / F.col("n1") > F.col("o21") / F.greatest(F.lit(m), F.lit(1))
-    out = rows.withColumn("chi2", chi).where(more & (F.col("chi2") >= 3.84))
-    return out.select("rule_id", "gram", "chi2", F.when((F.col("chi2") >= 10) & (F.col("docs") >= 5), "AUTO").when(F.col("chi2") >= 6.63, "REVIEW").otherwise("SUGGEST").alias("tier"))
+    names = list(rules)
+    low = F.lower(F.coalesce("text", F.lit("")))
+    spots = [[F.locate(t.lower(), low) for t in rules[r]] for r in names]
+    flags = F.array(*(F.greatest(*s, F.lit(0)) > 0 for s in spots))
+    ends = lambda r, s: F.greatest(*(F.when(p > 0, p + len(t)) for t, p in zip(rules[r], s, strict=True)), F.lit(0))
+    starts = lambda s: F.least(*(F.when(p > 0, p) for p in s), F.lit(1 << 30))
+    window = lambda r, s: let(F.greatest(starts(s) - around, F.lit(1)), lambda a: F.substring(low, a, ends(r, s) + around - a))
+    windows = F.array(*(F.when(F.greatest(*s, F.lit(0)) > 0, F.struct(F.lit(i).alias("rule"), window(r, s).alias("window"))) for i, (r, s) in enumerate(zip(names, spots, strict=True))))
+    base = blocks.select("block_id", "doc_id", "cluster", low.alias("low"), flags.alias("flags"), F.filter(windows, lambda w: w.isNotNull()).alias("windows"))
+
+    each = F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("rule")
+    clusters = base.groupBy("cluster").agg(F.count("*").alias("blocks"), F.array(*(F.bool_or(F.col("flags")[i]) for i in range(len(names)))).alias("target"), F.array(*(F.count_if(F.col("flags")[i]) for i in range(len(names)))).alias("with_term"))
+    aimed = lambda c: F.coalesce(F.get(c, F.col("rule")), F.lit(False)) & F.col("cluster").isNotNull()
+    totals = clusters.select("*", each).groupBy("rule").agg(F.sum(F.when(aimed("target"), 0).otherwise(F.col("blocks"))).alias("m"), F.sum(F.get("with_term", F.col("rule"))).alias("n1")).where((F.col("m") >= least) & (F.col("n1") >= least))
+
+    near = base.select("block_id", "doc_id", F.explode("windows").alias("w")).select("block_id", "doc_id", "w.rule", F.explode(F.array_distinct(grams(F.col("w.window")))).alias("gram"))
+    seen = near.groupBy("rule", "gram").agg(F.count("*").alias("o11"), F.count_distinct("doc_id").alias("docs")).where((F.col("o11") >= least) & (F.col("docs") >= least))
+    cells = base.select("cluster", "flags", F.explode(F.array_distinct(grams(F.col("low")))).alias("gram")).groupBy("gram", "cluster", "flags").agg(F.count("*").alias("n"))
+    cells = cells.join(clusters.select(F.col("cluster").alias("_c"), "target"), F.col("cluster").eqNullSafe(F.col("_c"))).select("*", each)
+    other = cells.groupBy("rule", "gram").agg(F.sum(F.when(aimed("target"), 0).otherwise(F.col("n"))).alias("o21"), F.sum(F.when(aimed("target") & ~F.get("flags", F.col("rule")), F.col("n")).otherwise(0)).alias("substitutable"))
+    rows = seen.join(F.broadcast(totals), "rule").join(other, ["rule", "gram"])  # one row for each rule
+    chi, _ = chi_squared(F.col("o11"), F.col("n1") - F.col("o11"), F.col("o21"), F.col("m") - F.col("o21"))
+    out = rows.withColumn("chi2", chi).where((F.col("o11") / F.col("n1") > F.col("o21") / F.col("m")) & (F.col("chi2") >= least_chi2))
+    tier = F.lit("SUGGEST")
+    for name, at_chi2, blocks_, documents in reversed(SYNONYM_TIERS):
+        tier = F.when((F.col("chi2") >= at_chi2) & (F.col("substitutable") >= blocks_) & (F.col("docs") >= documents), name).otherwise(tier)
+    return out.select(F.get(F.array(*map(F.lit, names)), F.col("rule")).alias("rule_id"), "gram", "chi2", "substitutable", tier.alias("tier"))
 
 
 def centroids(vectors: DataFrame, class_col: str, vector_col: str) -> DataFrame:

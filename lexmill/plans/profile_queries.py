@@ -12,7 +12,7 @@ from ..operators import profiles as P
 from ..operators.rules import Rule
 from .inline import frame, values
 from .knowledge_queries import LAW
-from .rule_queries import _EV, docs, package_evidence
+from .rule_queries import _EV, _FRAGMENTS, docs, package_evidence
 
 CONTRACTS = [(1, "总承包合同，金额6000万元。"), (2, "不得分包。合同金额50万元。"), (3, "分包合同，金额2000万元。"), (4, "屋面防水维修，金额5万元。"), (5, "普通合同。")]
 TAGS = [(1, "大型工程,施工总承包"), (2, "中小型工程"), (3, "专业分包"), (4, "小型维修"), (5, "中小型工程")]
@@ -47,8 +47,8 @@ def source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = package_evidence(spark, sf_dir).where("rule_ix in (0, 4)")
-    f = P.feasible(F.col("status"), F.col("severity"), F.lit("unless agreed"))
+    e = package_evidence(spark, sf_dir)
+    f = P.feasible(F.col("status"), F.col("severity"), F.col("input_fragment"))
     return e.select("doc_id", "rule_ix", f.alias("f")).select("doc_id", "rule_ix", "f.feasible", F.array_join("f.reasons", ",").alias("reasons"))
 
 
@@ -76,17 +76,15 @@ def feedback_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.feedback(e, frame(spark, [("保修", "保修"), ("保修", "质保"), ("付款", "付款")], "group string, term string")).withColumn("confidence", F.round("confidence", 6))
 
 
+SYNONYM_RULES = {"r1": [" und ", " oder "], "r2": [" the "]}
+
+
 def synonym_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words near "und" and "the" (as two rules' terms), against the words of documents in other languages."""
-    d = docs(spark, sf_dir)
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) >= 2))
-    part = lambda term: F.regexp_extract(F.col("text"), rf"(?s)(.{{0,50}}\b{term}\b.{{0,50}})", 1)
-    near = None
-    for rule, term in (("r1", "und"), ("r2", "the")):
-        rows = d.select(F.lit(rule).alias("rule_id"), F.col("doc_id").alias("fragment_id"), "doc_id", F.explode(words(part(term))).alias("gram"))
-        near = rows if near is None else near.unionByName(rows)
-    background = d.where("lang in ('fr', 'es')").select(F.col("doc_id").alias("text_id"), F.explode(words(F.col("text"))).alias("gram"))
-    return P.synonym_candidates(near, background).select("rule_id", "gram", F.round("chi2", 4).alias("chi2"), "tier")
+    """Words that keep company with the terms of two rules in the lines of all documents; languages are the clusters."""
+    lines = docs(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("n", "text")).where("trim(text) <> ''")
+    blocks = lines.select(F.struct("doc_id", "n").alias("block_id"), "doc_id", F.col("lang").alias("cluster"), "text")
+    words = lambda c: F.filter(F.split(c, "[^a-z]+"), lambda w: F.length(w) >= 2)
+    return P.synonym_candidates(blocks, SYNONYM_RULES, words).withColumn("chi2", F.round("chi2", 4))
 
 
 def prototype_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +134,9 @@ ORACLES = {
     "layered_domain": f"SELECT doc_id, CASE WHEN n_chars > 1600 THEN lang WHEN n_chars > 500 AND n_chars < 1500 THEN source ELSE {_DOMAIN} END AS domain, CASE WHEN n_chars > 5000 THEN 'lexical' WHEN n_chars > 3000 THEN 'candidate' WHEN n_chars >= 1600 THEN 'term_set' WHEN n_chars > 500 AND n_chars < 1500 THEN 'prototype' ELSE 'keyword' END AS layer, round(CASE WHEN n_chars > 5000 THEN 0.9 WHEN n_chars > 3000 THEN 0.6 WHEN n_chars >= 1600 THEN n_chars / 4000 WHEN n_chars > 500 THEN round(1 / (1 + n_chars / 500), 3) ELSE 0 END, 6)::DOUBLE AS confidence FROM documents",
     "rejection_gate": f"SELECT doc_id, CASE WHEN {_DOMAIN} = '未知' THEN 'unknown domain' WHEN contains(text, 'the')::INT + contains(text, 'and')::INT + contains(text, 'und')::INT + contains(text, 'que')::INT + contains(text, 'les')::INT < 2 THEN 'too few gate words' ELSE 'accepted' END AS outcome FROM documents",
     "source_audit": "SELECT * FROM " + values([(1, "官方机构"), (2, "行业标准"), (3, "学术期刊"), (4, "LLM提取"), (5, "个人编写"), (6, "未知")], "id", "source_type"),
-    "feasibility": _EV + " SELECT doc_id, rule_ix, status <> 'FAILED' AS feasible, CASE WHEN status <> 'FAILED' THEN '' WHEN severity = 'warning' THEN 'soft,exception' ELSE 'exception' END AS reasons FROM e WHERE rule_ix IN (0, 4)",
+    "feasibility": _EV + _FRAGMENTS + f"""
+        , r AS (SELECT doc_id, rule_ix, CASE WHEN status = 'FAILED' THEN concat_ws(',', CASE WHEN severity = 'warning' THEN 'soft' END, CASE WHEN regexp_matches(lower(fragment), '{P.EXCEPTIONS}') THEN 'exception' END, CASE WHEN regexp_matches(lower(fragment), '{P.QUALIFIERS}') THEN 'qualified' END) ELSE '' END AS reasons FROM f)
+        SELECT doc_id, rule_ix, reasons = '' AS feasible, reasons FROM r""",
     "promotion_gates": "SELECT * FROM " + values([("a", True, True, True, True), ("b", False, True, True, False), ("c", True, False, True, False), ("d", True, False, False, False)], "domain", "identity", "quality", "source", "promoted"),
     "predicate_check": "SELECT * FROM " + values([(1, None), (2, "missing field"), (3, "unknown predicate"), (4, "not on whitelist"), (5, "confidence out of range")], "id", "refused"),
     "predicate_direction": "SELECT * FROM " + values([("Supports", 1), ("refutes", -1), ("significantly reduces", -1), ("distinguishes", 1), ("correlates", 0), ("improves", 1)], "predicate", "direction"),

@@ -226,3 +226,42 @@ def test_hybrid_distance_with_sparse_n_grams(spark):
     df = spark.createDataFrame(rows, "i long, a array<double>, b array<double>, x map<string,double>, y map<string,double>, want double")
     for r in df.select("want", hybrid_distance(df.a, df.b, df.x, df.y).alias("got")).collect():
         assert r.got == pytest.approx(r.want, abs=1e-12)
+
+
+def test_synonyms(spark, sf_dir):
+    from collections import Counter, defaultdict
+
+    from lexmill.plans.profile_queries import SYNONYM_RULES
+
+    words = lambda t: {w for w in re.split("[^a-z]+", t) if len(w) >= 2}
+    blocks = [(r.doc_id, r.lang, line.lower()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() for line in r.text.split("\n") if line.strip(" ")]
+    want = {}
+    for rule, terms in SYNONYM_RULES.items():
+        holds = [any(t in text for t in terms) for _, _, text in blocks]
+        target = {lang for (_, lang, _), h in zip(blocks, holds, strict=True) if h}
+        o11, o21, free, seen = Counter(), Counter(), Counter(), defaultdict(set)
+        m = sum(lang not in target for _, lang, _ in blocks)
+        for (doc, lang, text), h in zip(blocks, holds, strict=True):
+            if h:
+                at = [(text.find(t), text.find(t) + len(t)) for t in terms if t in text]
+                for w in words(text[max(0, min(a for a, _ in at) - 50) : max(b for _, b in at) + 50]):
+                    o11[w] += 1
+                    seen[w].add(doc)
+            for w in words(text):
+                o21[w] += lang not in target
+                free[w] += lang in target and not h
+        n1 = sum(holds)
+        for w, a in o11.items():
+            if a < 3 or len(seen[w]) < 3 or m < 3 or n1 < 3:
+                continue
+            b, c, d = n1 - a, o21[w], m - o21[w]
+            n = a + b + c + d
+            low = (a + b) * (c + d) * (a + c) * (b + d)
+            chi2 = n * max(0, abs(a * d - b * c) - n / 2) ** 2 / low if low else 0
+            if a / n1 > c / m and chi2 >= 3.84:
+                tier = "AUTO" if chi2 >= 10 and free[w] >= 3 and len(seen[w]) >= 5 else "REVIEW" if chi2 >= 6.63 and free[w] >= 2 else "SUGGEST"
+                want[rule, w] = (chi2, free[w], tier)
+    got = {(r.rule_id, r.gram): (r.chi2, r.substitutable, r.tier) for r in registry.queries()["synonym_discovery"](spark, sf_dir).collect()}
+    assert want and got.keys() == want.keys()
+    for k, (chi2, free_, tier) in want.items():
+        assert got[k][0] == pytest.approx(chi2, abs=1e-3) and got[k][1:] == (free_, tier), k
