@@ -25,7 +25,7 @@ def positive(terms: DataFrame, run_col: str = "run_id", term_col: str = "term")
     if n < MIN_RUNS:
         n = 0
     frequent = k.where((F.col("k") >= MIN_COUNT) & (F.col("k") >= MIN_SUPPORT * n) & F.lit(n > 0))
-    rows = t.join(F.broadcast(frequent.select("term")), "term") if n else t.where("false")  # at most runs' terms / support
+    rows = t.join(frequent.select("term"), "term") if n else t.where("false")
     both = rows.withColumnRenamed("term", "a").join(rows.withColumnRenamed("term", "b"), "run").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
     out = both.join(k.select(F.col("term").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("term").alias("b"), F.col("k").alias("kb")), "b")
     total = float(max(n, 1))
@@ -40,7 +40,7 @@ def negative(terms: DataFrame, run_col: str = "run_id", term_col: str = "term")
     """
     t, k, n = _counts(terms, run_col, term_col)
     frequent = k.where((F.col("k") >= MIN_SUPPORT * n) & F.lit(n >= MIN_RUNS))
-    rows = t.join(F.broadcast(frequent.select("term")), "term")
+    rows = t.join(frequent.select("term"), "term")
     together = rows.withColumnRenamed("term", "a").join(rows.withColumnRenamed("term", "b"), "run").where("a < b").select("a", "b").distinct()
     pairs = frequent.select(F.col("term").alias("a"), F.col("k").alias("ka")).join(frequent.select(F.col("term").alias("b"), F.col("k").alias("kb")), F.col("a") < F.col("b"))
     return pairs.join(together, ["a", "b"], "left_anti")
