@@ -383,3 +383,25 @@ def test_mixing_of_the_whole_table(spark, sf_dir):
     expected, spread = sum(r.probability * r.n_tokens for r in got), sum(r.probability * (1 - r.probability) * r.n_tokens**2 for r in got) ** 0.5
     assert abs(sum(r.n_tokens for r in got if r.sampled) - expected) <= 5 * spread
     assert all(r.sampled for r in got if r.probability == 1 and r.n_tokens) and not any(r.sampled for r in got if r.probability == 0)
+
+
+def test_secrets_of_the_whole_table_by_the_patterns_as_stated(spark, sf_dir):
+    """Patterns written out here, not taken from the operator; a match whose secret is too short is dropped after matching."""
+    import hashlib
+
+    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    kinds = [("assign", assign, 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in registry.queries()["op2_secrets"](spark, folder).collect()}
+    assert got.keys() == texts.keys()
+    found = 0
+    for i, t in texts.items():
+        spans = [(m.start(), n, k, m.end()) for n, (k, p, group, least) in enumerate(kinds) for m in p.finditer(t) if len(m[group]) >= least]
+        lines = [f"{k}:{a}:{b}" for a, _, k, b in sorted(spans)]
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x[2] for x in spans) for k, *_ in kinds), i
+        assert r.base_sha256 == hashlib.sha256(",".join(lines).encode()).hexdigest(), i
+        assert set(lines) <= set(r.spans.split(",")) | {""}
+        found += len(spans)
+    assert found > 0
