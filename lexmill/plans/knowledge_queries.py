@@ -13,6 +13,7 @@ from ..operators import extraction as X
 from ..operators import learning as L
 from ..operators import mining as M
 from ..operators import ontology as O
+from ..operators import questions as Q
 from ..operators.graph import reliable
 from ..streaming import validate as V
 from .inline import frame, values
@@ -159,19 +160,31 @@ def nb_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.shift_probabilities(grams, feedback, 0.0005).select("gram", (F.round("log_prob", 6) + 0.0).alias("log_prob"))
 
 
-QUESTIONS = [(1, "保修期限最少几年？"), (2, "如果工期改为20天会怎样？"), (3, "列出所有付款规则"), (4, "什么是缺陷责任？"), (5, "保修期限3年是否合规？")]
 FACTS = [("保修期限", ">=", 5.0, "年"), ("付款期限", "<=", 30.0, "天"), ("违约金比例", "<=", 3.0, "%")]
+KNOWN = Q.Knowledge(FACTS, {"缺陷责任期": "保修", "质保金": ""}, {"质保金": ["质量保证金", "保修金"]})
+CONTRACT = {"保修期限": 3.0, "付款期限": 30.0, "违约金比例": 5.0}
+#: Questions, the values of a contract that they are asked about, and the stated answers.
+QUESTIONS = [
+    (1, "保修期限最少几年？", None, "lookup", "保修期限 必须 >= 5.0 年"),
+    (2, "如果保修期限改为3年会怎样？", None, "what_if", "保修期限 = 3.0: 违反 >= 5.0 年"),
+    (3, "列出付款期限", None, "list", "未找到匹配的约束。"),
+    (4, "缺陷责任期是什么", None, "definition", "缺陷责任期: 缺陷责任期，属于 保修"),
+    (5, "合同是否合规？", CONTRACT, "compliance", "不合规：2 条违反。保修期限 (3.0 vs >= 5.0); 违约金比例 (5.0 vs <= 3.0)"),
+    (6, "合同是否合规？", None, "compliance", "无法判定：未提供合同条款数据。"),
+    (7, "合同符合规定吗", {"付款期限": 20.0}, "compliance", "合规：所有条款均满足法规要求。"),
+    (8, "天气怎么样", None, "lookup", "未找到匹配的法规阈值。"),
+    (9, "假如工期改为20天", None, "what_if", "未找到与 '工期' 匹配的法规约束。"),
+    (10, "保修金的定义", None, "definition", "质保金: 质量保证金, 保修金"),
+    (11, "list 期限, 比例", None, "list", "找到 3 条约束:\n1. 保修期限: >= 5.0 年\n2. 付款期限: <= 30.0 天\n3. 违约金比例: <= 3.0 %"),
+    (12, "如果会怎样", None, "what_if", "无法解析 what-if 格式。"),
+    (13, "什么是合同", None, "definition", "未找到该概念的定义。"),
+]
 
 
 def qa_numeric_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions routed by keywords, and the constraint whose field overlaps most with each."""
-    q = frame(spark, QUESTIONS, "id long, question string")
-    route = F.when(F.col("question").rlike("如果|改为|假如"), "what_if").when(F.col("question").rlike("是否|合规|符合"), "compliance").when(F.col("question").rlike("列出|所有|哪些"), "list").when(F.col("question").rlike("什么是|定义"), "definition").otherwise("lookup")
-    f = F.broadcast(frame(spark, FACTS, "field string, operator string, threshold double, unit string"))  # a package's constraints
-    scored = q.select("id", "question", route.alias("route"), F.lit(0).alias("k")).join(f.withColumn("k", F.lit(0)), "k").withColumn("overlap", M.term_overlap(F.col("question"), F.col("field")))
-    best = scored.groupBy("id", "route").agg(F.max_by(F.struct("field", "operator", "threshold", "unit"), F.struct("overlap", "field")).alias("c"))
-    answer = F.when(F.col("route").isin("lookup", "compliance"), F.concat_ws(" ", "c.field", "c.operator", F.col("c.threshold").cast("string"), "c.unit"))
-    return best.select("id", "route", answer.alias("answer"))
+    """Answers to questions of all kinds."""
+    asked = frame(spark, [q[:3] for q in QUESTIONS], "id long, question string, facts map<string,double>")
+    return Q.answers(asked, KNOWN, facts_col="facts").select("id", "route", "answer")
 
 
 def outer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +249,7 @@ ORACLES = {
     "dual_path": _EV + ", x AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'FAILED' ELSE 'PASSED' END AS expected FROM labels), y AS (SELECT a.status = expected AS p, b.status = expected AS q FROM x JOIN e a USING (doc_id) JOIN e b USING (doc_id) WHERE a.rule_ix = 0 AND b.rule_ix = 3) SELECT CASE WHEN NOT p AND q THEN 'FIXED' WHEN p AND NOT q THEN 'REGRESSION' WHEN NOT p THEN 'BOTH_WRONG' ELSE 'SAME' END AS change, count(*) AS n FROM y GROUP BY 1",
     "soft_compare": "WITH s AS (SELECT o_orderkey, o_orderstatus = 'F' AS y, 1 / (1 + exp(-(o_totalprice - 150000) / 20000)) AS s FROM orders) SELECT o_orderkey, round(s, 6) AS score, round(greatest(0, 0.5 - CASE WHEN y THEN s - 0.5 ELSE 0.5 - s END), 6) AS loss FROM s",
     "nb_feedback": "WITH g AS (SELECT event_type, count(*) / 1e6::DOUBLE AS p, count(*) FILTER (value > 90) AS n FROM events GROUP BY 1) SELECT event_type AS gram, round(ln(CASE WHEN n > 0 THEN 1 - (1 - p) * power(0.9995::DOUBLE, n) ELSE p END), 6) + 0.0::DOUBLE AS log_prob FROM g",
-    "qa_numeric_lookup": "SELECT * FROM " + values([(1, "lookup", "保修期限 >= 5.0 年"), (2, "what_if", None), (3, "list", None), (4, "definition", None), (5, "compliance", "保修期限 >= 5.0 年")], "id", "route", "answer"),
+    "qa_numeric_lookup": "SELECT * FROM " + values([(q[0], *q[3:]) for q in QUESTIONS], "id", "route", "answer"),
     "outer_sentences": "WITH s AS (SELECT doc_id, text, unnest(list_distinct(string_split(text, chr(10)))) AS sentence FROM documents) SELECT sha256(sentence) AS sentence_sha256, count(*) AS n FROM s WHERE length(sentence) >= 8 AND NOT contains(substr(text, 1, 200), sentence) GROUP BY sentence HAVING count(*) >= 2",
     "stream_validate": _EV + " SELECT CASE rule_ix WHEN 3 THEN 2 ELSE rule_ix END AS rule_ix, status, count(*) AS n FROM e WHERE rule_ix IN (0, 1, 3) GROUP BY 1, 2",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
