@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import running
 from ._common import cut, let, read
 
 # The template: a block for each run of turns of one role. Escaped texts hold no "<" and no "[", so
@@ -33,20 +34,6 @@ def merged(turns: Column) -> Column:
     return let(turns, lambda t: let(starts(t), lambda s: F.transform(s, lambda i, j: run(t, s, i, j))))
 
 
-def running(values: Column, size, chunk: int = 256) -> Column:
-    """For each element of an array, the sum of size() over those before it.
-
-    Sums are taken in chunks, and each chunk's start from the chunks before it, so the work grows much
-    slower than with the square of the length.
-    """
-    add = lambda a, x: a + x
-    upto = lambda c: F.transform(c, lambda _, i: F.aggregate(F.slice(c, 1, i), F.lit(0), add))
-    chunks = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(c) / chunk).cast("int") - 1)), lambda i: F.slice(c, i * chunk + 1, chunk))
-    whole = lambda cs: upto(F.transform(cs, lambda c: F.aggregate(c, F.lit(0), add)))
-    spread = lambda cs: let(whole(cs), lambda starts: F.flatten(F.transform(cs, lambda c, i: F.transform(upto(c), lambda x: x + F.get(starts, i)))))
-    return let(F.transform(values, size), lambda c: let(chunks(c), spread))
-
-
 def under_spans(text: Column, spans: Column) -> Column:
     """The parts of a text in `spans` (start, end; code points): in a code of four bytes each, so that a part is found at once."""
     return let(F.encode(text, "UTF-32"), lambda raw: F.transform(spans, lambda s: F.decode(F.substring(raw, s["start"] * 4 + 1, (s["end"] - s["start"]) * 4), "UTF-32")))
@@ -81,7 +68,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 
     entries = F.flatten(F.transform("blocks", entry))
     start = lambda e, at: at + e["before"]
-    place = lambda t: F.transform(F.arrays_zip(t.alias("e"), running(t, lambda e: e["before"] + e["n"] + e["after"]).alias("at")), lambda x: F.struct(start(x["e"], x["at"]).alias("start"), (start(x["e"], x["at"]) + x["e"]["n"]).alias("end"), x["e"]["learned"].alias("learned")))
+    place = lambda t: F.transform(F.arrays_zip(t.alias("e"), running(F.transform(t, lambda e: e["before"] + e["n"] + e["after"])).alias("at")), lambda x: F.struct(start(x["e"], x["at"]).alias("start"), (start(x["e"], x["at"]) + x["e"]["n"]).alias("end"), x["e"]["learned"].alias("learned")))
     spans = F.transform(F.filter(let(entries, place), lambda x: x["learned"]), lambda x: F.struct(x["start"], x["end"]))
     return blocks.select("conv_id", F.array_join(F.transform("blocks", block), "").alias("formatted"), spans.alias("loss_spans"))
 
