@@ -111,6 +111,27 @@ def bigrams(text: Column, letters: bool = False) -> Column:
     return F.array_distinct(let(base, lambda s: windows(s, 2, 2)))
 
 
+def gram_hash(gram: Column) -> Column:
+    """A number of 31 bits for an n-gram, h = 31 h + code point; of three characters with bit 32 set, so that they differ from pairs.
+
+    Characters outside the basic plane count with their code point. Different n-grams can share a number:
+    where that matters, group by the n-gram itself.
+    """
+    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+    h = F.aggregate(F.transform(characters(gram), code), F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(0x7FFFFFFF))
+    return F.when(F.char_length(gram) == 3, h.bitwiseXOR(F.lit(0x80000000))).otherwise(h)
+
+
+def gram_counts(text: Column, k: int) -> Column:
+    """Array of (gram, n): how often each k-gram occurs over the joined ideographs of a text, sorted by gram."""
+
+    def counted(g: Column) -> Column:
+        starts = F.filter(F.transform(g, lambda x, i: F.when((i == 0) | (x != F.get(g, i - 1)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(g, i).alias("gram"), (F.coalesce(F.get(at, j + 1), F.size(g)) - i).alias("n"))))
+
+    return let(F.array_sort(let(han_only(text), lambda s: windows(s, k, k))), counted)
+
+
 def overlaps_itself(term: str) -> bool:
     return any(term.startswith(term[i:]) for i in range(1, len(term)))
 

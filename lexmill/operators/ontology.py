@@ -62,6 +62,16 @@ def taxonomy_paths(edges: DataFrame, depth: int = 20) -> DataFrame:
     return out.groupBy("child", "ancestor").agg(F.min("distance").alias("distance"))
 
 
+def taxonomy_depths(edges: DataFrame, depth: int = 20) -> DataFrame:
+    """(concept, depth, descendants): steps to the farthest ancestor, and how many concepts are below, of all concepts in the table."""
+    paths = taxonomy_paths(edges, depth).where("child <> ancestor")
+    names = edges.select(F.col("child").alias("concept")).unionByName(edges.select(F.col("parent").alias("concept"))).distinct()
+    up = paths.groupBy(F.col("child").alias("concept")).agg(F.max("distance").alias("depth"))
+    down = paths.groupBy(F.col("ancestor").alias("concept")).agg(F.count("*").alias("descendants"))
+    out = names.join(up, "concept", "left").join(down, "concept", "left")
+    return out.select("concept", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("descendants", F.lit(0)).cast("long").alias("descendants"))
+
+
 def taxonomy_faults(edges: DataFrame, concepts: DataFrame, depth: int = 20) -> DataFrame:
     """(concept, fault): members of a cycle, and parents that are no concept."""
     cycle = taxonomy_paths(edges, depth).where("child = ancestor").select(F.col("child").alias("concept"), F.lit("cycle").alias("fault"))

@@ -6,6 +6,7 @@ Files are found and read by Spark, so folders can be in any store that Spark rea
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,63 @@ def resolve(domains: DataFrame, name: str) -> DataFrame:
     return domains.where(F.col("path").endswith("/" + name.strip("/"))) if "/" in name else domains.where((F.col("id") == name) | F.col("path").endswith("/" + name))
 
 
+# Names of package files, if a manifest doesn't give any.
+PACKAGE_FILES = ("rules.json", "general-contract.json", "main-contract.json")
+
+
+def package_files(spark: SparkSession, folder: str, files: dict) -> list[str]:
+    """Paths of a domain's package files that exist: those in the list of its manifest, else the one it names, else files of known names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(names) -> list[str]:
+        paths = [f"{folder}/{n}" for n in names if n]
+        return [p for p in paths if (at := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(at)]
+
+    declared = files.get("rules_packages") or []
+    return there([declared] if isinstance(declared, str) else declared) or there([files.get("rules_package")]) or there(PACKAGE_FILES)
+
+
+class Packages:
+    """The packages of a session by id: what rules are evaluated is what is loaded here."""
+
+    def __init__(self) -> None:
+        self._held: dict[str, list[Rule]] = {}
+
+    @staticmethod
+    def checked(rules: list[Rule]) -> list[Rule]:
+        """The rules, if all of their patterns are regular expressions; a context that is none is left out when its rule is evaluated."""
+        for r in rules:
+            try:
+                re.compile(r.params.get("pattern") or "", re.IGNORECASE)
+            except re.error as e:
+                raise ValueError(f"rule {r.id}: its pattern is no regular expression: {e}") from e
+        return rules
+
+    def load(self, package_id: str, rules: list[Rule]) -> None:
+        """Add a package; one that is loaded already is an error."""
+        if package_id in self._held:
+            raise ValueError(f"package {package_id} is loaded already")
+        self._held[package_id] = self.checked(rules)
+
+    def reload(self, package_id: str, rules: list[Rule]) -> None:
+        """Replace a package that is loaded."""
+        if package_id not in self._held:
+            raise KeyError(package_id)
+        self._held[package_id] = self.checked(rules)
+
+    def unload(self, package_id: str) -> None:
+        """Take a package away, if it is there."""
+        self._held.pop(package_id, None)
+
+    def listed(self) -> list[tuple[str, int]]:
+        """(id, number of rules) in the order of loading."""
+        return [(k, len(v)) for k, v in self._held.items()]
+
+    def rules(self) -> list[Rule]:
+        """All rules, package by package."""
+        return [r for held in self._held.values() for r in held]
+
+
 def load_rules(spark: SparkSession, path: str, whitelist: list[str] | None = None) -> list[Rule]:
     """The rules of a package file, which is an object with rules or a bare list.
 

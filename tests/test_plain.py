@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.operators import clauses as C
 from lexmill.operators import extraction as X
@@ -265,3 +266,56 @@ def test_synonyms(spark, sf_dir):
     assert want and got.keys() == want.keys()
     for k, (chi2, free_, tier) in want.items():
         assert got[k][0] == pytest.approx(chi2, abs=1e-3) and got[k][1:] == (free_, tier), k
+
+
+def test_gram_hashes_and_counts(spark):
+    from collections import Counter
+
+    from lexmill.functions import text as T
+
+    def by_hand(g):
+        h = 0
+        for c in g:
+            h = (h * 31 + ord(c)) & 0x7FFFFFFF
+        return h ^ 0x80000000 if len(g) == 3 else h
+
+    grams = ["ab", "保修", "保修期", "😀x", "", "a", "屋面防水工程"]
+    rows = spark.createDataFrame([(g,) for g in grams], "g string")
+    assert [r.h for r in rows.select(T.gram_hash(rows.g).alias("h")).collect()] == [by_hand(g) for g in grams]
+    text = "保修期，保修期限abc保修。修"
+    got = spark.createDataFrame([(text,)], "t string").select(T.gram_counts(F.col("t"), 2).alias("c")).first().c
+    han = re.sub("[^一-鿿]", "", text)
+    assert {r.gram: r.n for r in got} == Counter(han[i : i + 2] for i in range(len(han) - 1))
+
+
+def test_depths_of_a_taxonomy(spark):
+    from lexmill.operators.ontology import taxonomy_depths
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "c"), ("x", "y"), ("y", "x")], "child string, parent string")
+    got = {r.concept: (r.depth, r.descendants) for r in taxonomy_depths(edges).collect()}
+    assert got == {"a": (2, 0), "b": (1, 1), "c": (0, 3), "d": (1, 0), "x": (1, 1), "y": (1, 1)}
+
+
+def test_packages_of_a_session(spark, tmp_path):
+    from lexmill.operators.rules import Rule
+
+    held = D.Packages()
+    held.load("a", [Rule("r1", "required_pattern", {"pattern": "a|b"})])
+    held.load("b", [Rule("r2", "required_pattern"), Rule("r3", "required_pattern")])
+    with pytest.raises(ValueError, match="already"):
+        held.load("a", [])
+    with pytest.raises(KeyError):
+        held.reload("c", [])
+    with pytest.raises(ValueError, match="r4: its pattern"):
+        held.load("d", [Rule("r4", "forbidden_pattern", {"pattern": "("})])
+    held.reload("a", [])
+    held.unload("none")
+    assert held.listed() == [("a", 0), ("b", 2)] and [r.id for r in held.rules()] == ["r2", "r3"]
+    held.unload("b")
+    assert held.listed() == [("a", 0)]
+
+    for name in ("rules.json", "main-contract.json", "own.json"):
+        (tmp_path / name).write_text("{}")
+    files = lambda m: [f.rpartition("/")[2] for f in D.package_files(spark, str(tmp_path), m)]
+    assert files({"rules_packages": ["own.json", "absent.json"]}) == ["own.json"] and files({"rules_packages": ["absent.json"], "rules_package": "own.json"}) == ["own.json"]
+    assert files({}) == files({"rules_package": "absent.json"}) == ["rules.json", "main-contract.json"]
