@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, merkle_manifest, mixing, near_dedup, quality, secret_scan, token_rollup, url_filter, vector_codes, warc
+from . import chat_format, decontamination, exact_dedup, merkle_manifest, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_rollup, url_filter, vector_codes, warc
 
-_MODULES = [near_dedup, secret_scan, warc, mixing, exact_dedup, token_rollup, chat_format, decontamination, quality, url_filter, vector_codes, merkle_manifest]
+_MODULES = [near_dedup, secret_scan, warc, mixing, exact_dedup, token_rollup, chat_format, decontamination, quality, url_filter, vector_codes, suffix_dedup, merkle_manifest]
 
 
 def queries() -> dict:
