@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, cut, join_keyed, read, scratch
+from ._common import ascii_lower, cut, hot_rows, join_keyed, read, scratch
 from .exact_dedup import _numbered
 
 #: Children of a node.
@@ -29,17 +29,23 @@ def leaf_hash(*columns: Column) -> Column:
     return F.sha2(F.concat(*[field(c) for c in columns]), 256)
 
 
-def _tasks(df: DataFrame) -> int:
-    return df.count() // TASK_ROWS + 1
+def _tasks(rows: int) -> int:
+    return rows // TASK_ROWS + 1
 
 
-def _levels(nodes: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
-    """Tables of nodes (tree, ix, n, hash), a level each from the leaves on; n counts the nodes of the tree's level."""
-    out = [nodes]
-    while not (more := out[-1].where("n > 1")).isEmpty():
-        runs = more.groupBy("tree", "n", F.expr(f"ix div {FANOUT}").alias("ix")).agg(F.sort_array(F.collect_list(F.struct("ix", "hash"))).alias("run"))
+def _levels(nodes: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[list[DataFrame], list[int]]:
+    """Tables of nodes (tree, ix, n, hash), a level each from the leaves on, and their sizes; n counts the nodes of the tree's level.
+
+    A level is dealt to as many tasks as the rows of the one below call for.
+    """
+    out, counts = [nodes], []
+    while True:
+        count, most = out[-1].agg(F.count("*"), F.max("n")).first()
+        counts.append(count)
+        if not count or most == 1:
+            return out, counts
+        runs = out[-1].where("n > 1").groupBy("tree", "n", F.expr(f"ix div {FANOUT}").alias("ix")).agg(F.sort_array(F.collect_list(F.struct("ix", "hash"))).alias("run")).coalesce(_tasks(count))
         out.append(keep(runs.select("tree", "ix", F.expr(f"(n + {FANOUT - 1}) div {FANOUT}").alias("n"), F.sha2(F.array_join("run.hash", ""), 256).alias("hash"))))
-    return out
 
 
 def _roots(levels: list[DataFrame]) -> DataFrame:
@@ -47,22 +53,21 @@ def _roots(levels: list[DataFrame]) -> DataFrame:
 
 
 def _power(level) -> Column:
-    """FANOUT to a level; a table of FANOUT**20 rows doesn't exist."""
-    return F.element_at(F.array(*[F.lit(FANOUT**i).cast("long") for i in range(21)]), (level + 1).cast("int"))
+    """FANOUT to a level, as a double: exact for the places of any table."""
+    return F.pow(F.lit(float(FANOUT)), level)
 
 
 def _at(value: Column, level) -> Column:
     """value div FANOUT**level."""
-    p = _power(level)
-    return ((value - F.pmod(value, p)) / p).cast("long")
+    return F.floor(value / _power(level))
 
 
 def _depth(n: Column) -> Column:
-    """How many levels of a tree of n leaves have more than one node."""
+    """How many levels of a tree of n leaves have more than one node; a table of FANOUT**20 rows doesn't exist."""
     return F.size(F.filter(F.array(*[F.lit(FANOUT**i).cast("long") for i in range(21)]), lambda p: p < n))
 
 
-def _paths(askers: DataFrame, key: list[str], first: int, levels: list[DataFrame]) -> DataFrame:
+def _paths(askers: DataFrame, key: list[str], first: int, levels: list[DataFrame], counts: list[int]) -> DataFrame:
     """(key, path): for each asker the nodes (level, ix, hash) that its proof needs, in order.
 
     An asker is the node `ix` of level `first` of its tree. From its place and the tree's n leaves follow
@@ -77,13 +82,11 @@ def _paths(askers: DataFrame, key: list[str], first: int, levels: list[DataFrame
     def wanted(level: Column) -> Column:
         own = F.when(level >= first, _at(ix, F.greatest(level - first, F.lit(0))))
         group = F.when(level >= first, _at(ix, level - first + 1)).otherwise(ix)
-        last = F.least(group * FANOUT + FANOUT - 1, _at(n + _power(level) - 1, level) - 1)
+        last = F.least(group * FANOUT + FANOUT - 1, F.ceil(n / _power(level)) - 1)
         return F.transform(F.filter(F.sequence(group * FANOUT, last), lambda x: own.isNull() | (x != own)), lambda x: F.struct(level.alias("level"), x.alias("ix")))
 
-    depth = _depth(n)
-    steps = F.when(depth > low, F.sequence(F.lit(low), depth - 1)).otherwise(F.array().cast("array<int>"))
+    steps = F.when(F.col("depth") > low, F.sequence(F.lit(low), F.col("depth") - 1)).otherwise(F.array().cast("array<int>"))
     asked = askers.select(*key, "tree", F.explode(F.flatten(F.transform(steps, wanted))).alias("at")).select(*key, "tree", "at.level", F.col("at.ix").alias("ix"))
-    counts = [x.count() for x in levels]
     split = next((i for i in range(len(levels)) if sum(counts[i:]) <= UPPER_NODES), len(levels))
     table = [x.select("tree", F.lit(i).alias("level"), "ix", "hash") for i, x in enumerate(levels)]
     found = []
@@ -95,16 +98,16 @@ def _paths(askers: DataFrame, key: list[str], first: int, levels: list[DataFrame
     return rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("level", "ix", "hash"))).alias("path"))
 
 
-def _fold(start: Column, ix: Column, n: Column, path: Column) -> Column:
+def _fold(start: Column, ix: Column, depth: Column, path: Column) -> Column:
     """The root that a node gives with the siblings on its path."""
 
     def up(acc: Column, level: Column) -> Column:
         own = _at(ix, level)
         here = F.filter(path, lambda x: x["level"] == level)
         left, right = F.filter(here, lambda x: x["ix"] < own), F.filter(here, lambda x: x["ix"] > own)
-        return F.when(level == _depth(n), acc).otherwise(F.sha2(F.concat(F.array_join(left["hash"], ""), acc, F.array_join(right["hash"], "")), 256))
+        return F.when(level == depth, acc).otherwise(F.sha2(F.concat(F.array_join(left["hash"], ""), acc, F.array_join(right["hash"], "")), 256))
 
-    return F.aggregate(F.sequence(F.lit(0), _depth(n)), start, up)
+    return F.aggregate(F.sequence(F.lit(0), depth), start, up)
 
 
 def proofs(docs: DataFrame, columns: list[str], tampered: Callable[[DataFrame], DataFrame] | None = None, id_col: str = "doc_id", group_col: str = "lang") -> DataFrame:
@@ -128,31 +131,34 @@ def proofs(docs: DataFrame, columns: list[str], tampered: Callable[[DataFrame],
         now = leaf_hash(*[F.col(names.get(c, c)) for c in columns])
         changed = (tampered(original) if tampered else original).withColumn("shown", now)
         hashes = keep(changed.select("doc_id", "group", F.col("leaf_").alias("leaf"), "shown", F.monotonically_increasing_id().alias("row")))
-        ranked = keep(_numbered(hashes, _tasks(hashes), "group", "doc_id", "leaf", "row"))
+        total = hashes.count()
+        ranked = keep(_numbered(hashes, _tasks(total), "group", "doc_id", "leaf", "row"))
         keyed = ranked.select("doc_id", "group", "leaf", "shown", "name", F.col("group").isNull().alias("unnamed"), F.coalesce(F.col("group").cast("string"), F.lit("")).alias("named"))
-        trees = cut(keyed.groupBy("unnamed", "named").agg(F.min("name").alias("start"), F.count("*").alias("n")))
+        trees = cut(keyed.groupBy("unnamed", "named").agg(F.min("name").alias("start"), F.count("*").alias("n")).coalesce(_tasks(total)))
         n_trees = trees.count()
-        trees = cut(_numbered(trees, n_trees // TASK_ROWS + 1, "start").withColumnRenamed("name", "tree"))
-        placed = join_keyed(keyed, trees, ["unnamed", "named"], "inner")
-        members = keep(placed.select("doc_id", "group", "shown", "tree", (F.col("name") - F.col("start")).alias("ix"), "n", F.col("leaf").alias("hash")))
-
-        levels = _levels(members.select("tree", "ix", "n", "hash"), keep)
-        tops = cut(_roots(levels).join(trees.select("tree", F.col("n").alias("leaves")), "tree").select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("ix"), F.lit(n_trees).cast("long").alias("n"), "hash", "leaves"))
-        top_levels = _levels(tops.drop("leaves"), keep)
+        trees = cut(_numbered(trees, _tasks(n_trees), "start").withColumnRenamed("name", "tree").withColumn("depth", _depth(F.col("n"))).coalesce(_tasks(n_trees)))
+        hot = trees.where(F.col("n") >= hot_rows(total))
+        placed = join_keyed(keyed, trees, ["unnamed", "named"], "inner", hot.select("unnamed", "named"))
+        members = keep(placed.select("doc_id", "group", "shown", "tree", (F.col("name") - F.col("start")).alias("ix"), "n", "depth", F.col("leaf").alias("hash")))
+
+        levels, counts = _levels(members.select("tree", "ix", "n", "hash"), keep)
+        roots = _roots(levels).coalesce(_tasks(n_trees))
+        tops = cut(roots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("ix"), F.lit(n_trees).cast("long").alias("n"), _depth(F.lit(n_trees)).alias("depth"), "hash"))
+        top_levels, top_counts = _levels(tops.drop("depth"), keep)
         root = _roots(top_levels).collect()
         root = F.lit(root[0]["hash"] if root else None)
 
         none = F.array().cast("array<struct<level:int,ix:bigint,hash:string>>")
-        top = tops.join(_paths(tops.withColumn("asker", F.col("ix")), ["asker"], 0, top_levels), F.col("ix") == F.col("asker"), "left").select(F.col("ix").alias("tree"), F.col("hash").alias("subroot"), F.coalesce("path", none).alias("top_path"))
+        top = tops.join(_paths(tops.withColumn("asker", F.col("ix")), ["asker"], 0, top_levels, top_counts), F.col("ix") == F.col("asker"), "left").select(F.col("ix").alias("tree"), F.col("hash").alias("subroot"), F.coalesce("path", none).alias("top_path"), F.col("depth").alias("top_depth"))
         run = F.expr(f"ix div {FANOUT}")
-        runs = members.where(F.col("ix") % FANOUT == 0).select("tree", F.col("tree").alias("of"), run.alias("ix"), "n", run.alias("run"))
-        path = keep(_paths(runs, ["of", "run"], 1, levels).withColumnRenamed("of", "tree"))
-        known = join_keyed(members, cut(top), "tree", "inner").withColumn("run", run).join(path, ["tree", "run"], "left")
+        runs = members.where(F.col("ix") % FANOUT == 0).select("tree", F.col("tree").alias("of"), run.alias("ix"), "n", "depth", run.alias("run"))
+        path = keep(_paths(runs, ["of", "run"], 1, levels, counts).withColumnRenamed("of", "tree"))
+        known = join_keyed(members, cut(top.coalesce(_tasks(n_trees))), "tree", "inner", hot.select("tree")).withColumn("run", run).join(path, ["tree", "run"], "left")
         proof = F.filter(F.coalesce("path", none), lambda x: (x["level"] > 0) | (x["ix"] != F.col("ix")))
         folded = known.withColumn("proof", proof)
         folded = folded.withColumn("proof_sha256", F.sha2(F.concat(F.array_join("proof.hash", ""), F.array_join("top_path.hash", "")), 256))
-        folded = folded.withColumn("shown_subroot", _fold(F.col("shown"), F.col("ix"), F.col("n"), F.col("proof")))
-        folded = folded.withColumn("folded_root", _fold(F.col("shown_subroot"), F.col("tree"), F.lit(n_trees).cast("long"), F.col("top_path"))).withColumn("root", root)
+        folded = folded.withColumn("shown_subroot", _fold(F.col("shown"), F.col("ix"), F.col("depth"), F.col("proof")))
+        folded = folded.withColumn("folded_root", _fold(F.col("shown_subroot"), F.col("tree"), F.col("top_depth"), F.col("top_path"))).withColumn("root", root)
         out = folded.select("doc_id", "group", F.col("hash").alias("leaf"), "ix", "n", "subroot", "root", "proof", F.col("top_path").alias("top_proof"), "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
         return cut(out)
 
