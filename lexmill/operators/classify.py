@@ -231,100 +231,6 @@ def mahalanobis_distances(vectors: DataFrame, prototypes: dict, class_col: str,
     return rows.withColumn("distance", _form(diff, F.col("_matrix"))).drop("_class", "_mean", "_matrix")
 
 
-#: Vectors of a cell that a task holds.
-BLOCK_ROWS = 4096
-
-
-def _angles(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip((v / np.linalg.norm(v, axis=1, keepdims=True)) @ pivots.T, -1, 1))
-
-
-def near_pairs(vectors: DataFrame, id_col: str, vector_col: str, eps: float, pivots: int = 64) -> DataFrame:
-    """(id, id2), both ways: all pairs of different rows within `eps` (less than 1) of each other by cosine distance.
-
-    Vectors are dealt to the nearest of some pivots, a bounded sample. Angles obey the triangle
-    inequality, so a neighbour can only be in a cell whose pivot is no farther than the cell's radius and
-    the greatest angle allowed: each vector meets the members of these cells, and no pair is lost. How
-    many cells that leaves depends on how the vectors cluster. A task holds BLOCK_ROWS or so members of a
-    cell and streams the vectors that meet them. Vectors without length have no neighbours.
-    """
-    if not eps < 1:
-        raise ValueError("eps has to be less than 1")
-    ship(vectors.sparkSession)
-    v = F.transform(vector_col, lambda x: x.cast("double"))
-    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
-    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(square > 0)
-    sample = rows.orderBy(F.xxhash64("id")).limit(pivots).collect()  # bounded
-    if not sample:
-        return rows.select("id", F.col("id").alias("id2")).where("false")
-    axes = np.array([r["v"] for r in sample])
-    axes = axes / np.linalg.norm(axes, axis=1, keepdims=True)
-
-    @F.pandas_udf("struct<cell:int,angle:double>")
-    def nearest(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in it:
-            a = _angles(np.stack(part.to_numpy()), axes) if len(part) else np.zeros((0, 1))
-            yield pd.DataFrame({"cell": a.argmin(axis=1).astype(np.int32), "angle": a.min(axis=1)} if len(part) else {"cell": [], "angle": []})
-
-    placed = rows.withColumn("c", nearest("v")).select("id", "v", "c.cell", "c.angle")
-    radii, blocks = np.full(len(axes), -np.inf), np.ones(len(axes), int)
-    for r in placed.groupBy("cell").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():  # one row for each pivot
-        radii[r["cell"]], blocks[r["cell"]] = r["r"], -(-r["n"] // BLOCK_ROWS)
-    reach = float(np.arccos(1 - eps)) + 1e-9
-
-    @F.pandas_udf("array<struct<cell:int,block:int>>")
-    def blocks_near(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in it:
-            fits = _angles(np.stack(part.to_numpy()), axes) <= radii + reach if len(part) else []
-            yield pd.Series([[{"cell": int(c), "block": b} for c in np.flatnonzero(f) for b in range(blocks[c])] for f in fits], dtype=object)
-
-    def meet(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, ids, held = None, np.empty(0, np.int64), np.empty((0, 0))
-        for part in it:
-            for key, rows_ in part.groupby(["cell", "block"], sort=False):
-                if key != at:
-                    at, ids, held = key, np.empty(0, np.int64), np.empty((0, axes.shape[1]))
-                for is_guest, some in ((False, rows_[~rows_["guest"]]), (True, rows_[rows_["guest"]])):
-                    if not len(some):
-                        continue
-                    v = np.stack(some["v"].to_numpy())
-                    v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                    own = some["id"].to_numpy()
-                    if not is_guest:
-                        ids, held = np.concatenate([ids, own]), np.concatenate([held, v])
-                        continue
-                    for lo in range(0, len(v), 512):
-                        i, j = np.nonzero(np.maximum(1 - v[lo : lo + 512] @ held.T, 0) <= eps)
-                        left, right = ids[j], own[lo + i]
-                        yield pd.DataFrame({"id": left[left != right], "id2": right[left != right]})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    homes = placed.select("cell", F.pmod(F.xxhash64("id"), F.get(F.array(*(F.lit(int(x)) for x in blocks)), F.col("cell"))).cast("int").alias("block"), F.lit(False).alias("guest"), "id", "v")
-    guests = rows.select("id", "v", F.explode(blocks_near("v")).alias("b")).select("b.cell", "b.block", F.lit(True).alias("guest"), "id", "v")
-    met = homes.unionByName(guests).repartition("cell", "block").sortWithinPartitions("cell", "block", "guest")
-    return met.mapInPandas(meet, f"id {kind}, id2 {kind}")
-
-
-def dbscan(vectors: DataFrame, id_col: str, vector_col: str, eps: float = 0.35, least: int = 1) -> DataFrame:
-    """(id, cluster): density clusters by cosine distance; -1 is noise.
-
-    A core point has at least `least` other points within eps; cores that are neighbours share a cluster,
-    and a border point joins the smallest cluster of its cores. If all points are noise they are one cluster.
-    """
-    from .graph import components, reliable
-
-    rows = vectors.select(F.col(id_col).alias("id"))
-    near = reliable(near_pairs(vectors, id_col, vector_col, eps))
-    cores = near.groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("id")
-    links = near.join(cores, "id").join(cores.withColumnRenamed("id", "id2"), "id2").select(F.col("id").alias("src"), F.col("id2").alias("dst"))
-    labels = components(cores, links, "id")
-    border = near.join(labels.select(F.col("id").alias("id2"), "component"), "id2").groupBy("id").agg(F.min("component").alias("by_core"))
-    out = rows.join(labels, "id", "left").join(border, "id", "left").select("id", F.coalesce("component", "by_core").alias("c"))
-    if out.where("c is not null").isEmpty():
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("cluster"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("c", F.lit(-1)).cast("long").alias("cluster"))
-
-
 # ---- credibility, layers, triage ----
 
 # Scores by kind.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify as K
+from ..operators import clusters as U
 from ..operators import constraints as S
 from ..operators import graph as G
 from ..operators import mining as M
@@ -112,7 +113,7 @@ def hybrid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.dbscan(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35, 2)
+    return U.dbscan(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35, 2)
 
 
 def mahalanobis_distance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def clusters_by_hand(ids, v, eps, least):
 
 
 def test_clusters(spark, sf_dir, vectors):
-    from lexmill.operators.classify import dbscan
+    from lexmill.operators.clusters import dbscan
 
     ids, v = vectors.vec_id.to_numpy(), np.stack(vectors.embedding.to_numpy()).astype(float)
     got = {r.vec_id: r.cluster for r in registry.queries()["dbscan_clusters"](spark, sf_dir).collect()}
