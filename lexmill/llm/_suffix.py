@@ -22,16 +22,20 @@ _INVERSE = _powers(pow(int(_MULTIPLIER), -1, 1 << 64), _CHUNK + 4096)
 _BYTE = (np.arange(1, 257, dtype=U64) * U64(0xBF58476D1CE4E5B9)) ^ (np.arange(1, 257, dtype=U64) * _MIX >> U64(17))
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> U64(32))
+    h *= _MIX
+    h ^= h >> U64(29)
+    return h
+
+
 def gram_hashes(text: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit rolling hash of every `size` consecutive bytes (at most _CHUNK + 4096 bytes of text)."""
     sums = np.cumsum(_BYTE[text] * _POWER[: len(text)])
     h = sums[size - 1 :].copy()
     h[1:] -= sums[: len(h) - 1]
     h *= _INVERSE[: len(h)]
-    h ^= h >> U64(32)
-    h *= _MIX
-    h ^= h >> U64(29)
-    return h
+    return mixed(h)
 
 
 def anchors(text: np.ndarray, length: int) -> np.ndarray:

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ._common import cut, read, remove_folder, shared_folder
-from ._suffix import anchors, window_groups, words
+from ._suffix import anchors, mixed, window_groups, words
 
 #: Bytes of text in a shard; a longer document is a shard of its own.
 SHARD_BYTES = 4 << 20
 #: Anchors, and bytes of windows' texts, that one task of a merge gets.
-RANGE_ANCHORS, RANGE_BYTES = 1 << 20, 1 << 22
+RANGE_ANCHORS, RANGE_BYTES = 1 << 20, 1 << 21
 #: An anchor that occurs so often has its windows dealt one by one.
 HOT_ANCHORS = 2000
 #: Windows that are sorted as one run in a merge.
@@ -26,7 +26,7 @@ RUN_WINDOWS = 250_000
 #: Bits of an anchor that decide whether it is shared.
 KEY_BITS = 48
 _LAST = np.iinfo(np.int64).max
-_CODEC = pa.Codec("zstd", 1)
+_CODEC = pa.Codec("zstd", 3)
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -94,23 +94,29 @@ class _Shard:
         self.ids = ids
         ranks = np.array([_LAST if i is None else i for i in ids], np.int64)
         sizes = np.diff(self.ends)
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        n = max(0, len(self.text) - length + 1)
-        self.at = np.flatnonzero(np.arange(length, length + n) <= np.repeat(self.ends[1:], sizes)[:n])
+        whole = np.ones(len(self.text), bool)  # positions from which a window stays in its document
+        for end, size in zip(self.ends[1:].tolist(), sizes.tolist(), strict=True):
+            whole[end - min(size, length - 1) : end] = False
+        self.at = np.flatnonzero(whole).astype(np.int32)
         low = anchors(self.text, length)[self.at]
-        self.doc = doc[self.at]
+        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[self.at]
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (self.doc[1:] != self.doc[:-1])
-        self.rank = ranks[self.doc]
+        self.ranks = ranks
         first = np.flatnonzero(new)
+        low = mixed(low[first])  # the least of several hashes isn't dealt evenly
         #: of each window, its run
-        self.run = np.cumsum(new) - 1
+        self.run = np.cumsum(new, dtype=np.int32) - np.int32(1)
         #: the distinct anchors, ascending; of each run, which it has; how often one occurs
-        self.keys, self.key_of, self.times = np.unique((low[first] >> np.uint64(64 - KEY_BITS)).astype(np.int64), return_inverse=True, return_counts=True)
-        long = np.diff(np.r_[first, len(low)]) > length
+        self.keys, self.key_of, self.times = np.unique((low >> np.uint64(64 - KEY_BITS)).astype(np.int64), return_inverse=True, return_counts=True)
+        self.key_of = self.key_of.astype(np.int32)
+        long = np.diff(np.r_[first, len(self.at)]) > length
         self.several = self.times > 1
         self.several[self.key_of[long]] = True
 
+    def rank(self, window: np.ndarray) -> np.ndarray:
+        return self.ranks[self.doc[window]]
+
     def slices(self, bits: int) -> Iterator[tuple[int, slice]]:
         """The ranges of anchors, and where they are in `keys`."""
         of = self.keys >> (KEY_BITS - bits)
@@ -120,8 +126,9 @@ class _Shard:
 
 _ANCHORS = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary()), ("times", pa.binary())])
 _MASKS = pa.schema([("shard", pa.int64()), ("range", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())])
-_FOUND = pa.schema([("kind", pa.string()), ("range", pa.int64()), ("shard", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary()), ("ranks", pa.binary()), ("text", pa.binary())])
-_FLAGS = pa.schema([("shard", pa.int64()), ("starts", pa.binary())])
+#: What a shard finds: windows it asks others about, by ranges; under a range below 0, what it has settled itself.
+_FOUND = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary()), ("ranks", pa.binary()), ("text", pa.binary())])
+_FLAGS = pa.schema([("shard", pa.int64()), ("flags", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary()), ("ranks", pa.binary())])
 
 
 def _list_anchors(length: int, bits: int):
@@ -174,25 +181,25 @@ def _inside(s: _Shard, length: int, bits: int, out_bits: int, masks: list[dict])
             n = at.stop - at.start
             cross[at] = np.unpackbits(np.frombuffer(m["shared"], np.uint8))[:n]
             hot[at] = np.unpackbits(np.frombuffer(m["hot"], np.uint8))[:n]
-    key = s.key_of[s.run] if len(s.run) else np.empty(0, np.int64)
+    key = s.key_of[s.run] if len(s.run) else np.empty(0, np.int32)
     ask = cross[key]
     gone, same = np.zeros(len(s.at), bool), (np.empty(0, np.int64), np.empty(0, np.int64))
     twin = np.flatnonzero(s.several[key])
     if len(twin):
         # the text of these windows alone; a window's bytes stay together
-        edge = np.zeros(len(s.text) + 1, np.int64)
+        edge = np.zeros(len(s.text) + 1, np.int32)
         np.add.at(edge, s.at[twin], 1)
         np.add.at(edge, s.at[twin] + length, -1)
         used = np.cumsum(edge[:-1]) > 0
-        place = np.cumsum(used) - 1
+        place = np.cumsum(used, dtype=np.int32) - 1
         window, group = window_groups(s.text[used], place[s.at[twin]], length)
         back = np.full(int(used.sum()), -1)
         back[place[s.at[twin]]] = twin
         window = back[window]
         heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         sizes = np.diff(np.r_[heads, len(group)])
-        least = np.repeat(np.minimum.reduceat(s.rank[window], heads), sizes)
-        mine = s.rank[window] == least
+        least = np.repeat(np.minimum.reduceat(s.rank(window), heads), sizes)
+        mine = s.rank(window) == least
         first = np.repeat(np.minimum.reduceat(np.where(mine, window, _LAST), heads), sizes)
         gone[window[~mine]] = True
         repeats = mine & (window != first)
@@ -212,16 +219,15 @@ def _inside(s: _Shard, length: int, bits: int, out_bits: int, masks: list[dict])
     if lone.any():
         # windows of an anchor that very many documents have are dealt by all their bytes
         w, start = words(s.text), s.at[at[lone[first]]]
-        mixed = np.zeros(len(start), np.uint64)
+        own = np.zeros(len(start), np.uint64)
         for offset in sorted({*range(0, length - 7, 8), max(0, length - 8)}):
-            mixed = (mixed ^ w[start + offset]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(31)
-        range_[lone[first]] = (mixed >> np.uint64(64 - out_bits)).astype(np.int64)
+            own = mixed(own ^ w[start + offset])
+        range_[lone[first]] = (own >> np.uint64(64 - out_bits)).astype(np.int64)
     order = np.argsort(range_, kind="stable")
     range_, at, counts = range_[order], at[order], counts[order]
-    starts, sizes = s.at[at], counts + length - 1
+    starts, sizes = s.at[at].astype(np.int64), counts + length - 1
     flat, ends = _bytes_at(s.text, starts, sizes), np.r_[0, np.cumsum(sizes)]
-    asks = [(int(range_[a]), _pack(starts[a:b]), _pack(counts[a:b]), _pack(s.rank[at[a:b]]), _squeeze(flat[ends[a] : ends[b]].tobytes())) for a, b in _runs(range_)]
+    asks = [(int(range_[a]), _pack(starts[a:b]), _pack(counts[a:b]), _pack(s.rank(at[a:b])), _squeeze(flat[ends[a] : ends[b]].tobytes())) for a, b in _runs(range_)]
     return s.at[gone], *same, asks
 
 
@@ -232,7 +238,7 @@ def _search_shards(length: int, bits: int, out_bits: int):
                 s = _Shard(ids.as_py(), lengths.as_py(), text.as_py(), length)
                 gone, repeat, of, asks = _inside(s, length, bits, out_bits, masks.as_py() or [])
                 number = shard.as_py()
-                yield _batch([("own", None, number, _pack(gone), _pack(repeat), _pack(of), None), *(("ask", r, number, a, b, c, d) for r, a, b, c, d in asks)], _FOUND)
+                yield _batch([(-1 - (number * 0x9E3779B1 >> 8) % (1 << out_bits), number, _pack(gone), _pack(repeat), _pack(of), None), *((r, number, a, b, c, d) for r, a, b, c, d in asks)], _FOUND)
 
     return run
 
@@ -247,6 +253,8 @@ def _merge(length: int, run_windows: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("range")[0].as_py() < 0:
+            return table.select(["shard", "starts", "counts", "ranks"]).add_column(1, "flags", pa.nulls(len(table), pa.binary())).cast(_FLAGS)
         kind = f"S{length}"
         shards, starts, ranks, windows = [], [], [], []
         for shard, at, n, rank, text in zip(*(table.column(c).to_pylist() for c in ("shard", "starts", "counts", "ranks", "text")), strict=True):
@@ -286,7 +294,7 @@ def _merge(length: int, run_windows: int):
             flag = best[group] < rank
             order = np.lexsort((start[flag], shard[flag]))
             shard, start = shard[flag][order], start[flag][order]
-            out += [(int(shard[a]), _pack(start[a:b])) for a, b in _runs(shard)]
+            out += [(int(shard[a]), _pack(start[a:b]), None, None, None) for a, b in _runs(shard)]
         return pa.Table.from_batches([_batch(out, _FLAGS)])
 
     return run
@@ -359,27 +367,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     ship(spark)
-    folders = []
-
-    def keep(df: DataFrame, *by: str) -> DataFrame:
-        folders.append(shared_folder(spark, "repeats"))
-        df.write.partitionBy(*by).option("compression", "uncompressed").parquet(folders[-1])
-        return spark.read.parquet(folders[-1])
-
+    folder = shared_folder(spark, "shards")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shards = keep(base.mapInArrow(_shards(shard_bytes), _ddl(_SHARD)))
+    base.mapInArrow(_shards(shard_bytes), _ddl(_SHARD)).write.option("compression", "uncompressed").parquet(folder)
+    shards = spark.read.parquet(folder)
     n_bytes = shards.agg(F.sum("n_bytes")).first()[0] or 0
     # a fourteenth of the bytes are anchors; windows have at most as many bytes of text as all documents, once for each anchor
     bits, out_bits = _bits(n_bytes / 14 / RANGE_ANCHORS, 6), _bits(n_bytes / RANGE_BYTES, 8)
     listed = shards.mapInArrow(_list_anchors(length, bits), _ddl(_ANCHORS))
     masks = listed.groupBy("range").applyInArrow(_shared_anchors(hot_anchors), _ddl(_MASKS)).groupBy("shard").agg(F.collect_list(F.struct("range", "shared", "hot")).alias("masks"))
-    found = keep(shards.join(masks, "shard", "left").mapInArrow(_search_shards(length, bits, out_bits), _ddl(_FOUND)), "kind")
-    asked = found.where("kind = 'ask'").select("range", "shard", "starts", "counts", "ranks", "text")
-    flags = asked.groupBy("range").applyInArrow(_merge(length, run_windows), _ddl(_FLAGS)).groupBy("shard").agg(F.collect_list("starts").alias("flags"))
-    own = found.where("kind = 'own'").select("shard", "starts", "counts", "ranks").join(flags, "shard", "left")
-    out = cut(shards.join(own, "shard").mapInArrow(_remove(length, with_text), _ddl(_RESULT)))
-    for path in folders:
-        remove_folder(spark, path)
+    found = shards.join(masks, "shard", "left").mapInArrow(_search_shards(length, bits, out_bits), _ddl(_FOUND))
+    told = found.groupBy("range").applyInArrow(_merge(length, run_windows), _ddl(_FLAGS))
+    known = told.groupBy("shard").agg(F.collect_list("flags").alias("flags"), *(F.max(c).alias(c) for c in ("starts", "counts", "ranks")))
+    out = cut(shards.join(known, "shard").mapInArrow(_remove(length, with_text), _ddl(_RESULT)))
+    remove_folder(spark, folder)
     return out
 
 
