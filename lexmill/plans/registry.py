@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import analysis_queries, clause_queries, gold, knowledge_queries, profile_queries, rule_queries
+from . import analysis_queries, clause_queries, gold, knowledge_queries, learned_queries, profile_queries, rule_queries
 
-_MODULES = [rule_queries, clause_queries, analysis_queries, knowledge_queries, profile_queries, gold]
+_MODULES = [rule_queries, clause_queries, analysis_queries, knowledge_queries, profile_queries, gold, learned_queries]
 
 
 def queries() -> dict:
