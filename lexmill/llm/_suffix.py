@@ -39,14 +39,14 @@ def gram_hashes(text: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(text: np.ndarray, length: int) -> np.ndarray:
-    """For every window of `length` bytes, the smallest hash of the grams of length // 2 + 1 bytes in it.
+    """For every window of `length` bytes, the smallest hash of the grams of two fifths of its bytes in it.
 
     It depends on the window's bytes alone, so equal windows have equal anchors, wherever they occur.
     """
     n = len(text) - length + 1
     if n <= 0:
         return np.empty(0, U64)
-    size = length // 2 + 1
+    size = max(1, 2 * length // 5)
     grams = length - size + 1
     out = np.empty(n, U64)
     for at in range(0, n, _CHUNK):

@@ -23,8 +23,8 @@ RANGE_ANCHORS, RANGE_BYTES = 1 << 20, 1 << 21
 HOT_ANCHORS = 2000
 #: Windows that are sorted as one run in a merge.
 RUN_WINDOWS = 250_000
-#: Bits of an anchor that decide whether it is shared.
-KEY_BITS = 48
+#: So many bits more than number all anchors are told of each, so that few are taken for another one.
+SPARE_BITS = 12
 _LAST = np.iinfo(np.int64).max
 _CODEC = pa.Codec("zstd", 3)
 
@@ -88,10 +88,10 @@ def _shards(most: int):
 class _Shard:
     """A shard's text, its windows - those that lie in one document - and the runs of windows with one anchor."""
 
-    def __init__(self, ids: list, lengths: bytes, text: bytes, length: int):
+    def __init__(self, ids: list, lengths: bytes, text: bytes, length: int, key_bits: int):
         self.text = np.frombuffer(_expand(text), np.uint8)
         self.ends = _unpack(lengths)
-        self.ids = ids
+        self.ids, self.key_bits = ids, key_bits
         ranks = np.array([_LAST if i is None else i for i in ids], np.int64)
         sizes = np.diff(self.ends)
         whole = np.ones(len(self.text), bool)  # positions from which a window stays in its document
@@ -108,7 +108,7 @@ class _Shard:
         #: of each window, its run
         self.run = np.cumsum(new, dtype=np.int32) - np.int32(1)
         #: the distinct anchors, ascending; of each run, which it has; how often one occurs
-        self.keys, self.key_of, self.times = np.unique((low >> np.uint64(64 - KEY_BITS)).astype(np.int64), return_inverse=True, return_counts=True)
+        self.keys, self.key_of, self.times = np.unique((low >> np.uint64(64 - key_bits)).astype(np.int64), return_inverse=True, return_counts=True)
         self.key_of = self.key_of.astype(np.int32)
         long = np.diff(np.r_[first, len(self.at)]) > length
         self.several = self.times > 1
@@ -119,7 +119,7 @@ class _Shard:
 
     def slices(self, bits: int) -> Iterator[tuple[int, slice]]:
         """The ranges of anchors, and where they are in `keys`."""
-        of = self.keys >> (KEY_BITS - bits)
+        of = self.keys >> (self.key_bits - bits)
         for a, b in _runs(of):
             yield int(of[a]), slice(a, b)
 
@@ -131,11 +131,11 @@ _FOUND = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("starts", pa.
 _FLAGS = pa.schema([("shard", pa.int64()), ("flags", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary()), ("ranks", pa.binary())])
 
 
-def _list_anchors(length: int, bits: int):
+def _list_anchors(length: int, key_bits: int, bits: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for shard, ids, lengths, text in zip(*(batch.column(c) for c in ("shard", "ids", "lengths", "text")), strict=True):
-                s = _Shard(ids.as_py(), lengths.as_py(), text.as_py(), length)
+                s = _Shard(ids.as_py(), lengths.as_py(), text.as_py(), length, key_bits)
                 yield _batch([(r, shard.as_py(), _pack(s.keys[at]), _pack(s.times[at])) for r, at in s.slices(bits)], _ANCHORS)
 
     return run
@@ -215,7 +215,7 @@ def _inside(s: _Shard, length: int, bits: int, out_bits: int, masks: list[dict])
     first = np.flatnonzero(new)
     counts = np.diff(np.r_[first, len(asked)])
     at = asked[first]
-    range_ = s.keys[key[at]] >> (KEY_BITS - out_bits)
+    range_ = s.keys[key[at]] >> (s.key_bits - out_bits)
     if lone.any():
         # windows of an anchor that very many documents have are dealt by all their bytes
         w, start = words(s.text), s.at[at[lone[first]]]
@@ -231,11 +231,11 @@ def _inside(s: _Shard, length: int, bits: int, out_bits: int, masks: list[dict])
     return s.at[gone], *same, asks
 
 
-def _search_shards(length: int, bits: int, out_bits: int):
+def _search_shards(length: int, key_bits: int, bits: int, out_bits: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for shard, ids, lengths, text, masks in zip(*(batch.column(c) for c in ("shard", "ids", "lengths", "text", "masks")), strict=True):
-                s = _Shard(ids.as_py(), lengths.as_py(), text.as_py(), length)
+                s = _Shard(ids.as_py(), lengths.as_py(), text.as_py(), length, key_bits)
                 gone, repeat, of, asks = _inside(s, length, bits, out_bits, masks.as_py() or [])
                 number = shard.as_py()
                 yield _batch([(-1 - (number * 0x9E3779B1 >> 8) % (1 << out_bits), number, _pack(gone), _pack(repeat), _pack(of), None), *((r, number, a, b, c, d) for r, a, b, c, d in asks)], _FOUND)
@@ -342,7 +342,7 @@ def _ddl(schema: pa.Schema) -> str:
 
 def _bits(n: float, least: int) -> int:
     """So many bits that each of 2**bits ranges gets one part of n."""
-    return min(KEY_BITS - 8, max(least, int(np.ceil(np.log2(max(1.0, n))))))
+    return max(least, int(np.ceil(np.log2(max(1.0, n)))))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_text: bool = True, shard_bytes: int = SHARD_BYTES, hot_anchors: int = HOT_ANCHORS, run_windows: int = RUN_WINDOWS) -> DataFrame:
@@ -372,11 +372,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base.mapInArrow(_shards(shard_bytes), _ddl(_SHARD)).write.option("compression", "uncompressed").parquet(folder)
     shards = spark.read.parquet(folder)
     n_bytes = shards.agg(F.sum("n_bytes")).first()[0] or 0
-    # a fourteenth of the bytes are anchors; windows have at most as many bytes of text as all documents, once for each anchor
-    bits, out_bits = _bits(n_bytes / 14 / RANGE_ANCHORS, 6), _bits(n_bytes / RANGE_BYTES, 8)
-    listed = shards.mapInArrow(_list_anchors(length, bits), _ddl(_ANCHORS))
+    # about a fifteenth of the bytes start a new anchor
+    key_bits = min(62, _bits(n_bytes / 15, 12) + SPARE_BITS)
+    bits, out_bits = _bits(n_bytes / 15 / RANGE_ANCHORS, 6), _bits(n_bytes / RANGE_BYTES, 8)
+    listed = shards.mapInArrow(_list_anchors(length, key_bits, bits), _ddl(_ANCHORS))
     masks = listed.groupBy("range").applyInArrow(_shared_anchors(hot_anchors), _ddl(_MASKS)).groupBy("shard").agg(F.collect_list(F.struct("range", "shared", "hot")).alias("masks"))
-    found = shards.join(masks, "shard", "left").mapInArrow(_search_shards(length, bits, out_bits), _ddl(_FOUND))
+    found = shards.join(masks, "shard", "left").mapInArrow(_search_shards(length, key_bits, bits, out_bits), _ddl(_FOUND))
     told = found.groupBy("range").applyInArrow(_merge(length, run_windows), _ddl(_FLAGS))
     known = told.groupBy("shard").agg(F.collect_list("flags").alias("flags"), *(F.max(c).alias(c) for c in ("starts", "counts", "ranks")))
     out = cut(shards.join(known, "shard").mapInArrow(_remove(length, with_text), _ddl(_RESULT)))
