@@ -148,12 +148,12 @@ def heading(line: str) -> tuple[str, int] | None:
     return None
 
 
-def chapters_of(text: str, least_chars: int = 50, most: int = 60) -> list[tuple[int, str, int, str]]:
+def chapters_of(text: str, least_chars: int = 50, most: int | None = None) -> list[tuple[int, str, int, str]]:
     """(number, title, level, body) of a text's chapters.
 
     A body runs to the next heading of the same or a higher level, without its blank lines. A text with
     fewer than two headings is cut at blank lines instead, and the first line of several is the title.
-    Bodies of fewer than `least_chars` characters are left out, and of the others `most` are given.
+    Bodies of fewer than `least_chars` characters are left out; of the others all are given, or the first `most`.
     """
     lines = text.splitlines()
     heads = [(i, *h) for i, line in enumerate(lines) if (h := heading(line))]
@@ -174,7 +174,7 @@ def chapters_of(text: str, least_chars: int = 50, most: int = 60) -> list[tuple[
     return [p for p in parts if len(p[3]) >= least_chars][:most]
 
 
-def chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 50, most: int = 60) -> DataFrame:
+def chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 50, most: int | None = None) -> DataFrame:
     """(id, chapter_ix, title, level, body): see chapters_of(). A text is cut in one pass, in Arrow batches; null texts have no chapters."""
     ship(docs.sparkSession)
 

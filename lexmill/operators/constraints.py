@@ -56,14 +56,20 @@ def what_if(propositions: DataFrame, constraints: DataFrame, field: str, by: str
     return check(propositions.where(F.col("field") != field), constraints.where(F.col("field") != field), by)
 
 
-def counterfactual(propositions: DataFrame, constraints: DataFrame, by: str = "doc_id") -> DataFrame:
-    """(by, field, fixed, broken, impact): what removing each proposition does to the violated fields.
+def counterfactual(propositions: DataFrame, constraints: DataFrame, changes: dict[str, Column | None], by: str = "doc_id") -> DataFrame:
+    """(by, field, fixed, broken, impact): what changing each proposition does to the constraints on it.
 
-    An absent field violates nothing, so removing one fixes its own violations and breaks none.
+    `changes` gives the new value of a field as a Column over (value), or None: the proposition is removed, and then violates nothing.
+    Each constraint is judged with the old and the new value in one row, so both sides come from one join. Fixed
+    ones were violated before, broken ones are violated after; a fixed one counts half, a broken one minus one.
     """
-    bad = violations(propositions, constraints, by).select(by, "field").distinct().withColumn("fixed", F.lit(1))
-    out = propositions.select(by, "field").distinct().join(bad, [by, "field"], "left")
-    return out.select(by, "field", F.coalesce("fixed", F.lit(0)).cast("long").alias("fixed"), F.lit(0).cast("long").alias("broken"), (F.coalesce("fixed", F.lit(0)) * 0.5).alias("impact"))
+    new = F.lit(None).cast("double")
+    for field, change in changes.items():
+        new = F.when(F.col("field") == field, change if change is not None else F.lit(None).cast("double")).otherwise(new)
+    rows = propositions.where(F.col("field").isin(*changes)).withColumn("new", new).join(constraints, "field", "left")
+    bad = lambda v: F.coalesce(~holds(F.col(v), F.col("operator"), F.col("threshold")), F.lit(False))
+    fixed, broken = F.count_if(bad("value") & ~bad("new")), F.count_if(~bad("value") & bad("new"))
+    return rows.groupBy(by, "field").agg(fixed.alias("fixed"), broken.alias("broken"), (fixed * 0.5 - broken).alias("impact"))
 
 
 def minimal_conflicts(propositions: DataFrame, constraints: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -255,7 +255,9 @@ def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counterfactual_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.counterfactual(_props(spark, sf_dir), _con(spark)).select("doc_id", "field", "fixed", "broken", "impact")
+    """What half the price, two items more and no discount at all would do to each order's constraints."""
+    changes = {"price": F.col("value") / 2, "items": F.col("value") + 2, "discount": None}
+    return S.counterfactual(_props(spark, sf_dir), _con(spark), changes).select("doc_id", "field", "fixed", "broken", "impact")
 
 
 def fix_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,10 +331,11 @@ def term_group_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order prices as a model's values (of orders with a priority), recomputed prices as those of patterns."""
-    model = table(spark, sf_dir, "orders").where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("value"), F.lit(0.7).alias("confidence"))
-    regex = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum("l_quantity"), 2).alias("value"))
-    return M.fuse(model, regex, ["k"]).withColumns({c: F.round(c, 4) for c in ("model_value", "regex_value", "model_confidence", "regex_confidence")})
+    """Quantities of orders as a model has them, from the lines that weren't returned, and as patterns have them, from all lines that were shipped."""
+    lines = table(spark, sf_dir, "lineitem")
+    sums = lambda some: some.groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("value"))
+    model = sums(lines.where("l_returnflag <> 'R'")).withColumn("confidence", F.when(F.col("k") % 2 == 0, 0.7).otherwise(0.9))
+    return M.fuse(model, sums(lines.where("l_linestatus = 'F'")), ["k"]).withColumns({c: F.round(c, 4) for c in ("model_value", "regex_value", "model_confidence", "regex_confidence")})
 
 
 CLAIMS = [(1, 10, ["method a", "accuracy"], 1), (2, 11, ["accuracy"], -1), (3, 11, ["method a"], 1), (4, 12, ["method a", "speed"], -1), (5, 12, ["speed"], 0), (6, 10, ["speed"], 1)]
@@ -381,7 +384,10 @@ ORACLES = {
     "constraint_check": _PROPS_SQL + f" SELECT doc_id, {len(CONSTRAINTS)}::BIGINT AS total, coalesce(n, 0) AS violated, CASE WHEN n IS NULL THEN 'SATISFIABLE' ELSE 'VIOLATED' END AS verdict FROM o LEFT JOIN (SELECT doc_id, count(*) AS n FROM v GROUP BY 1) USING (doc_id)",
     "constraint_violations": _PROPS_SQL + " SELECT doc_id, field, round(value, 4) AS value, operator, threshold, round(gap, 4) AS gap, legal_ref FROM v",
     "what_if": _PROPS_SQL + " SELECT doc_id, 3::BIGINT AS total, coalesce(n, 0) AS violated, CASE WHEN n IS NULL THEN 'SATISFIABLE' ELSE 'VIOLATED' END AS verdict FROM o LEFT JOIN (SELECT doc_id, count(*) AS n FROM v WHERE field <> 'price' GROUP BY 1) USING (doc_id)",
-    "counterfactual_diff": _PROPS_SQL + " SELECT doc_id, field, (x.field IS NOT NULL)::BIGINT AS fixed, 0::BIGINT AS broken, (x.field IS NOT NULL)::INT * 0.5::DOUBLE AS impact FROM p LEFT JOIN (SELECT DISTINCT doc_id, field FROM v) x USING (doc_id, field)",
+    "counterfactual_diff": _PROPS_SQL + """, n AS (SELECT doc_id, field, value, CASE field WHEN 'price' THEN value / 2 WHEN 'items' THEN value + 2 END AS new FROM p),
+        j AS (SELECT n.*, CASE operator WHEN '>=' THEN value < threshold WHEN '<=' THEN value > threshold WHEN '<' THEN value >= threshold ELSE false END AS before,
+            coalesce(CASE operator WHEN '>=' THEN new < threshold WHEN '<=' THEN new > threshold WHEN '<' THEN new >= threshold ELSE false END, false) AS after FROM n LEFT JOIN {con} c USING (field))
+        SELECT doc_id, field, count(*) FILTER (before AND NOT after) AS fixed, count(*) FILTER (after AND NOT before) AS broken, count(*) FILTER (before AND NOT after) * 0.5::DOUBLE - count(*) FILTER (after AND NOT before) AS impact FROM j GROUP BY 1, 2""".format(con=_CON_SQL),
     "fix_ranking": _PROPS_SQL + " SELECT doc_id, field, round(threshold, 6) AS threshold, round(value, 4) AS suggested, row_number() OVER (PARTITION BY doc_id ORDER BY abs(value - threshold), field) AS rank FROM v",
     "unbound_conflicts": "SELECT '比例' AS field, 5.0::DOUBLE AS low, 3.0::DOUBLE AS high UNION ALL SELECT '工期', 10.0, 10.0",
     "conflict_report": _PROPS_SQL + " SELECT doc_id, field || ': ' || operator || ' ' || threshold || ', actual ' || value || ' (' || legal_ref || ')' AS text FROM v WHERE field = 'items'",
@@ -396,6 +402,8 @@ ORACLES = {
         SELECT g AS bigram, round(chi, 4) AS chi2, round(CASE WHEN chi > 0 THEN least(1, 2 * 0.3989422804014327 * exp(-chi / 2) * (t * (0.319381530 + t * (-0.356563782 + t * (1.477937 + t * (-1.821255978 + t * 1.330274429)))))) ELSE 1 END, 5)::DOUBLE AS p FROM y""",
     "vocabulary_pmi": "WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents), u AS (SELECT w, count(*) AS n FROM w WHERE w <> '' GROUP BY 1), g AS (SELECT b, sum(n) AS n FROM (SELECT n, unnest(list_transform(range(1, length(w)), lambda i: substr(w, i, 2))) AS b FROM u) GROUP BY 1), h AS (SELECT c, sum(n) AS n FROM (SELECT n, unnest(string_split(w, '')) AS c FROM u) GROUP BY 1) SELECT b AS bigram, g.n::BIGINT AS n, round(log2((g.n::DOUBLE / (SELECT sum(n) FROM g)) / ((x.n::DOUBLE / (SELECT sum(n) FROM h)) * (y.n::DOUBLE / (SELECT sum(n) FROM h)))), 6) AS pmi FROM g JOIN h x ON x.c = b[1] JOIN h y ON y.c = b[2]",
     "term_group_cooccurrence": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents), u AS (SELECT * FROM t WHERE term <> ''), g AS (SELECT * FROM " + values(GROUPS, "grp", "term") + "), pr AS (SELECT DISTINCT doc_id, grp FROM u JOIN g USING (term)), c AS (SELECT term, grp, count(*) AS n FROM u JOIN pr USING (doc_id) WHERE length(term) >= 2 AND term NOT IN (SELECT term FROM g) GROUP BY 1, 2), s AS (SELECT term, grp, n::DOUBLE / max(n) OVER (PARTITION BY term) AS share FROM c) SELECT term, grp AS \"group\", round(share, 6) AS share FROM s WHERE share >= 0.6",
-    "evidence_fusion": "WITH m AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderpriority <> '1-URGENT'), r AS (SELECT l_orderkey AS k, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY 1) SELECT k, round(m.v, 4) AS model_value, round(r.v, 4) AS regex_value, coalesce(abs(m.v - r.v) < 0.01, false) AS agreement, round(CASE WHEN m.v IS NULL THEN 0 WHEN abs(m.v - r.v) < 0.01 THEN 0.84 ELSE 0.7 END, 4)::DOUBLE AS model_confidence, round(CASE WHEN r.v IS NULL THEN 0 WHEN abs(m.v - r.v) < 0.01 THEN 1 ELSE 0.95 END, 4)::DOUBLE AS regex_confidence FROM m FULL JOIN r USING (k)",
+    "evidence_fusion": """WITH m AS (SELECT l_orderkey AS k, sum(l_quantity) AS v, CASE WHEN l_orderkey % 2 = 0 THEN 0.7 ELSE 0.9 END AS c FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1), r AS (SELECT l_orderkey AS k, sum(l_quantity) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
+        x AS (SELECT k, m.v AS a, r.v AS b, m.c AS c, coalesce(abs(m.v - r.v) < 0.01, false) AS same FROM m FULL JOIN r USING (k))
+        SELECT k, round(a, 4) AS model_value, round(b, 4) AS regex_value, same AS agreement, round(CASE WHEN a IS NULL THEN 0 WHEN same THEN least(1, c * 1.2) ELSE c END, 4)::DOUBLE AS model_confidence, round(CASE WHEN b IS NULL THEN 0 WHEN same THEN 1 ELSE 0.95 END, 4)::DOUBLE AS regex_confidence FROM x""",
     "cross_paper_contradictions": "WITH c AS (SELECT id, paper, d, unnest(s) AS s FROM " + values(CLAIMS, "id", "paper", "s", "d") + ") SELECT a.id AS a, b.id AS b, min(a.s) AS subject FROM c a JOIN c b ON a.s = b.s AND a.paper < b.paper AND a.d = -b.d AND a.d <> 0 GROUP BY 1, 2",
 }
