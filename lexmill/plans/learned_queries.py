@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ..folders import remove, shared
 from ..functions import text as T
+from ..operators import bootstrap as B
 from ..operators import clusters as U
 from ..operators import intervals as I
 from ..operators import quantified as Q
 from ..operators import tfidf
 from ..operators.classify import bigram_rows
 from ..operators.graph import reliable
+from ..operators.rules import Rule
 from ..operators.store import Centroids, PrototypeStore
 from ..streaming import learner as L
 
@@ -196,7 +198,25 @@ def quantified_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
-QUERIES = {f.__name__: f for f in (learner_signals, learner_weights, cluster_match, prototype_store, prototype_store_classify, running_centroids, tfidf_predict, outer_spans, outer_regression, quantified_orders)}
+# ---- values extracted from contracts, whose texts are made from orders ----
+
+WARRANTY = Rule("warranty", "numeric_comparison", {"label": "保修期限", "context_pattern": "保修", "operator": ">=", "expected": 4, "unit": "年", "legal_ref": ""})
+PENALTY = Rule("penalty", "numeric_comparison", {"label": "违约金", "context_pattern": "违约", "operator": "<=", "expected": 20, "unit": "%", "legal_ref": ""})
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): each order as a contract with a warranty of as many years as it has items, and a penalty of its summed discount in percent."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").cast("string").alias("years"), F.round(F.sum("l_discount") * 100).cast("long").cast("string").alias("rate"))
+    return lines.select("doc_id", F.concat(F.lit("第一条 本工程保修期限为"), "years", F.lit("年。第二条 违约金不得超过"), "rate", F.lit("%。")).alias("text"))
+
+
+def extract_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts by two numeric rules, with the values that sentences state."""
+    evidence, fields = B.validate_with_extraction(contracts(spark, sf_dir), [WARRANTY, PENALTY])
+    return evidence.select("doc_id", "rule_id", "status").join(fields.select("doc_id", "rule_id", "value", "unit"), ["doc_id", "rule_id"], "left")
+
+
+QUERIES = {f.__name__: f for f in (learner_signals, learner_weights, cluster_match, prototype_store, prototype_store_classify, running_centroids, tfidf_predict, outer_spans, outer_regression, quantified_orders, extract_validate)}
 
 # ---- the same in SQL ----
 
@@ -277,6 +297,9 @@ ORACLES = {
         judged AS (SELECT *, len(known) / greatest(len(list_distinct(terms)), 1) AS overlap FROM (SELECT terms, "cross", sure, list_sort(list_intersect(terms, r)) AS known FROM node, rule))
         SELECT array_to_string(terms, ' ') AS terms, overlap, round(sure, 6)::DOUBLE AS confidence, CASE WHEN overlap >= 0.8 AND "cross" >= 0.3 THEN 'correct_rule' WHEN sure >= 0.5 AND overlap >= 0.5 THEN 'upgrade_to_conjecture' WHEN "cross" >= 0.6 THEN 'new_rule' ELSE 'keep_outer' END AS action,
             CASE WHEN overlap >= 0.8 AND "cross" >= 0.3 THEN known[1] END AS target FROM judged""",
+    "extract_validate": """WITH l AS (SELECT l_orderkey AS doc_id, count(*)::DOUBLE AS years, round(sum(l_discount) * 100)::DOUBLE AS rate FROM lineitem GROUP BY 1)
+        SELECT doc_id, 'warranty' AS rule_id, CASE WHEN years >= 4 THEN 'PASSED' ELSE 'FAILED' END AS status, years AS value, '年' AS unit FROM l
+        UNION ALL SELECT doc_id, 'penalty', CASE WHEN rate <= 20 THEN 'PASSED' ELSE 'FAILED' END, rate, '%' FROM l""",
     "quantified_orders": """WITH broken AS (
             SELECT 'machinery has credit' AS c, c_custkey::VARCHAR AS s, NULL::VARCHAR AS w FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal < 0
             UNION ALL SELECT 'debtors order little', c_custkey::VARCHAR, o_orderkey::VARCHAR FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal < 0 AND o_totalprice > 400000
