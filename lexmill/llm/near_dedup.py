@@ -158,38 +158,52 @@ def _join_classes(k: int, threshold: float):
         at, block = None, None
         for batch in it:
             out: list[tuple[int, int]] = []
-            for centre, b1, b2, streams, comp, lost, extra, weight, text in zip(*batch.columns, strict=True):
-                here = (centre.as_py(), b1.as_py(), b2.as_py())
+            for centre, number, part, streams, comp, lost, extra, weight, text in zip(*batch.columns, strict=True):
+                here = (centre.as_py(), number.as_py(), part.as_py())
                 if here != at:
                     at, block = here, _Block(k, threshold)
                 bits = (x.values.to_numpy().view(np.uint64) for x in (lost, extra))
                 row = (comp.as_py(), *bits, weight.as_py(), text.as_py())
-                if streams.as_py() or here[1] == here[2]:
+                if streams.as_py():
                     out += block.links(*row)
-                if not streams.as_py():
+                else:
                     block.add(*row)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["node", "centre"])
 
     return run
 
 
+def meetings(tested: DataFrame, comps: DataFrame, chars: DataFrame, block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(centre, block, part, streams, node, comp, lost, extra, weight): which members of a centre meet where, if several classes have any.
+
+    Members are dealt to blocks of block_rows rows or block_chars characters, each to one that holds it. Those of the centre's largest
+    class are joined already and only wait there; all others also stream past each block, in parts of the same size, each with a
+    copy of the block. So of n members, m of them outside that class, there are up to n + 2 * m * n / block_rows rows:
+    in proportion to the members as long as nearly all are alike.
+    """
+    named = tested.join(comps, "node", "left").select("node", "centre", F.coalesce("comp", "node").alias("comp"), "lost", "extra", "weight")
+    members = cut(named.join(chars, "node"))
+    sizes = cut(members.groupBy("centre", "comp").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")))
+    sums = sizes.groupBy("centre").agg(F.count("*").alias("classes"), F.max(F.struct("n", "comp", "chars")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars")).where("classes > 1")
+    size = lambda n, chars: F.ceil(F.greatest(n / block_rows, chars / block_chars)).cast("int")
+    several = sums.select("centre", F.col("main.comp").alias("main"), size(F.col("n"), F.col("chars")).alias("blocks"), size(F.col("n") - F.col("main.n"), F.col("chars") - F.col("main.chars")).alias("parts"))
+    dealt = join_keyed(members.drop("chars"), cut(several), "centre", "inner")
+    homes = F.expr("transform(sequence(0, parts - 1), p -> struct(cast(pmod(xxhash64(node), blocks) as int) as block, p as part, false as streams))")
+    visits = F.expr("if(comp = main, array(), transform(sequence(0, blocks - 1), x -> struct(x as block, cast(pmod(xxhash64(node, 1), parts) as int) as part, true as streams)))")
+    met = dealt.select("node", "centre", "comp", "lost", "extra", "weight", F.explode(F.concat(homes, visits)).alias("m"))
+    return met.select("centre", "m.block", "m.part", "m.streams", "node", "comp", "lost", "extra", "weight")
+
+
 def bridges(tested: DataFrame, comps: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """(node, centre): links between the classes `comps` of members of one centre, named by class.
 
-    Members of a centre are dealt to blocks of BLOCK_ROWS rows or BLOCK_CHARS characters, and each task
-    takes two blocks of one centre: it holds one of them and streams the other past it. Only members of
+    A task holds a block of a centre's members and streams those past it that aren't of the largest class (see meetings()). Only members of
     different classes whose bits allow a link are compared as texts, and a link joins their classes for
     the rest of the task, so it gives fewer rows than it has members.
     """
-    named = tested.join(comps, "node", "left").select("node", "centre", F.coalesce("comp", "node").alias("comp"), "lost", "extra", "weight")
-    members = cut(named.join(texts.select("node", F.length("text").alias("chars")), "node"))
-    sums = members.groupBy("centre").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("chars").alias("chars")).where("lo < hi")
-    several = sums.select("centre", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    dealt = join_keyed(members.drop("chars"), cut(several), "centre", "inner").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    meets = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(own, x) as b1, greatest(own, x) as b2, own > x as streams))"))
-    rows = dealt.select("node", "centre", "comp", "lost", "extra", "weight", meets.alias("m")).select("*", "m.*").join(texts, "node")
-    rows = rows.repartition("centre", "b1", "b2").sortWithinPartitions("centre", "b1", "b2", "streams", "node")
-    return rows.select("centre", "b1", "b2", "streams", "comp", "lost", "extra", "weight", "text").mapInArrow(_join_classes(k, threshold), "node long, centre long")
+    rows = meetings(tested, comps, texts.select("node", F.length("text").alias("chars"))).join(texts, "node")
+    rows = rows.repartition("centre", "block", "part").sortWithinPartitions("centre", "block", "part", "streams", "node")
+    return rows.select("centre", "block", "part", "streams", "comp", "lost", "extra", "weight", "text").mapInArrow(_join_classes(k, threshold), "node long, centre long")
 
 
 def components(links: DataFrame) -> DataFrame:
