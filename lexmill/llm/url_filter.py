@@ -23,8 +23,10 @@ ORDER = 12
 SHORT = 3
 #: Marks before and after a URL.
 START, END = "\x02", "\x03"
-#: Share of the accepted URLs that calibration lets the models block, at most.
+#: Share of the held-out accepted URLs that calibration lets the models block, at most.
 MISS = 0.01
+#: One of so many URLs that a rule judges, by a hash, is held out of the models and calibrates them.
+HELD_OUT = 5
 #: Scores are rounded to so many decimals for calibration, so their histogram is bounded.
 DECIMALS = 3
 
@@ -107,12 +109,12 @@ def deltas(full: DataFrame, model: DataFrame, symbols: int, prior: float = 4.0)
 def score(kinds: DataFrame) -> DataFrame:
     """(url, score) of `kinds`: mean log-likelihood difference per character.
 
-    `kinds` has (url, verdict, n): distinct URLs, the verdict of a rule or null, and how many rows have them.
+    `kinds` has (url, verdict, held, n): distinct URLs, the verdict of a rule or null, if they are held out of the models, and how many rows have them.
     N-grams are counted before they are joined, and only the hot ones of a join are broadcast.
     """
     with scratch(kinds.sparkSession) as keep:
         kinds = cut(kinds.withColumn("kind", F.monotonically_increasing_id()))
-        n = lambda verdict: F.expr(f"if(verdict = '{verdict}', n, 0)")
+        n = lambda verdict: F.expr(f"if(verdict = '{verdict}' and not held, n, 0)")
         counted = _grams(kinds.withColumns({"good": n("allow"), "bad": n("block")}), "good", "bad").groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         full = keep(counted.withColumn("at", F.monotonically_increasing_id()))
         known = keep(deltas(full, *train(full, keep)))
@@ -122,33 +124,53 @@ def score(kinds: DataFrame) -> DataFrame:
         return cut(kinds.select("kind", "url").join(sums, "kind", "left").select("url", scores.alias("score")))
 
 
+def threshold(judged: DataFrame, miss: float) -> float:
+    """The score from which URLs are allowed, from held-out ones (verdict, score, n).
+
+    It is where as large a share of the accepted ones lies below as of the rejected ones above, so that errors are balanced; or, if that
+    would block more than `miss` of the accepted, the score below which that share of them lies. Scores are
+    counted in a histogram of DECIMALS, which has a bounded number of rows. Without accepted ones it is 0.
+    """
+    n = lambda verdict: F.sum(F.when(F.col("verdict") == verdict, F.col("n")).otherwise(0))
+    bars = judged.groupBy(F.round("score", DECIMALS).alias("at")).agg(n("allow").alias("good"), n("block").alias("bad"))
+    upto, all_ = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
+    sums = bars.select("at", "good", "bad", F.sum("good").over(upto).alias("good_upto"), F.sum("bad").over(upto).alias("bad_upto"), F.sum("good").over(all_).alias("goods"), F.sum("bad").over(all_).alias("bads"))
+    below = (F.col("good_upto") - F.col("good")) / F.col("goods")  # accepted ones that this threshold blocks
+    above = F.coalesce((F.col("bads") - F.col("bad_upto") + F.col("bad")) / F.nullif(F.col("bads"), F.lit(0)), F.lit(0.0))
+    balanced = F.min(F.when(below >= above, F.col("at")))
+    missed = F.min(F.when(F.col("good_upto") > miss * F.col("goods"), F.col("at")))
+    found = sums.where("goods > 0").agg(F.least(balanced, missed).alias("limit")).first()["limit"]
+    return 0.0 if found is None else found
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] | None = None, miss: float = MISS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of `pages`.
 
-    A URL that a rule fits gets the verdict of the longest such rule. All such URLs of the table, counted
-    as often as they occur, train a model of accepted and one of rejected URLs; every other URL is
-    allowed if its score is at least the threshold. The threshold is 0, or, if that would block more
-    than `miss` of the accepted URLs, the score below which that share of them lies.
+    A URL that a rule fits gets the verdict of the longest such rule. Of all such URLs of the table, counted
+    as often as they occur, four fifths train a model of accepted and one of rejected URLs; the others, chosen by a hash of
+    the URL, are scored like URLs that no model has seen, and set the threshold (see threshold()). Every other URL is
+    allowed if its score is at least that.
 
     Null URLs and those without :// have empty host and path and no rule. Equal URLs get equal verdicts.
-    If the rules accept or reject nothing in the table there is no model to compare with, and every URL
-    without a rule is allowed. Columns of other names are ignored.
+    If the rules accept or reject nothing in the table, there is no model to compare with, and every URL
+    without a rule is allowed; if all URLs of one verdict are held out, all train the models, and the threshold is 0. Columns of other names are ignored.
     """
     rules = RULES if rules is None else rules
     host, path = host_path(F.col(url_col))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = cut(pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "by_rule": verdict}))
-    kinds = cut(rows.groupBy("url", F.col("by_rule").alias("verdict")).agg(F.count("*").alias("n")))
+    held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
+    kinds = cut(rows.groupBy("url", F.col("by_rule").alias("verdict")).agg(F.count("*").alias("n")).withColumn("held", held))
     labelled = kinds.where("verdict is not null")
-    seen = {r[0] for r in labelled.select("verdict").distinct().collect()}
-    if seen != {"allow", "block"}:
+    seen = {(r[0], r[1]) for r in labelled.select("verdict", "held").distinct().collect()}
+    if not {("allow", False), ("block", False)} <= seen:
+        # a verdict that few URLs have may be held out as a whole: then all train, and nothing is left to calibrate with
+        kinds, labelled = kinds.withColumn("held", F.lit(False)), labelled.withColumn("held", F.lit(False))
+    if {v for v, _ in seen} != {"allow", "block"}:
         scores, limit = kinds.select("url", F.lit(0.0).alias("score")), 0.0
     else:
         scores = score(kinds)
-        good = labelled.where("verdict = 'allow'").join(scores, "url").groupBy(F.round("score", DECIMALS).alias("at")).agg(F.sum("n").alias("n"))
-        below = F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a bounded histogram
-        total = F.sum("n").over(Window.partitionBy())
-        limit = min(0.0, good.select("at", below.alias("below"), total.alias("total")).where(F.col("below") > miss * F.col("total")).agg(F.min("at")).first()[0])
+        limit = threshold(labelled.where("held").select("url", "verdict", "n").join(scores, "url"), miss)
     out = join_keyed(rows, scores, "url", "inner")
     by_score = F.when(F.round("score", DECIMALS) >= limit, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_score).alias("verdict"), "score")
