@@ -85,16 +85,26 @@ class Cells:
                 yield pd.Series([[{"cell": int(c), "block": b} for c in np.flatnonzero(f) for b in range(blocks[c])] for f in fits], dtype=object)
 
         self.near = blocks_near
-        block = F.pmod(F.xxhash64("id"), F.get(F.array(*(F.lit(int(x)) for x in blocks)), F.col("cell"))).cast("int")
+        self.blocks = F.get(F.array(*(F.lit(int(x)) for x in blocks)), F.col("cell"))
+        block = F.pmod(F.xxhash64("id"), self.blocks).cast("int")
         self.homes = placed.select("cell", block.alias("block"), "id", "v")
 
+    def neighbours(self, homes: DataFrame) -> DataFrame:
+        """Homes as guests of the next block alone, that of their cell or else the first of the next cell."""
+        more = F.col("block") + 1 < self.blocks
+        at = F.struct(F.when(more, F.col("cell")).otherwise(F.col("cell") + 1).alias("cell"), F.when(more, F.col("block") + 1).otherwise(0).alias("block"))
+        return homes.withColumn("b", at).drop("cell", "block")
+
     def meet(self, homes: DataFrame, guests: DataFrame, task, schema: str) -> DataFrame:
         """task(held, guest batches) for each block: `homes` (cell, block, id, v, ...) are held, `guests` (id, v, ...) stream past.
 
         Both have the same further columns; a task gets a block's homes as one DataFrame, and yields rows for each chunk of guests.
+        Guests visit all blocks where they can have neighbours, or the one that they name in `b`.
         """
-        visits = guests.withColumn("b", F.explode(self.near("v"))).select("b.cell", "b.block", F.lit(True).alias("guest"), *guests.columns)
-        rows = homes.select("cell", "block", F.lit(False).alias("guest"), *guests.columns).unionByName(visits)
+        names = [c for c in guests.columns if c != "b"]
+        placed = guests if "b" in guests.columns else guests.withColumn("b", F.explode(self.near("v")))
+        visits = placed.select("b.cell", "b.block", F.lit(True).alias("guest"), *names)
+        rows = homes.select("cell", "block", F.lit(False).alias("guest"), *names).unionByName(visits)
         rows = rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "guest")
 
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,7 +154,8 @@ def dbscan(vectors: DataFrame, id_col: str, vector_col: str, eps: float = 0.35,
 
     No pairs are listed. Blocks first give the number of neighbours that they hold of each guest. Then the cores of a block are
     joined inside it, and each core is named by its class. Guests that are cores bring that class along,
-    and a block gives a link only if it joins two classes that it has not seen joined: fewer links than classes. Border points
+    and a block gives a link only if it joins two classes that it has not seen joined: fewer links than classes. First, blocks
+    only meet the next one, which leaves few classes of a dense cluster; then all meet. Border points
     ask for the classes of the cores near them.
     """
     ids = vectors.select(F.col(id_col).alias("id"))
@@ -191,7 +202,11 @@ def dbscan(vectors: DataFrame, id_col: str, vector_col: str, eps: float = 0.35,
     marked = reliable(homes.join(cores, "id", "left"))
     named = reliable(marked.where("core").groupBy("cell", "block").applyInPandas(inside, f"id {kind}, class {kind}"))
     held = reliable(marked.where("core").join(named, "id").select("cell", "block", "id", "v", "class"))
-    links = reliable(cells.meet(held, held.select("id", "v", "class"), join_classes, f"src {kind}, dst {kind}"))
+    pairs = f"src {kind}, dst {kind}"
+    near = components(named.select("class").distinct(), reliable(cells.meet(held, cells.neighbours(held), join_classes, pairs)), "class")
+    named = reliable(named.join(near, "class").select("id", F.col("component").alias("class")))
+    held = reliable(held.join(near, "class").select("cell", "block", "id", "v", F.col("component").alias("class")))
+    links = reliable(cells.meet(held, held.select("id", "v", "class"), join_classes, pairs))
     labels = components(named.select("class").distinct(), links, "class")
     edge = marked.where("core is null").select("id", "v", F.lit(None).cast(kind).alias("class"))
     border = cells.meet(held, edge, ask_classes, f"id {kind}, class {kind}").distinct()

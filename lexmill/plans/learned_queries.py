@@ -66,7 +66,7 @@ def _learned(spark: SparkSession, sf_dir: str, pick: Callable[[DataFrame, DataFr
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
     with _folder(spark) as path:
-        return reliable(pick(*L.run_learner(evidence_of_events(stream), GROUPS, first_model(spark), path, RATE, 100)))
+        return reliable(pick(*L.run_learner(evidence_of_events(stream), GROUPS, first_model(spark), path, RATE)))
 
 
 def learner_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,8 +176,11 @@ def use_keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def run_learner(evidence: DataFrame, groups: dict[str, str], model: DataFrame, folder: str, rate: float = RATE, files_per_batch: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Work off what a stream of evidence has now: (signals, newest model). Called again with the same folder, it goes on from there."""
+def run_learner(evidence: DataFrame, groups: dict[str, str], model: DataFrame, folder: str, rate: float = RATE) -> tuple[DataFrame, DataFrame]:
+    """Work off what a stream of evidence has now: (signals, newest model). Called again with the same folder, it goes on from there.
+
+    All new signals are one trigger of the second stream, as those of one feature come from many texts and have to be put in order.
+    """
     spark = evidence.sparkSession
     use_keyed_state(spark)
 
@@ -188,7 +191,7 @@ def run_learner(evidence: DataFrame, groups: dict[str, str], model: DataFrame, f
         df.writeStream.foreachBatch(add).outputMode(mode).option("checkpointLocation", f"{folder}/{name}-log").trigger(availableNow=True).start().awaitTermination()
 
     work(signals(evidence, groups), "signals", "append")
-    told = spark.readStream.schema(HISTORY).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/signals")
+    told = spark.readStream.schema(HISTORY).parquet(f"{folder}/signals")
     work(weights(told, model, rate), "weights", "update")
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
     return read("signals", HISTORY), newest(model, read("weights", WEIGHTS))
