@@ -61,7 +61,7 @@ class TokenRollup:
     def _state(self) -> tuple[str | None, list[str]]:
         """The last snapshot and the batches that it doesn't hold, from one listing.
 
-        Batches are deleted after they were folded, so no more are listed than were committed since then.
+        Batches are deleted at the second compaction after they were committed, so no more are listed than that.
         """
         if not self._fs.exists(self._at("")):
             return None, []
@@ -110,19 +110,26 @@ class TokenRollup:
     def compact(self) -> None:
         """Fold all batches into a snapshot; their names go first, so a snapshot is never without them.
 
-        The names and the sums are of one listing: a batch committed meanwhile is in neither.
+        The names and the sums are of one listing: a batch committed meanwhile is in neither. What is folded stays
+        until the next compaction, as does the snapshot before: totals() that were asked for earlier and
+        are read only now still find their files. What was folded the last time goes.
         """
         last, fresh = self._state()
         if not fresh:
             return
         n = int(last.rpartition("-")[2]) + 1 if last else 0
+        folded = self._held(last, [b.removeprefix("batch-") for b in self._complete("batch-")])
         names = self.spark.createDataFrame([(b.removeprefix("batch-"),) for b in fresh], "batch string")
         if last:
             names = names.unionByName(self.spark.read.parquet(f"{self.path}/{last.replace('snapshot', 'batches')}"))
         names.write.mode("overwrite").parquet(f"{self.path}/batches-{n:08d}")
         self._sums(last, fresh).write.mode("overwrite").parquet(f"{self.path}/snapshot-{n:08d}")
-        for b in fresh:
-            self._fs.delete(self._at(b), True)
+        for b in folded:
+            self._fs.delete(self._at(f"batch-{b}"), True)
+        for old in self._complete("snapshot-"):
+            if last and old < last:
+                self._fs.delete(self._at(old), True)
+                self._fs.delete(self._at(old.replace("snapshot", "batches")), True)
 
 
 def counted(docs: DataFrame, tokenizers: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
