@@ -27,24 +27,21 @@ def is_cjk(term: str) -> bool:
     return bool(term) and all("㐀" <= c <= "䶿" or "一" <= c <= "鿿" or "豈" <= c <= "﫿" for c in term)
 
 
-def padded_words(text: Column) -> Column:
-    """Lower-case Latin words between single spaces; a run of ideographs is one # between them."""
-    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{CJK}]+", " # ")
-    return F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9_#]+", " "), F.lit(" "))
+def has_term(low: Column, term: str) -> Column:
+    """Whether `term` is one of the lower-case text's tokens or of its runs of up to three tokens.
 
-
-def has_term(low: Column, padded: Column, term: str) -> Column:
-    """Whether `term` is one of the text's tokens or of its runs of up to three tokens.
-
-    Windows of one to six ideographs inside a run are tokens, so such a term only has to occur in the
-    lower-case text; Latin terms have to be one to three whole words. Nothing else ever matches.
+    Windows of one to six ideographs inside a run are tokens, so such a term only has to occur; Latin
+    terms have to be one to three whole words, with neither words nor ideographs between them. Nothing
+    else ever matches. The pattern begins with the term itself, and ends at its first whole occurrence.
     """
     t = term.lower()
     words = t.split(" ")
     if is_cjk(t):
         return low.contains(t) if len(t) <= 6 else F.lit(False)
     if 1 <= len(words) <= 3 and all(w and all(c.isascii() and (c.isalnum() or c == "_") for c in w) for w in words):
-        return padded.contains(f" {t} ")
+        first, *rest = words
+        after = "".join(f"[^a-z0-9_{CJK}]+{w}" for w in rest)
+        return low.rlike(f"{first}(?<![a-z0-9_]{first}){after}(?![a-z0-9_])")
     return F.lit(False)
 
 

@@ -46,17 +46,16 @@ class Rule:
 
 @dataclass
 class Text:
-    """The columns that conditions read: the text in scope, in three forms, and the full text."""
+    """The columns that conditions read: the text in scope, as it is and in lower case, and the full text."""
 
     text: Column
     low: Column
-    padded: Column
     full: Column
     full_low: Column
     markers: Column
 
     def has(self, term: str) -> Column:
-        return T.has_term(self.low, self.padded, term)
+        return T.has_term(self.low, term)
 
 
 Handler = Callable[[dict, Text], Column]
@@ -371,8 +370,8 @@ def with_text(docs: DataFrame, text_col: str = "text", full_col: str | None = No
     full_col = full_col or text_col
     body = F.coalesce(F.col(text_col), F.lit(""))
     full = F.coalesce(F.col(full_col), F.lit(""))
-    out = docs.withColumns({"_text": body, "_low": F.lower(body), "_padded": T.padded_words(body), "_full": full, "_full_low": F.lower(full), "_markers": T.has_markers(full)})
-    return out, Text(*(F.col(c) for c in ("_text", "_low", "_padded", "_full", "_full_low", "_markers")))
+    out = docs.withColumns({"_text": body, "_low": F.lower(body), "_full": full, "_full_low": F.lower(full), "_markers": T.has_markers(full)})
+    return out, Text(*(F.col(c) for c in ("_text", "_low", "_full", "_full_low", "_markers")))
 
 
 def judged(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", contract_type: Column | None = None, value: Column | None = None, keep: tuple[str, ...] = (), scopes: str | None = None) -> DataFrame:
@@ -388,8 +387,8 @@ def judged(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
     parts, by_kind = [], {}
     for i, kind in enumerate(kinds):
         body = F.when(F.size(F.coalesce(F.col(scopes), F.create_map().cast("map<string,string>"))) == 0, F.col("_text")).otherwise(F.try_element_at(scopes, F.lit(kind)))
-        base = base.withColumn(f"_text_{i}", body).withColumns({f"_low_{i}": F.lower(f"_text_{i}"), f"_padded_{i}": T.padded_words(F.col(f"_text_{i}"))})
-        by_kind[kind] = Text(F.col(f"_text_{i}"), F.col(f"_low_{i}"), F.col(f"_padded_{i}"), x.full, x.full_low, x.markers)
+        base = base.withColumn(f"_text_{i}", body).withColumn(f"_low_{i}", F.lower(f"_text_{i}"))
+        by_kind[kind] = Text(F.col(f"_text_{i}"), F.col(f"_low_{i}"), x.full, x.full_low, x.markers)
     for ix, r in enumerate(rules):
         v = compiled(r, x, contract_type, value, by_kind.get(r.clause_type))
         parts.append(F.struct(F.lit(ix).alias("rule_ix"), F.lit(r.id).alias("rule_id"), F.lit(r.package_id).alias("package_id"), v.alias("v")))

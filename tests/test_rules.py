@@ -35,6 +35,15 @@ def test_membership_follows_tokens(spark):
     assert has("一二三四五六", "一二三四五六七") and not has("一二三四五六七", "一二三四五六七")
 
 
+def test_membership_ends_at_signs(spark):
+    rule = Rule("r", "co_occurrence", {"antecedent": "the", "consequent": "with"})
+    assert verdict(spark, rule, "the end. With### more", "#the# #with#", "the without", "the 条with款", "the with_") == ["PASSED", "PASSED", "FAILED", "PASSED", "FAILED"]
+    chain = Rule("r", "logical_chain", {"premises": ["the", "of"], "conclusion": "from"})
+    assert verdict(spark, chain, "the#of#from", "other soft The#OF", "the #of the", None) == ["PASSED", "FAILED", "FAILED", "PASSED"]
+    phrase = Rule("r", "required_pattern", {"terms": ["net 30 days"]})
+    assert verdict(spark, phrase, "net # 30 -- days", "internet net 30 days_ net 30 days", "net 30 条 days", "net 300 days") == ["PASSED", "PASSED", "FAILED", "FAILED"]
+
+
 def test_empty_antecedent_never_matches(spark):
     assert verdict(spark, Rule("r", "co_occurrence", {"antecedent": "", "consequent": "x"}), "a") == ["PASSED"]
     assert verdict(spark, Rule("r", "logical_chain", {"premises": [], "conclusion": "x"}), "a") == ["FAILED"]
