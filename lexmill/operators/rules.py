@@ -327,8 +327,18 @@ def _numeric_udf(params: dict, of: Callable):
     return run
 
 
+def may_have(text: Column, unit: str | None, years: bool = False) -> Column:
+    """Whether a text can have a number of a unit at all: where it can't, a numeric rule is not applicable."""
+    if not unit:
+        return F.lit(True)
+    others = ["百分之", "万分之"] * (unit == "%") + ["年"] * (unit == "月" and years)
+    return _any([text.contains(s) for s in (unit, *others)])
+
+
 def _numeric(params: dict, x: Text, of: Callable) -> Column:
-    found = _numeric_udf(params, of)(x.text)
+    # texts that can't have such a number don't go to Python
+    able = may_have(x.text, params.get("unit", "年" if of is number_of else "%%"), "年" in (params.get("accept_units") or ()))
+    found = _numeric_udf(params, of)(F.when(able, x.text))
     raw = F.when(found["raw"] != "", F.array(found["raw"])).otherwise(strings([]))
     return verdict(found["status"], F.when(found["status"] == NOT_APPLICABLE, _head(x)).otherwise(found["raw"]), raw, F.concat(F.lit(f"{params.get('label', '')} value "), F.coalesce(found["value"].cast("string"), F.lit("none"))))
 

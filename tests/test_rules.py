@@ -44,6 +44,23 @@ def test_membership_ends_at_signs(spark):
     assert verdict(spark, phrase, "net # 30 -- days", "internet net 30 days_ net 30 days", "net 30 条 days", "net 300 days") == ["PASSED", "PASSED", "FAILED", "FAILED"]
 
 
+def test_only_texts_that_can_have_numbers_or_demands_go_to_python(spark):
+    from lexmill.operators.extraction import modal_rules
+    from lexmill.operators.rules import may_have
+
+    texts = ["工期3天", "工期三天", "百分之五", "万分之五", "5%", "5％", "2年", "2月", "abc 12", "", "一二", "3 元"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for unit, years in (("天", False), ("%", False), ("月", True), ("月", False), ("年", False), ("", False)):
+        params = {"unit": unit, "context_pattern": "", "accept_units": ["年"] * years}
+        able = {r.doc_id for r in docs.where(may_have(F.col("text"), unit, years)).collect()}
+        assert {i for i, t in enumerate(texts) if number_of(t, params)[0] != "NOT_APPLICABLE"} <= able
+        assert {i for i, t in enumerate(texts) if sum_of(t, params)[0] != "NOT_APPLICABLE"} <= able
+    assert not docs.where(may_have(F.col("text"), "日")).collect()
+    plan = modal_rules(spark.createDataFrame([(1, "不得转包"), (2, "no"), (3, None), (4, "甲方应当付款")], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in plan.collect()) == [1, 4]
+    assert "Filter" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_antecedent_never_matches(spark):
     assert verdict(spark, Rule("r", "co_occurrence", {"antecedent": "", "consequent": "x"}), "a") == ["PASSED"]
     assert verdict(spark, Rule("r", "logical_chain", {"premises": [], "conclusion": "x"}), "a") == ["FAILED"]
