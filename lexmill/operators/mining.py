@@ -5,14 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import reliable
+
 MIN_SUPPORT, MIN_LIFT, MIN_COUNT, MIN_RUNS = 0.10, 2.0, 3, 3
 SYNONYM_SHARE = 0.6
 
 
-def _counts(terms: DataFrame, run_col: str, term_col: str) -> tuple[DataFrame, DataFrame, int]:
-    t = terms.select(F.col(run_col).alias("run"), F.lower(F.trim(F.col(term_col))).alias("term")).where("term <> ''").distinct()
+def _frequent(terms: DataFrame, run_col: str, term_col: str, least: int = 1) -> tuple[DataFrame, DataFrame, int]:
+    """(terms, sets, n) of n runs: the frequent terms (term, k), and each run's frequent terms as one sorted array.
+
+    A term that reaches MIN_SUPPORT (and `least`) in runs has at least as many rows, so rows are counted first, which shuffles a row
+    for each term of a task; only rows of such terms go on, as one array for each run and task. They are broadcast: each has a tenth as many rows as there are runs, so there are at most ten times the rows of a mean run.
+    """
+    t = terms.select(F.col(run_col).alias("run"), F.lower(F.trim(F.col(term_col))).alias("term")).where("term <> ''")
     n = t.select("run").distinct().count()
-    return t, t.groupBy("term").agg(F.count("*").alias("k")), n
+    if n < MIN_RUNS:
+        n = 0
+    enough = lambda c: (F.col(c) >= least) & (F.col(c) >= MIN_SUPPORT * n) & F.lit(n > 0)
+    likely = t.groupBy("term").agg(F.count("*").alias("rows")).where(enough("rows")).select("term")
+    sets = reliable(t.join(F.broadcast(likely), "term").groupBy("run").agg(F.collect_set("term").alias("terms")).select(F.array_sort("terms").alias("terms")))
+    k = reliable(sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("k")).where(enough("k")))
+    return k, sets, n
+
+
+def _together(sets: DataFrame, k: DataFrame) -> DataFrame:
+    """(a, b, n) of frequent terms that meet in n runs, a before b; pairs are made in the row of a run and counted before they are shuffled."""
+    pairs = F.flatten(F.transform("terms", lambda a, i: F.transform(F.slice("terms", i + 2, F.size("terms")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    counts = sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    return counts.join(k.select(F.col("term").alias("a")), "a", "left_semi").join(k.select(F.col("term").alias("b")), "b", "left_semi")
 
 
 def positive(terms: DataFrame, run_col: str = "run_id", term_col: str = "term") -> DataFrame:
@@ -21,13 +41,8 @@ def positive(terms: DataFrame, run_col: str = "run_id", term_col: str = "term")
     Only terms frequent enough to reach the least support can be in such a pair, so others are dropped
     before pairs are made. None with fewer than three runs.
     """
-    t, k, n = _counts(terms, run_col, term_col)
-    if n < MIN_RUNS:
-        n = 0
-    frequent = k.where((F.col("k") >= MIN_COUNT) & (F.col("k") >= MIN_SUPPORT * n) & F.lit(n > 0))
-    rows = t.join(frequent.select("term"), "term") if n else t.where("false")
-    both = rows.withColumnRenamed("term", "a").join(rows.withColumnRenamed("term", "b"), "run").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    out = both.join(k.select(F.col("term").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("term").alias("b"), F.col("k").alias("kb")), "b")
+    k, sets, n = _frequent(terms, run_col, term_col, MIN_COUNT)
+    out = _together(sets, k).join(k.select(F.col("term").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("term").alias("b"), F.col("k").alias("kb")), "b")
     total = float(max(n, 1))
     out = out.select("a", "b", "n", (F.col("n") / total).alias("support"), (F.col("n") / F.col("ka")).alias("confidence"), ((F.col("n") / F.col("ka")) / (F.col("kb") / total)).alias("lift"))
     return out.where((F.col("support") >= MIN_SUPPORT) & (F.col("lift") >= MIN_LIFT) & (F.col("n") >= MIN_COUNT))
@@ -38,12 +53,9 @@ def negative(terms: DataFrame, run_col: str = "run_id", term_col: str = "term")
 
     The frequent terms have a bounded number of pairs: a term needs a tenth of all runs.
     """
-    t, k, n = _counts(terms, run_col, term_col)
-    frequent = k.where((F.col("k") >= MIN_SUPPORT * n) & F.lit(n >= MIN_RUNS))
-    rows = t.join(frequent.select("term"), "term")
-    together = rows.withColumnRenamed("term", "a").join(rows.withColumnRenamed("term", "b"), "run").where("a < b").select("a", "b").distinct()
-    pairs = frequent.select(F.col("term").alias("a"), F.col("k").alias("ka")).join(frequent.select(F.col("term").alias("b"), F.col("k").alias("kb")), F.col("a") < F.col("b"))
-    return pairs.join(together, ["a", "b"], "left_anti")
+    k, sets, _ = _frequent(terms, run_col, term_col)
+    pairs = k.select(F.col("term").alias("a"), F.col("k").alias("ka")).join(k.select(F.col("term").alias("b"), F.col("k").alias("kb")), F.col("a") < F.col("b"))
+    return pairs.join(_together(sets, k), ["a", "b"], "left_anti")
 
 
 def as_rules(pairs: DataFrame, kind: str) -> DataFrame:
@@ -95,11 +107,14 @@ def group_cooccurrence(evidence: DataFrame, groups: DataFrame, least: float = SY
     Each evidence row counts once for a term and each group of its other terms; counts are relative to
     the term's largest. `evidence` has (ev_id, term), `groups` has (group, term).
     """
-    t = evidence.select("ev_id", F.lower(F.trim("term")).alias("term")).where("term <> ''").distinct()
-    known = groups.select(F.lower("term").alias("term"), "group").distinct()
-    present = t.join(F.broadcast(known), "term").select("ev_id", "group").distinct()  # an ontology's terms
-    free = t.join(F.broadcast(known), "term", "left_anti").where(F.length("term") >= 2)
-    counts = free.join(present, "ev_id").groupBy("term", "group").agg(F.count("*").alias("n"))
+    t = evidence.select("ev_id", F.lower(F.trim("term")).alias("term")).where("term <> ''")
+    known = groups.groupBy(F.lower("term").alias("term")).agg(F.collect_set("group").alias("groups"))
+    rows = t.join(F.broadcast(known), "term", "left")  # an ontology's terms
+    # the terms of an evidence row are put together in the task that has them, and go through one shuffle
+    free = F.when(F.col("groups").isNull() & (F.length("term") >= 2), F.col("term"))
+    one = rows.groupBy("ev_id").agg(F.collect_set(free).alias("free"), F.array_distinct(F.flatten(F.collect_set("groups"))).alias("groups")).where(F.size("groups") > 0)
+    each = one.select(F.explode("free").alias("term"), "groups").select("term", F.explode("groups").alias("group"))
+    counts = each.groupBy("term", "group").agg(F.count("*").alias("n"))
     share = F.col("n") / F.greatest(F.max("n").over(Window.partitionBy("term")), F.lit(1))
     return counts.select("term", "group", share.alias("share")).where(F.col("share") >= least)
 

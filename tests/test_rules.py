@@ -61,6 +61,24 @@ def test_only_texts_that_can_have_numbers_or_demands_go_to_python(spark):
     assert "Filter" in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_mined_pairs_take_one_shuffle_of_rows(spark):
+    from lexmill.operators import mining
+
+    runs = {i: [w for w, every in (("a", 1), ("b", 2), ("c", 2), ("d", 2), ("e", 5)) if i % every == (w == "d")] + [f"w{i}"] for i in range(20)}
+    terms = spark.createDataFrame([(i, w) for i, ws in runs.items() for w in ws for _ in range(2)], "run_id long, term string")
+    has = lambda *ws: sum(set(ws) <= set(r) for r in runs.values())
+    frequent = [w for w in "abcde" if has(w) >= 2]
+    pairs = [(a, b) for a in frequent for b in frequent if a < b]
+    assert sorted(tuple(r) for r in mining.negative(terms).collect()) == [(a, b, has(a), has(b)) for a, b in pairs if not has(a, b)]
+    lift = lambda a, b: has(a, b) * 20 / has(a) / has(b)
+    assert sorted((r.a, r.b, r.n) for r in mining.positive(terms).collect()) == [(a, b, has(a, b)) for a, b in pairs if has(a, b) >= 3 and lift(a, b) >= 2]
+    groups = spark.createDataFrame([("g", "a"), ("h", "b"), ("h", "b")], "group string, term string")
+    found = mining.group_cooccurrence(terms.select(F.col("run_id").alias("ev_id"), F.concat("term", F.lit("x")).alias("term")).unionByName(terms.withColumnRenamed("run_id", "ev_id")), groups)
+    assert {(r.term, r.group): r.share for r in found.where("term in ('dx', 'cx')").collect()} == {("cx", "g"): 1.0, ("cx", "h"): 1.0, ("dx", "g"): 1.0}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(ev_id") == 1
+
+
 def test_empty_antecedent_never_matches(spark):
     assert verdict(spark, Rule("r", "co_occurrence", {"antecedent": "", "consequent": "x"}), "a") == ["PASSED"]
     assert verdict(spark, Rule("r", "logical_chain", {"premises": [], "conclusion": "x"}), "a") == ["FAILED"]
