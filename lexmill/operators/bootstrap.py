@@ -31,7 +31,7 @@ def _rule_of(subject: Column, unit: Column, rules: Iterable[Rule]) -> Column:
 
 def extracted_values(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rule_id, value, unit, operator_hint, confidence, source_text): values that sentences state for numeric rules; the surest of a rule counts, of equals the smallest."""
-    found = extract_rules(docs, id_col, text_col).where("expected is not null").withColumn("rule_id", _rule_of(F.col("subject"), F.col("unit"), rules)).where("rule_id is not null")
+    found = extract_rules(docs, id_col, text_col, values_only=True).where("expected is not null").withColumn("rule_id", _rule_of(F.col("subject"), F.col("unit"), rules)).where("rule_id is not null")
     best = F.min(F.struct((-F.col("confidence")).alias("k"), "expected", "unit", "operator", "source_text")).alias("b")
     return found.groupBy(id_col, "rule_id").agg(best).select(id_col, "rule_id", F.col("b.expected").alias("value"), "b.unit", F.col("b.operator").alias("operator_hint"), (-F.col("b.k")).alias("confidence"), "b.source_text")
 

@@ -79,6 +79,16 @@ def test_mined_pairs_take_one_shuffle_of_rows(spark):
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(ev_id") == 1
 
 
+def test_values_are_extracted_without_the_other_templates():
+    from lexmill.operators.extraction import _COMPILED, WITH_VALUES, candidates_in
+
+    assert len(WITH_VALUES) < len(_COMPILED)
+    for sentence in ("第二条 违约金不得超过20%。", "本工程保修期限为4年。", "承包人应当提供保修书，保修期不少于5年。", "预付款与进度款合计不超过100%。", "禁止转包。"):
+        every = [c for c in candidates_in(sentence) if c[0] in {t[0] for t in WITH_VALUES}]
+        assert candidates_in(sentence, WITH_VALUES) == every
+        assert [c for c in candidates_in(sentence) if c[3] is not None] == [c for c in every if c[3] is not None]
+
+
 def test_empty_antecedent_never_matches(spark):
     assert verdict(spark, Rule("r", "co_occurrence", {"antecedent": "", "consequent": "x"}), "a") == ["PASSED"]
     assert verdict(spark, Rule("r", "logical_chain", {"premises": [], "conclusion": "x"}), "a") == ["FAILED"]
