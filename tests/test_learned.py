@@ -250,3 +250,24 @@ def test_tfidf_is_the_plain_formula_after_reload(spark, tmp_path):
             assert got[i, c] == pytest.approx(math.exp(s[c]) / total, abs=1e-9)
     best = {r.id: (r["class"], r.source) for r in tfidf.with_fallback(tfidf.predict(model, asked_df, "id"), spark.createDataFrame([(2, "cc"), (3, None)], "id long, class string"), "id", 0.99).collect()}
     assert best[2] == ("cc", "fallback") and best[3][1] == "model" and best[4][1] == "model"
+
+
+def test_ngrams_are_counted_in_one_row_of_a_text_and_rare_ones_joined_apart(spark, monkeypatch):
+    texts = [(1, "aa", "the cat  sat"), (2, "aa", "The dog \U0001f600\0"), (3, "bb", "der hund"), (4, "bb", ""), (5, "bb", None), (5, "bb", "und  so"), (6, "bb", "hund")]
+    df = spark.createDataFrame(texts, "id long, c string, text string")
+    got = tfidf.counted(df.where("id < 4"), "id")
+    assert got.count() == 3 and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    spelled = {(r.id, r.gram): r.n for r in tfidf._each(tfidf.counted(df, "id"), "id").select("id", tfidf.spelled(F.col("gram")).alias("gram"), "n").collect()}
+    want = Counter((i, s[a : a + k]) for i, _, t in texts for s in [(t or "").lower().replace("  ", " ")] for k in (1, 2, 3) for a in range(len(s) - k + 1))
+    assert spelled == want
+    grams = spark.createDataFrame([(g,) for g in {g for _, g in want}], "gram string").select("gram", tfidf.numbered(F.col("gram")).alias("n"))
+    assert all(r.gram == r.back for r in grams.select("gram", tfidf.spelled(F.col("n")).alias("back")).collect()) and grams.select("n").distinct().count() == grams.count()
+
+    def told():
+        model = tfidf.train(df, "id", "c")
+        return {(r.id, r["class"]): r.probability for r in tfidf.probabilities(model, df.select("id", "text").where("id <> 5"), "id").collect()}
+
+    whole = told()
+    for most in (12, 60):
+        monkeypatch.setattr(tfidf, "HOT", most)
+        assert told() == pytest.approx(whole, abs=1e-12)
