@@ -151,14 +151,15 @@ def positions(text: Column, term: str) -> Column:
     """0-based start of every occurrence of a literal term.
 
     Found by splitting at the term and adding up the lengths before each cut, in one pass. A term that
-    can overlap itself is looked for at each character instead.
+    can overlap itself stays whole: the text is split where it begins.
     """
     none = F.array().cast("array<int>")
     if not term:
         return none
     if overlaps_itself(term):
-        each = lambda raw: F.filter(F.sequence(F.lit(0), F.greatest(places(raw) - len(term), F.lit(0))), lambda i: cut(raw, i, i + len(term)) == term)
-        return F.when(text.contains(term), let(coded(text), each)).otherwise(none)
+        # cut before each occurrence; there is no cut before the text's first character
+        found = let(F.split(text, f"(?={_quoted(term)})", -1), lambda parts: running(F.transform(parts, lambda p: F.length(p))))
+        return F.when(text.contains(term), F.filter(found, lambda p: (p > 0) | text.startswith(term))).otherwise(none)
     # what stands before the n-th cut, and the n terms between
     starts = lambda parts: F.slice(running(F.transform(parts, lambda p: F.length(p) + len(term))), 2, F.size(parts) - 1)
     found = F.transform(let(F.split(text, _quoted(term), -1), starts), lambda p: p - len(term))

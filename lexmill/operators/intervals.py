@@ -10,6 +10,8 @@ from .graph import reliable
 
 #: Characters of a bucket: spans meet in the buckets that both touch.
 BUCKET = 512
+#: Words that are broadcast at most; more of them are joined by a shuffle.
+HOT = 500_000
 
 # Limits of the regression of findings to rules.
 RULE_SHARE, RULE_CONFIDENCE, CONJECTURE_SHARE, CONJECTURE_CONFIDENCE, NEW_RULE_CONFIDENCE = 0.8, 0.3, 0.5, 0.5, 0.6
@@ -21,24 +23,32 @@ def _touched(df: DataFrame, bucket: int) -> DataFrame:
     return df.withColumn("_bucket", F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"greatest(start, `end` - 1) div {bucket}"))))
 
 
-def touching(spans: DataFrame, others: DataFrame, by: str, bucket: int = BUCKET) -> DataFrame:
-    """The rows of `spans` (by, start, end, ...) that overlap a row of `others` (by, start, end); ends are exclusive.
+def _met(spans: DataFrame, others: DataFrame, by: str, bucket: int) -> DataFrame:
+    """(by, start, end) of the spans that overlap a row of `others`, each once.
 
     A semi-join on the text and the buckets of offsets that a span touches, with the overlap as its condition: texts are dealt
     by bucket as well, so a long text with many spans isn't one task, and nothing is compared across buckets.
     """
-    keyed = spans.withColumn("_span", F.struct("start", "end"))
-    near = _touched(keyed.select(by, "start", "end"), bucket).alias("a")
+    near = _touched(spans.select(by, "start", "end"), bucket).alias("a")
     far = _touched(others.select(by, "start", "end"), bucket).alias("b")
     meet = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a._bucket") == F.col("b._bucket")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    found = near.join(far, meet, "left_semi").select(by, "start", "end").distinct()
-    return spans.join(found, [by, "start", "end"], "left_semi")
+    return near.join(far, meet, "left_semi").select(by, "start", "end").distinct()
+
+
+def touching(spans: DataFrame, others: DataFrame, by: str, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `spans` (by, start, end, ...) that overlap a row of `others` (by, start, end); ends are exclusive."""
+    return spans.join(_met(spans, others, by, bucket), [by, "start", "end"], "left_semi")
+
+
+def marked(spans: DataFrame, evidence: DataFrame, by: str, bucket: int = BUCKET) -> DataFrame:
+    """All rows of `spans`, with whether evidence overlaps them as `covered`."""
+    met = _met(spans, evidence, by, bucket).withColumn("_hit", F.lit(True))
+    return spans.join(met, [by, "start", "end"], "left").withColumn("covered", F.col("_hit").isNotNull()).drop("_hit")
 
 
 def uncovered(spans: DataFrame, evidence: DataFrame, by: str, bucket: int = BUCKET) -> DataFrame:
     """The rows of `spans` that no evidence overlaps."""
-    covered = touching(spans.select(by, "start", "end"), evidence, by, bucket).distinct().withColumn("_hit", F.lit(True))
-    return spans.join(covered, [by, "start", "end"], "left").where("_hit is null").drop("_hit")
+    return marked(spans, evidence, by, bucket).where("not covered").drop("covered")
 
 
 def line_spans(text: Column) -> Column:
@@ -79,15 +89,15 @@ def regression(nodes: DataFrame, rule_terms: DataFrame) -> DataFrame:
 
 
 def outer_pairs(outer: DataFrame, only: DataFrame, id_cols: list[str]) -> DataFrame:
-    """(terms, cross_confidence, confidence): of each span of `outer`, the first two of its words within PAIR_REACH of each other of which `only` (term) has one."""
-    lone = only.select("term", F.lit(True).alias("lone"))
-    words = outer.select(*id_cols, F.posexplode("terms").alias("pos", "term")).join(lone, "term", "left")
-    spans = words.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("pos", "term", F.coalesce("lone", F.lit(False)).alias("lone")))).alias("w"))
-
-    def first(w: Column) -> Column:
-        partner = lambda i: F.filter(F.slice(w, i + 2, PAIR_REACH), lambda b: b["lone"] | F.get(w, i)["lone"])
-        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.size(partner(i)) > 0)
-        return let(F.get(at, F.lit(0)), lambda i: F.when(i.isNotNull(), F.array(F.get(w, i)["term"], F.get(partner(i), F.lit(0))["term"])))
-
-    found = spans.select(*id_cols, first(F.col("w")).alias("terms")).where("terms is not null")
-    return found.select("terms", F.lit(PAIR_CROSS).alias("cross_confidence"), F.lit(PAIR_SURE).alias("confidence"))
+    """(terms, cross_confidence, confidence): of each span of `outer`, the first two of its words within PAIR_REACH of each other of which `only` (term) has one.
+
+    They follow from the first word that `only` has: the other one is the next if that word comes first, else the earliest
+    within reach, so each word carries its other one and spans aren't put together again.
+    """
+    other = lambda i: F.get("terms", F.when(i == 0, 1).otherwise(F.greatest(i - PAIR_REACH, F.lit(0))))
+    words = outer.select(*id_cols, F.inline(F.transform("terms", lambda t, i: F.struct(i.alias("pos"), t.alias("term"), other(i).alias("other")))))
+    known = only.select("term").distinct()
+    known = F.broadcast(known) if known.count() <= HOT else known
+    first = words.join(known, "term").groupBy(*id_cols).agg(F.min(F.struct("pos", "term", "other")).alias("w")).select("w.*").where("other is not null")
+    terms = F.when(F.col("pos") == 0, F.array("term", "other")).otherwise(F.array("other", "term"))
+    return first.select(terms.alias("terms"), F.lit(PAIR_CROSS).alias("cross_confidence"), F.lit(PAIR_SURE).alias("confidence"))

@@ -171,15 +171,15 @@ def outer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(c: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)), lambda w: F.char_length(w) >= 3)
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0))
 
 
 def outer_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and pairs of words that only lines without evidence have, and whether they go back to the rules; the benchmark's words stand for rules."""
     lines, evidence = _lines(spark, sf_dir)
-    whole = reliable(lines.select("doc_id", "start", "end", _words(F.col("line")).alias("terms")))
-    outer = reliable(I.uncovered(whole, evidence, "doc_id"))
-    single = reliable(I.outer_terms(I.touching(whole, evidence, "doc_id"), outer))
+    whole = reliable(I.marked(lines, evidence, "doc_id").select("doc_id", "start", "covered", _words(F.col("line")).alias("terms")))
+    outer = whole.where("not covered")
+    single = reliable(I.outer_terms(whole.where("covered"), outer))
     pairs = I.outer_pairs(outer, single.select("term"), ["doc_id", "start"]).distinct()
     nodes = single.select(F.array("term").alias("terms"), "cross_confidence", "confidence").unionByName(pairs)
     rules = table(spark, sf_dir, "benchmark").select(F.explode(_words(F.col("text"))).alias("term"))

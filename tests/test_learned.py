@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions import text
 from lexmill.operators import bootstrap, clusters, intervals, quantified, store, tfidf
 from lexmill.plans import learned_queries as LQ
 from lexmill.streaming import learner
@@ -195,6 +196,32 @@ def test_regression_of_findings(spark):
     assert sorted(((tuple(r.terms), r.cross_confidence, r.action, r.target) for r in got), key=repr) == sorted([(("a",), 0.3, "correct_rule", "a"), (("a", "x"), 0.1, "upgrade_to_conjecture", None), (("x",), 0.6, "new_rule", None), (("x",), 0.1, "keep_outer", None), (("a",), 0.2, "keep_outer", None), ((), 0.9, "new_rule", None)], key=repr)
 
 
+def test_spans_are_marked_once_and_the_first_pairs_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    spans = spark.createDataFrame([(1, 0, 5), (1, 6, 9), (2, 0, 3), (None, 0, 3)], "doc_id long, start long, end long")
+    evidence = spark.createDataFrame([(1, 4, 7), (1, 4, 6), (2, 3, 4), (None, 0, 3)], "doc_id long, start long, end long")
+    assert sorted(((r.doc_id, r.start, r.covered) for r in intervals.marked(spans, evidence, "doc_id").collect()), key=repr) == sorted([(1, 0, True), (1, 6, True), (2, 0, False), (None, 0, False)], key=repr)
+
+    words = [[f"w{x}" for x in rng.integers(0, 40, n)] for n in rng.integers(0, 14, 200)]
+    only = {"w3", "w17"}
+    outer = spark.createDataFrame(list(enumerate(words)), "start long, terms array<string>")
+    lone = spark.createDataFrame([(w,) for w in only] * 2, "term string")
+    pairs = [next(([w[i], w[j]] for i in range(len(w)) for j in range(i + 1, min(len(w), i + 5)) if {w[i], w[j]} & only), None) for w in words]
+    want = sorted(p for p in pairs if p)
+    for most in (intervals.HOT, 1):
+        monkeypatch.setattr(intervals, "HOT", most)
+        assert sorted(r.terms for r in intervals.outer_pairs(outer, lone, ["start"]).collect()) == want
+
+
+def test_terms_that_overlap_themselves_are_not_looked_for_at_each_character(spark):
+    texts = ["", " de ", " de de  de", "x de de de ", "aaaa", "é😀aa aXa", None, " d e "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for term in (" de ", "aa", "aXa"):
+        found = df.select(text.positions(F.col("t"), term).alias("p"))
+        assert [r.p for r in found.collect()] == [[i for i in range(len(t or "")) if (t or "").startswith(term, i)] for t in texts]
+        assert "UTF-32" not in found._jdf.queryExecution().analyzed().toString()
+
+
 # ---- constraints with quantifiers ----
 
 
