@@ -22,6 +22,9 @@ from ..operators.rules import Rule
 from ..operators.store import Centroids, PrototypeStore
 from ..streaming import learner as L
 
+#: Ids that are broadcast at most, so that texts aren't shuffled; more of them are joined by a shuffle.
+MOST_IDS = 2_000_000
+
 R6 = lambda c: F.round(c, 6)
 
 
@@ -141,7 +144,8 @@ def running_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of pages by their URLs alone, with a classifier that was trained on labelled documents, kept and loaded; unsure ones by the path."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    labelled = table(spark, sf_dir, "labels").select("doc_id")
+    docs = table(spark, sf_dir, "documents").join(F.broadcast(labelled) if labelled.count() <= MOST_IDS else labelled, "doc_id")
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text"))
     with _folder(spark) as path:
         tfidf.train(docs, "doc_id", "lang").save(path)
