@@ -45,19 +45,21 @@ def keyword_domain(text: Column, keywords: dict[str, list[str]], unknown: str =
     return T.let(F.array_max(hits), lambda m: F.when(m["n"] > 0, m["d"]).otherwise(unknown))
 
 
-def layered_domain(lexical: Column, candidate: Column, term_set: Column, confidence: Column, distance: Column, prototype: Column, override: Column, keyword: Column) -> Column:
+def layered_domain(lexical: Column, candidate: Column, term_set: Column, confidence: Column, distance: Column, prototype: Column, override: Column, keyword: Column, unknown: str | None = "未知") -> Column:
     """(domain, source, confidence): the first layer that is sure.
 
     Lexical prototypes (0.9), candidate prototypes (0.6), a term set of 0.40 or more, a prototype nearer
     than 3 (unless wording overrides it), else keywords; of the last two, confidence falls with distance.
+    A term set that says `unknown` gives no answer; with None, all that it says are answers.
     """
     out = lambda d, s, c: F.struct(d.alias("domain"), F.lit(s).alias("source"), c.cast("double").alias("confidence"))
     far = F.when(distance.isNotNull(), F.round(1 / (1 + distance), 3)).otherwise(0.0)
     near = F.coalesce(distance < 3, F.lit(False))
+    told = term_set.isNotNull() if unknown is None else term_set != unknown
     return (
         F.when(lexical.isNotNull(), out(lexical, "lexical", F.lit(0.9)))
         .when(candidate.isNotNull(), out(candidate, "candidate", F.lit(0.6)))
-        .when(F.coalesce(confidence >= 0.40, F.lit(False)) & (term_set != "未知"), out(term_set, "term_set", confidence))
+        .when(F.coalesce(confidence >= 0.40, F.lit(False)) & told, out(term_set, "term_set", confidence))
         .when(near & override.isNotNull(), out(override, "keyword", far))
         .when(near, out(prototype, "prototype", far))
         .otherwise(out(keyword, "keyword", far))

@@ -154,6 +154,23 @@ def test_directions(spark):
     assert got == words
 
 
+def test_layers_meet_at_lengths(spark, tmp_path):
+    """At each length where a layer begins, with and without keywords; exactly 1,600 characters is where the term set's words change."""
+    import duckdb
+
+    lengths = [500, 501, 1000, 1499, 1500, 1599, 1600, 1601, 3000, 3001, 5000, 5001]
+    rows = [(i, (w + "x" * n)[:n], "de", "web", n) for i, (n, w) in enumerate((n, w) for n in lengths for w in ("the and ", "les ", ""))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.queries()["layered_domain"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.oracle_sql()["layered_domain"]).fetchall())
+    # by itself, a term set that says that it knows none gives no answer
+    none, sure = F.lit(None).cast("string"), F.lit(0.5)
+    layer = P.layered_domain(none, none, F.lit("未知"), sure, none.cast("double"), none, none, F.lit("k"))
+    assert spark.range(1).select(layer.alias("l")).first().l.source == "keyword"
+
+
 def test_a_domain_that_was_written_is_found(spark, tmp_path):
     D.write_domain(spark, str(tmp_path / "mine"), {"id": "mine", "name": "n", "version": "1", "files": {"rules": "rules.json"}}, [{"id": "r1", "condition": {"type": "required_pattern", "terms": ["保修"]}}], {"g": ["a", "b"]})
     found = D.resolve(D.discover(spark, str(tmp_path)), "mine").first()
