@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .evidence import inject
-from .extraction import concepts, extract_rules, gates
+from ..shipping import ship
+from .evidence import inject, injected
+from .extraction import concepts, extract_rules, gates, over_sentences, rules_of
 from .graph import reliable
 from .jobs import as_rules
 from .rules import Rule, evaluate
@@ -36,16 +38,50 @@ def extracted_values(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id",
     return found.groupBy(id_col, "rule_id").agg(best).select(id_col, "rule_id", F.col("b.expected").alias("value"), "b.unit", F.col("b.operator").alias("operator_hint"), (-F.col("b.k")).alias("confidence"), "b.source_text")
 
 
+_VALUES = {"rule_id": "string", "value": "double", "unit": "string", "operator_hint": "string", "confidence": "double", "source_text": "string"}
+
+
+def values_in(text: str, found_in: Callable[[str], list[tuple]], labels: list[tuple[str, str, str]]) -> list[dict]:
+    """extracted_values() of one text with a line for each sentence; `labels` has (id, label, unit) of rules in the order of their ids."""
+    best: dict[str, tuple] = {}
+    for r in rules_of(text, found_in):
+        fits = [(-len(label), i, rule) for i, (rule, label, unit) in enumerate(labels) if label in r["subject"] and (not unit or (r["unit"] or "") in ("", unit))]
+        if r["expected"] is None or not fits:
+            continue
+        rule, key = min(fits)[2], (-r["confidence"], r["expected"], r["unit"] is not None, r["unit"] or "", r["operator"], r["source_text"])
+        best[rule] = min(best.get(rule, key), key)
+    return [dict(zip(_VALUES, (rule, b[1], b[3] if b[2] else None, b[4], -b[0], b[5]), strict=True)) for rule, b in best.items()]
+
+
+def _limits(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    limits = [(r.id, r.params.get("operator"), float(r.params.get("expected") or 0)) for r in rules if r.condition_type == "numeric_comparison"]
+    return docs.sparkSession.createDataFrame(limits, "rule_id string, operator string, expected double")
+
+
 def validate_with_extraction(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(evidence, fields): values are extracted, handed to the rules beside the text, and the texts validated.
 
     Rules without an extracted value read the text as ever. `fields` has what was extracted.
     """
     fields = reliable(extracted_values(docs, rules, id_col, text_col))
-    limits = [(r.id, r.params.get("operator"), float(r.params.get("expected") or 0)) for r in rules if r.condition_type == "numeric_comparison"]
-    known = docs.sparkSession.createDataFrame(limits, "rule_id string, operator string, expected double")
     given = fields.select(id_col, "rule_id", "value", "operator_hint", "confidence")
-    return inject(evaluate(docs, rules, id_col, text_col), given, known, id_col), fields
+    return inject(evaluate(docs, rules, id_col, text_col), given, _limits(docs, rules), id_col), fields
+
+
+def validate_rows_with_extraction(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """validate_with_extraction() of documents with one row each: evidence with the extracted fields beside it.
+
+    All of a document is in its row, so it is read once, and nothing is shuffled, joined or kept between.
+    """
+    labels = [(r.id, r.params["label"], r.params.get("unit") or "") for r in sorted(rules, key=lambda r: r.id) if r.params.get("label")]
+    fields = f"array<struct<{','.join(f'{k}:{v}' for k, v in _VALUES.items())}>>"
+    kind = pa.list_(pa.struct([(k, pa.float64() if v == "double" else pa.string()) for k, v in _VALUES.items()]))
+    ship(docs.sparkSession)
+    read = docs.withColumn("_fields", over_sentences(F.col(text_col), lambda text, found_in: values_in(text, found_in, labels), fields, kind, values_only=True))
+    evidence = evaluate(read, rules, id_col, text_col, keep=("_fields",))
+    own = F.get(F.filter("_fields", lambda f: f["rule_id"] == F.col("rule_id")), F.lit(0))
+    rows = evidence.withColumn("_own", own).drop("_fields").select("*", *(F.col("_own")[k].alias(k) for k in _VALUES if k != "rule_id")).drop("_own")
+    return injected(rows, _limits(docs, rules))
 
 
 def rule_key() -> Column:

@@ -89,7 +89,12 @@ def inject(evidence: DataFrame, extracted: DataFrame, rules: DataFrame, id_col:
     expected). A null value with a confidence of at least 0.3 makes the rule not applicable, below that
     the verdict stays as it was; a value is compared by its own operator or else the rule's.
     """
-    rows = evidence.join(extracted, [id_col, "rule_id"], "left").join(F.broadcast(rules), "rule_id", "left")
+    return injected(evidence.join(extracted, [id_col, "rule_id"], "left"), rules).select(evidence.columns)
+
+
+def injected(evidence: DataFrame, rules: DataFrame) -> DataFrame:
+    """inject() for evidence that has value, operator_hint and confidence in its rows."""
+    rows = evidence.join(F.broadcast(rules), "rule_id", "left")
     op = F.coalesce("operator_hint", "operator")
     v, e = F.col("value"), F.col("expected")
     known = F.when(op == ">=", v >= e).when(op == "<=", v <= e).when(op == ">", v > e).when(op == "<", v < e).when(op == "==", v == e).when(op == "!=", v != e).otherwise(v >= e)

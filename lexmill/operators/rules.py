@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import each_once
 from ..functions.numerals import numbers
 from ..shipping import ship
 
@@ -318,11 +319,16 @@ def sum_of(text: str, params: dict) -> tuple[str, float | None, str]:
     return (PASSED if ok else FAILED), total, ", ".join(n[2] for n in some[:5])
 
 
+_FOUND = pa.struct([("status", pa.string()), ("value", pa.float64()), ("raw", pa.string())])
+
+
 def _numeric_udf(params: dict, of: Callable):
-    @F.pandas_udf("struct<status:string,value:double,raw:string>")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    found = lambda t: dict(zip(("status", "value", "raw"), of(t, params), strict=True))
+
+    @F.arrow_udf("struct<status:string,value:double,raw:string>")
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in it:
-            yield pd.DataFrame([of(t or "", params) for t in texts], columns=["status", "value", "raw"])
+            yield each_once(texts, found, _FOUND)
 
     return run
 

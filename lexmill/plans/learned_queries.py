@@ -218,8 +218,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts by two numeric rules, with the values that sentences state."""
-    evidence, fields = B.validate_with_extraction(contracts(spark, sf_dir), [WARRANTY, PENALTY])
-    return evidence.select("doc_id", "rule_id", "status").join(fields.select("doc_id", "rule_id", "value", "unit"), ["doc_id", "rule_id"], "left")
+    return B.validate_rows_with_extraction(contracts(spark, sf_dir), [WARRANTY, PENALTY]).select("doc_id", "rule_id", "status", "value", "unit")
 
 
 QUERIES = {f.__name__: f for f in (learner_signals, learner_weights, cluster_match, prototype_store, prototype_store_classify, running_centroids, tfidf_predict, outer_spans, outer_regression, quantified_orders, extract_validate)}

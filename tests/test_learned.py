@@ -2,15 +2,18 @@
 
 import math
 import os
+import re
 import shutil
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import text
-from lexmill.operators import bootstrap, clusters, intervals, quantified, store, tfidf
+from lexmill.operators import bootstrap, clusters, extraction, intervals, quantified, store, tfidf
+from lexmill.operators.rules import Rule
 from lexmill.plans import learned_queries as LQ
 from lexmill.streaming import learner
 
@@ -167,6 +170,47 @@ def test_extracted_values_take_the_longest_label(spark):
     assert [(r.doc_id, r.rule_id, r.value, r.unit) for r in got] == [(1, "b", 5.0, "年")]
 
 
+def test_values_in_the_row_are_those_of_joins(spark, sf_dir):
+    from tests.test_plain import STATED
+
+    texts = ["".join(s for _, s, *_ in STATED), "", None, "no hints", "保修期限为\n5\r年。保修期限为3年。 违约金不得超过十%；", "保修期限为零年。屋面保修期限不得低于5年。", "屋面保修期限 不少于 5年\u2028。"]
+    texts += [s for _, s, *_ in STATED] + [f"保修期限为{i}年。违约金不得超过{30 - i}%。" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = [LQ.WARRANTY, LQ.PENALTY, Rule("z", "numeric_comparison", {"label": "屋面保修期限", "context_pattern": "屋面", "operator": "<=", "expected": 4, "unit": "年"}), Rule("a", "numeric_comparison", {"label": "期限", "context_pattern": "期限", "operator": ">=", "expected": 4})]
+    evidence, fields = bootstrap.validate_with_extraction(docs, rules)
+    want = evidence.join(fields, ["doc_id", "rule_id"], "left")
+    got = bootstrap.validate_rows_with_extraction(docs, rules)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert fields.count() > 60
+    plan = bootstrap.validate_rows_with_extraction(docs, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan  # nothing is shuffled
+
+
+def test_equal_texts_and_sentences_are_looked_at_once():
+    from lexmill.functions.batches import each_once
+
+    asked = []
+    got = each_once(pa.array(["b", None, "a", "b", "", "a"]).slice(1), lambda v: asked.append(v) or ([v, v] if v else []), pa.list_(pa.string()))
+    assert got.to_pylist() == [[], ["a", "a"], ["b", "b"], [], ["a", "a"]]
+    assert sorted(asked) == ["", "a", "b"]
+    assert each_once(pa.array([], pa.string()), str, pa.string()).to_pylist() == []
+
+
+def test_templates_are_tried_only_where_their_words_are():
+    """Each template finds the same with its words looked for first as without, in sentences made of all templates' parts."""
+    rng = np.random.default_rng(4)
+    parts = sorted({w for _, *_, p in extraction.TEMPLATES for w in re.findall("[一-鿿]+", p)}) + ["3年", "三十日", "5%", "，", "、", "甲方", "工程款", "2个工作日内"]
+    always, found, skipped = re.compile(""), 0, 0
+    for _ in range(1000):
+        sentence = "".join(rng.choice(parts, rng.integers(1, 9)))
+        for t in extraction._COMPILED:
+            want = extraction.candidates_in(sentence, [(*t[:5], always)])
+            assert extraction.candidates_in(sentence, [t]) == want
+            found, skipped = found + len(want), skipped + (not t[5].search(sentence))
+    assert found > 500 and skipped > 500
+
+
 # ---- spans ----
 
 
